@@ -1,0 +1,4 @@
+"""Every registered query of the archive engine and its SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
