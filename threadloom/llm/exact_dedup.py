@@ -1,8 +1,8 @@
 """Exact dedup by content sort: DataFrame operations only.
 
 Texts are normalised by deleting ASCII white space. Sampled splitters (Spark's range partitioner) deal the
-normalised bytes out in order, each partition is sorted externally, and a sort-based window compares each
-row with its neighbour in full. Texts that hold more than ``1 / HOT_SHARE`` of all rows would land in one
+rows out by their normalised bytes' first letters and a digest, each partition is sorted externally, by the whole
+bytes in the end, and a sort-based window compares each row with its neighbour in full. Texts that hold more than ``1 / HOT_SHARE`` of all rows would land in one
 range, so they are found first by an aggregate of 8-byte digests and dealt to several ranges by a salt;
 their partial groups are merged afterwards, one row a salt.
 
@@ -24,6 +24,9 @@ HOT_SHARE = 65_536
 #: and never with fewer rows than this.
 HOT_ROWS = 64
 
+#: Code points of a normalised text that splitters hold.
+HEAD = 24
+
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -43,11 +46,13 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = df.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_cp")).withColumn("_h", F.xxhash64("_norm"))
     hot = docs.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > most).select("_h", F.ceil(F.col("_c") / most).cast("int").alias("_salts"))
     # at most n / most <= HOT_SHARE rows: bounded, whatever the input
-    dealt = docs.join(F.broadcast(hot), "_h", "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("_id", "_cp"), F.col("_salts")).cast("int"))).drop("_salts", "_h")
-    near = Window.partitionBy("_norm", "_salt")
+    dealt = docs.join(F.broadcast(hot), "_h", "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("_id", "_cp"), F.col("_salts")).cast("int"))).drop("_salts")
+    # splitters are sampled to the driver, so they are a short prefix and a digest; equal texts agree in both
+    dealt = dealt.withColumn("_head", F.substring("_norm", 1, HEAD))
+    near = Window.partitionBy("_head", "_h", "_norm", "_salt")
     best = near.orderBy(F.col("_cp").desc(), F.col("_id").asc_nulls_last())
     sorted_rows = (
-        dealt.repartitionByRange("_norm", "_salt")
+        dealt.repartitionByRange("_head", "_h", "_salt")
         .withColumn("_keep", F.first("_id").over(best))
         .withColumn("_keep_cp", F.first("_cp").over(best))
         .withColumn("_rank", F.row_number().over(best))

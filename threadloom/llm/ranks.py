@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """``df`` with ``name``: 0, 1, ... within each value of ``keys``.
+    """``df`` with ``name``: 0, 1, ... within each value of ``keys``, which must not be null.
 
     Rows of a key are dealt to ``parts`` buckets by a hash of ``order``; a bucket's first number is the sum of the
     counts of the buckets before it. So a key with most of the rows is numbered by ``parts`` tasks. Rows that agree
@@ -19,11 +19,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, parts:
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_start")
     own = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = dealt.withColumn("_rn", F.row_number().over(own) - 1)
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_bucket") == F.col("_b")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return local.join(starts, cond).withColumn(name, (F.col("_start") + F.col("_rn")).cast("long")).drop("_bucket", "_rn", "_start", "_b", *[f"_k{i}" for i in range(len(keys))])
+    return local.join(starts, [*keys, "_bucket"]).withColumn(name, (F.col("_start") + F.col("_rn")).cast("long")).select(*df.columns, name)
