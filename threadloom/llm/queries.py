@@ -1,9 +1,10 @@
 """The corpus operators' queries and their SQL."""
 
-from threadloom.llm import exact_dedup, sharding
+from threadloom.llm import bpe, exact_dedup, sharding
 
 QUERIES = {
     "op5_jump_hash": sharding.op5_jump_hash,
+    "op10_speculative_bpe": bpe.op10_speculative_bpe,
     "op7_content_sort": exact_dedup.op7_content_sort,
 }
 ORACLES = {
