@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -266,7 +267,7 @@ def encoder(path: str) -> WordBpe:
 
 def blocks(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of about BLOCK bytes of text, one row at least."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = np.cumsum(size, dtype=np.int64) // BLOCK
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):

@@ -1,8 +1,9 @@
 """The corpus operators' queries and their SQL."""
 
-from threadloom.llm import bpe, exact_dedup, sharding
+from threadloom.llm import bpe, exact_dedup, packing, sharding
 
 QUERIES = {
+    "op4_linear_grouping": packing.op4_linear_grouping,
     "op5_jump_hash": sharding.op5_jump_hash,
     "op10_speculative_bpe": bpe.op10_speculative_bpe,
     "op7_content_sort": exact_dedup.op7_content_sort,
