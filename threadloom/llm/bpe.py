@@ -13,6 +13,7 @@ time in proportion to n log n. Repeated rows and extra columns are left alone; a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -231,7 +232,15 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        rows = [self.split(t) if t else [] for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the tables are long to walk
+        try:
+            return self._encode([self.split(t) if t else [] for t in texts])
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, rows: list[list[str]]) -> list[bytes]:
         if len(self.words) > KEPT:
             self.old_words, self.words = self.words, {}
         if len(self.pieces) > KEPT:
