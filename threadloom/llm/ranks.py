@@ -14,7 +14,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, parts:
     in all of ``order`` take numbers in any order, so ``order`` should hold all that tells rows apart.
     """
     if parts is None:
-        parts = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
