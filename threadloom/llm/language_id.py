@@ -22,12 +22,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import blocks
+from threadloom.llm.bpe import BLOCK, blocks
 from threadloom.runtime import share_code
 
 DOCS, RUNS, RUN_WORDS = 300, 12, 14
@@ -282,6 +283,34 @@ def predict(df: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: st
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_known(df: DataFrame, crf: Crf | None, least: float, text_col: str = "text") -> DataFrame:
+    """``df`` without the rows that are ``und`` or whose score is under ``least``; columns are unchanged. Without a field nothing but letterless text goes."""
+    spark = df.sparkSession
+    share_code(spark)
+    if crf is None:
+        return df.filter(F.col(text_col).rlike(r"\p{L}"))
+    sent, key = spark.sparkContext.broadcast(crf), zlib.crc32(crf.weights.tobytes() + repr(crf.labels).encode())
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if key not in _readers:
+            _readers.clear()
+            _readers[key] = Reader(sent.value)
+        for x in batches:
+            texts, out, size = x.tolist(), [], 0
+            part: list = []
+            for t in texts:
+                part.append(t)
+                size += len(t or "")
+                if size >= BLOCK:
+                    out += [s if lang != UNKNOWN else -1.0 for lang, s in _readers[key].texts(part)]
+                    part, size = [], 0
+            out += [s if lang != UNKNOWN else -1.0 for lang, s in _readers[key].texts(part)] if part else []
+            yield pd.Series(out, dtype="float64")
+
+    return df.withColumn("_score", score(F.col(text_col))).filter(F.col("_score") >= least).drop("_score")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is never learned from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2

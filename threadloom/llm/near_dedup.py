@@ -83,7 +83,7 @@ def least_matches() -> list[tuple[int, int]]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Of (id, text): id, n_shingles, node (a digest of the set), signature."""
+    """Of (id, text, version): id, version, n_shingles, node (a digest of the set), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +92,9 @@ def features(docs: DataFrame) -> DataFrame:
                 sig = signatures(flat, sizes)
                 ends = np.cumsum(sizes)
                 node = [hashlib.blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(node, pa.binary()), pa.array([x.tobytes() if n else None for x, n in zip(sig, node, strict=True)], pa.binary())], ["id", "n_shingles", "node", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), pa.array(node, pa.binary()), pa.array([x.tobytes() if n else None for x, n in zip(sig, node, strict=True)], pa.binary())], ["id", "version", "n_shingles", "node", "signature"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, node binary, signature binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, version long, n_shingles long, node binary, signature binary")
 
 
 def checked_sets(texts: DataFrame) -> DataFrame:
@@ -171,12 +171,12 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return names
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``df``."""
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: bool = False) -> DataFrame:
+    """Id, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``df``; ``_version`` where asked for, which tells rows of one id apart."""
     spark = df.sparkSession
     share_code(spark)
     scratch = Scratch(spark, "near-copies")
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
     known = scratch.keep(features(docs), "features")
     full = known.filter(F.col("node").isNotNull() & F.col("id").isNotNull())
     # one row a node: equal sets have equal signatures
@@ -213,15 +213,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     named = full.select("id", "node").join(names, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     node_names = nodes.select("node").join(names, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(least, "component").select("node", "component_id")
-    out = known.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(node_names, "node", "left")
-    found = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = known.select("id", "version", "n_shingles", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(node_names, "node", "left")
+    found = out.select("id", "version", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *[F.col("version").alias("_version")] * version)
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one document of each component: the one with the smallest id."""
-    gone = near_copies(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_copies(df, id_col, text_col, True).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), "_version").distinct()
+    return df.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_version")), "left_anti")
 
 
 def op3_bayes_lsh(spark, sf_dir: str) -> DataFrame:
