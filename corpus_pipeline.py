@@ -1,8 +1,58 @@
-"""The corpus pipeline over ``documents``."""
+"""The corpus pipeline over ``documents``: language, exact copies, near copies, repeated passages, packing.
 
-STAGES: list = []
+Each stage works on all that the one before kept, which is written as Parquet and read again. All but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from threadloom.llm import bpe, exact_dedup, language_id, near_dedup, packing, substring_dedup
+from threadloom.runtime import Scratch
+
+#: Documents whose best language has a lower mean posterior are rejected: with four languages, little above chance.
+LEAST_SCORE = 0.3
+
+
+def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the field knows; text without letters, or that fits none, goes."""
+    crf = language_id.train(docs.filter(~language_id.held_out()).select("doc_id", "text", "lang"))
+    return language_id.keep_known(docs, crf, LEAST_SCORE)
+
+
+def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that differ in white space only."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; a text of which nothing is left goes."""
+    cut = substring_dedup.cut_repeats(docs)
+    left = cut.filter((F.col("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of what is left, in sequences of at most 4096."""
+    return packing.pack(docs, bpe.tokenizer_path())
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("passages", passages), ("packing", packed)]
+
+#: The first stage is a trained model, and the last makes a plan: neither is SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
