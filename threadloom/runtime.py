@@ -49,7 +49,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written under ``name`` and read back; its lineage ends here."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        # nothing needs this plan's shuffle files any more: they go when the driver's JVM drops its references
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
