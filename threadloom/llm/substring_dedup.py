@@ -8,8 +8,9 @@ these word sequences, and streams its segments through it to find every occurren
 sequence also starts in a document with a smaller id are then removed.
 
 Anchors of more than a small share of the documents are found in a sample of ``SAMPLE`` documents; as they recur in it
-they are known to recur, so they need no comparison, and their rows are dealt out by document. A shard's segments are
-dealt to several automata of the same passages when they are many; passages reach a shard once for each distinct text.
+they are known to recur, so they need no comparison, and their rows are dealt out by document. Segments reach a shard
+once for each distinct text, with the least and the largest id that has it, so a passage that a third of all documents
+share is one row there; what the automaton found in it is joined back to the documents by key.
 
 Defined results: null or empty text has no words. A row with a null id has no smaller or larger one, so it loses
 nothing and takes nothing. Rows that repeat an id count as one document, so none makes another lose words. Windows are
@@ -36,7 +37,7 @@ from threadloom.runtime import Scratch, share_code
 WINDOW, SEED = 13, 4
 #: Documents whose anchors tell the hot ones, and in how many of these an anchor is hot.
 SAMPLE, HOT = 20_000, 16
-#: Segments that one automaton reads at once.
+#: Segments of a shard, at most on average.
 SEGMENTS = 100_000
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -80,109 +81,102 @@ def recurring(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return met.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
 
 
-def told(docs: DataFrame, lists: DataFrame, window: int, seed: int) -> DataFrame:
-    """Of (id, version, text): kind 0, a row whose words all stay; kind 2, a row with possible repeats; kind 1, a segment of such a row."""
-    id_type = docs.schema["id"].dataType.simpleString()
-    shape = f"kind int, id {id_type}, version long, anchor long, start long, n_words long, sha string, body binary"
+def segments(docs: DataFrame, lists: DataFrame, window: int, seed: int) -> DataFrame:
+    """Of (id, version, text): the runs of windows of one recurring anchor, with their words joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 2):
                 w = Words(part.column(2))
-                a, whole = window_anchors(w, window, seed)
-                known = part.column(3)
-                out: list[tuple] = []
+                a, _ = window_anchors(w, window, seed)
+                rows, anchor, start, body = [], [], [], []
                 for row in range(part.num_rows):
-                    words = w.text(row)
-                    n, body, first = len(words), b" ".join(words), int(w.first[row])
-                    hit = np.zeros(0, bool)
-                    if known[row].is_valid and n >= window:
-                        own = a[first : first + n - window + 1]
-                        hit = np.isin(own, known[row].values.to_numpy())
-                    if not hit.any():
-                        out.append((0, row, 0, 0, n, hashlib.sha256(body).hexdigest(), None))
+                    first, n = int(w.first[row]), int(w.counts[row])
+                    if n < window:
+                        continue
+                    own = a[first : first + n - window + 1]
+                    at = np.flatnonzero(np.isin(own, part.column(3)[row].values.to_numpy()))
+                    if not len(at):
                         continue
-                    out.append((2, row, 0, 0, n, None, body))
-                    at = np.flatnonzero(hit)
-                    breaks = np.flatnonzero((np.diff(at) > 1) | (own[at[1:]] != own[at[:-1]])) + 1
-                    for run_ in np.split(at, breaks):
-                        i, j = int(run_[0]), int(run_[-1]) + window
-                        out.append((1, row, int(own[i]), i, j - i, None, b" ".join(words[i:j])))
-                cols = list(zip(*out, strict=True)) or [()] * 7
-                index = pa.array(cols[1], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), part.column(0).take(index), part.column(1).take(index), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.binary())],
-                    ["kind", "id", "version", "anchor", "start", "n_words", "sha", "body"],
-                )
-
-    joined = docs.join(lists.hint("shuffle_hash"), "id", "left").select("id", "version", "text", "anchors")
-    return joined.mapInArrow(run, shape)
+                    words = w.text(row)
+                    edges = np.flatnonzero((np.diff(at) > 1) | (own[at[1:]] != own[at[:-1]]))
+                    begin, end = at[np.concatenate([[0], edges + 1])], at[np.concatenate([edges, [len(at) - 1]])] + window
+                    rows += [row] * len(begin)
+                    anchor.append(own[begin])
+                    start.append(begin)
+                    body += [b" ".join(words[i:j]) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+                if rows:
+                    index = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(np.concatenate(anchor)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(body, pa.binary())], ["id", "version", "anchor", "start", "body"])
+
+    joined = docs.join(lists.hint("shuffle_hash"), "id").select("id", "version", "text", "anchors")
+    return joined.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, version long, anchor long, start int, body binary")
 
 
 def locate(window: int):
-    """The work of one automaton: confirm, compile, stream."""
+    """The work of one shard: confirm which windows two documents have, compile them, stream the segments."""
 
-    def run(key, segments: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+    def run(passages: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
+        texts = [tuple([number.setdefault(x, len(number)) for x in body.split(b" ")]) for body in passages["body"]]
         seen: dict[tuple, list] = {}
-        for body, least, most in zip(passages["body"], passages["least"], passages["most"], strict=True):
-            words = [number.setdefault(x, len(number)) for x in body.split(b" ")]
+        for words, least, most in zip(texts, passages["least"].tolist(), passages["most"].tolist(), strict=True):
             for i in range(len(words) - window + 1):
-                have = seen.setdefault(tuple(words[i : i + window]), [least, most])
-                if least < have[0]:
-                    have[0] = least
-                if most > have[1]:
-                    have[1] = most
+                if (have := seen.get(words[i : i + window])) is None:
+                    seen[words[i : i + window]] = [least, most]
+                else:
+                    if least < have[0]:
+                        have[0] = least
+                    if most > have[1]:
+                        have[1] = most
         automaton, firsts = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), []
         for words, (least, most) in seen.items():
             if least < most:
                 automaton.add_word(words, len(firsts))
                 firsts.append(least)
+        del seen
         out: list[tuple] = []
         if firsts:
             automaton.make_automaton()
-            found: dict[bytes, list] = {}
-            for i, v, start, body in zip(segments["id"], segments["version"], segments["start"], segments["body"], strict=True):
-                if (hits := found.get(body)) is None:
-                    hits = found[body] = [(end - window + 1, firsts[p]) for end, p in automaton.iter(tuple(number[x] for x in body.split(b" ")))]
-                if own := [start + p for p, first in hits if first < i]:
-                    out.append((i, v, np.array(own, "<u4").tobytes()))
-        return pd.DataFrame(out, columns=["id", "version", "places"])
+            for anchor, key, most, words in zip(passages["anchor"].tolist(), passages["key"].tolist(), passages["most"].tolist(), texts, strict=True):
+                # a window that starts first in this very segment's last document removes nothing from it
+                if hits := [(end - window + 1, firsts[p]) for end, p in automaton.iter(words) if firsts[p] < most]:
+                    at, first = zip(*hits, strict=True)
+                    out.append((anchor, key, at, first))
+        return pd.DataFrame(out, columns=["anchor", "key", "at", "first"])
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Of (id, version, text): the rows with their words, as ``told`` gives them, and (id, version, places), where repeated windows start."""
+def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """Of (id, version, text): (id, version, places), where windows start that a document with a smaller id has too."""
     spark = docs.sparkSession
     share_code(spark)
     scratch = Scratch(spark, "repeats")
     id_type = docs.schema["id"].dataType.simpleString()
-    lists = recurring(docs.filter(F.col("id").isNotNull()).select("id", "text"), window, seed)
-    path = f"{scratch.path}/told"
-    told(docs, lists, window, seed).write.partitionBy("kind").parquet(path)
-    shape = f"id {id_type}, version long, anchor long, start long, n_words long, sha string, body binary, kind int"
-    rows = spark.read.schema(shape).parquet(path)
-    segments, again = (spark.read.schema(shape).parquet(path).filter("kind = 1") for _ in range(2))
+    known = docs.filter(F.col("id").isNotNull())
+    found = scratch.keep(segments(known, recurring(known.select("id", "text"), window, seed), window, seed), "segments")
+    keyed = found.withColumn("key", F.xxhash64("body"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(4 * parts, segments.count() * 2 // SEGMENTS)
-    segments, again = (x.withColumn("shard", F.pmod("anchor", F.lit(shards)).cast("int")) for x in (segments, again))
+    shards = max(4 * parts, found.count() // SEGMENTS)
     # one row for each distinct segment: copies are counted before they are dealt out
-    passages = again.groupBy("shard", "body").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    many, many_again = (x.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SEGMENTS).cast("int").alias("salts")) for x in (segments, again))
-    dealt = segments.join(many.hint("shuffle_hash"), "shard").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.col("salts")).cast("int"))
-    copies = passages.join(many_again.hint("shuffle_hash"), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    found = dealt.select("shard", "salt", "id", "version", "start", "body").groupBy("shard", "salt").cogroup(copies.select("shard", "salt", "body", "least", "most").groupBy("shard", "salt")).applyInPandas(locate(window), f"id {id_type}, version long, places binary")
-    return rows, found.groupBy("id", "version").agg(F.collect_list("places").alias("places"))
-
-
-def covered(n_words: int, places: list[bytes], window: int) -> np.ndarray:
+    passages = keyed.groupBy("anchor", "key", "body").agg(F.min("id").alias("least"), F.max("id").alias("most")).withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    shape = f"anchor long, key long, at array<int>, first array<{id_type}>"
+    located = passages.groupBy("shard").applyInPandas(locate(window), shape)
+    own = keyed.select(F.col("anchor").alias("a"), F.col("key").alias("k"), "id", "version", "start")
+    hits = own.join(located, (F.col("a") == F.col("anchor")) & (F.col("k") == F.col("key")))
+    earlier = F.filter(F.arrays_zip("at", "first"), lambda x: x["first"] < F.col("id"))
+    places = hits.select("id", "version", F.transform(earlier, lambda x: x["at"] + F.col("start")).alias("places")).filter(F.size("places") > 0)
+    out = scratch.keep(places.groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
+    scratch.drop("segments")
+    return out
+
+
+def covered(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
     """Which words a repeated window covers."""
     change = np.zeros(n_words + 1, np.int32)
-    for p in places:
-        at = np.frombuffer(p, "<u4")
-        np.add.at(change, at, 1)
-        np.add.at(change, at + window, -1)
+    np.add.at(change, places, 1)
+    np.add.at(change, places + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -193,26 +187,30 @@ def versions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def summary(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_words``, ``n_removed`` and ``kept_sha256`` of each row."""
-    rows, found = repeats(versions(df, id_col, text_col), window, seed)
+    docs = versions(df, id_col, text_col)
+    found = repeats(docs, window, seed)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, sha = [], []
-            for n, body, places in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                cut = covered(n, places or [], window)
-                gone.append(int(cut.sum()))
-                sha.append(hashlib.sha256(b" ".join([x for x, c in zip(body.split(b" "), cut.tolist(), strict=True) if not c])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
+            n, gone, sha = [], [], []
+            for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = (text or "").encode().split()
+                n.append(len(words))
+                if places.is_valid:
+                    cut = covered(len(words), places.values.to_numpy(), window)
+                    words = [x for x, c in zip(words, cut.tolist(), strict=True) if not c]
+                gone.append(n[-1] - len(words))
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    touched = rows.filter("kind = 2").join(found.hint("shuffle_hash"), ["id", "version"], "left").select("id", "n_words", "body", "places").mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string")
-    plain = rows.filter("kind = 0").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    return plain.unionByName(touched).withColumnRenamed("id", id_col)
+    joined = docs.join(found.hint("shuffle_hash"), ["id", "version"], "left").select("id", "text", "places")
+    return joined.mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def cut_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeated words cut from its texts and ``removed``, their number; what stands between kept words stays as it was, and a row that loses nothing keeps its text unchanged."""
-    _, found = repeats(versions(df, id_col, text_col), window, seed)
+    found = repeats(versions(df, id_col, text_col), window, seed)
 
     @F.pandas_udf("text string, removed long")
     def cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -223,7 +221,7 @@ def cut_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: s
                 gone.append(0)
                 continue
             spans = [m.span() for m in _WORD.finditer(t)]
-            out = covered(len(spans), list(p), window)
+            out = covered(len(spans), np.asarray(p), window)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
             at, kept = 0, []
             for a, b in edges.reshape(-1, 2).tolist():
