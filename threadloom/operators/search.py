@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.archive import Archive
@@ -14,6 +14,10 @@ from threadloom.functions import text as T
 K1, B, RRF, TOP = 1.2, 0.75, 60, 50
 
 
+def _count(words: str, word: str) -> Column:
+    return F.size(F.filter(words, lambda t: t == F.lit(word)))
+
+
 def bm25(docs: DataFrame, query: str, id_col: str, *text_cols: str, only: DataFrame | None = None) -> DataFrame:
     """``id_col`` and ``score`` of the rows that have any of the query's words.
 
@@ -22,7 +26,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, *text_cols: str, only: DataFr
     """
     words = sorted({w for w in "".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()})
     body = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols])
-    counted = docs.withColumn("_words", T.tokens(body)).select(id_col, F.size("_words").alias("_n"), *[F.size(F.filter("_words", lambda t, w=w: t == F.lit(w))).alias(f"_f{i}") for i, w in enumerate(words)])
+    counted = docs.withColumn("_words", T.tokens(body)).select(id_col, F.size("_words").alias("_n"), *[_count("_words", w).alias(f"_f{i}") for i, w in enumerate(words)])
     if not words:
         return counted.select(id_col, F.lit(0.0).alias("score")).limit(0)
     stats = counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("len"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(words))]).alias("s"))

@@ -8,6 +8,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threadloom import schema
 from threadloom.functions import text as T
@@ -17,7 +18,7 @@ from threadloom.runtime import share_code
 _NOT_PAYLOAD = ("id", "created_at")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _json_list(*columns: pd.Series) -> pd.Series:
     """Values as a JSON list, in the form that history ids are made of."""
     return pd.Series([json.dumps([None if pd.isna(v) else v for v in row], default=str) for row in zip(*columns, strict=True)], dtype=object)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
 
@@ -51,7 +52,9 @@ class Scratch:
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         # nothing needs this plan's shuffle files any more: they go when the driver's JVM drops its references
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

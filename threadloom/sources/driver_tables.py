@@ -44,15 +44,15 @@ def archive(spark: SparkSession, sf_dir: str) -> Archive:
 
 #: The same view as DuckDB common table expressions; queries' SQL follows after a comma.
 SQL = """
-WITH st AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS at FROM conversations),
-c AS (SELECT substr(sha256('conv:' || conv_id), 1, 16) AS id, CASE conv_id % 4 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' WHEN 2 THEN 'claude-code' ELSE 'codex' END AS source, 'Conversation ' || conv_id AS title, min(at) AS created_at, max(at) AS updated_at,
+WITH st AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS tm FROM conversations),
+c AS (SELECT substr(sha256('conv:' || conv_id), 1, 16) AS id, CASE conv_id % 4 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' WHEN 2 THEN 'claude-code' ELSE 'codex' END AS source, 'Conversation ' || conv_id AS title, min(tm) AS created_at, max(tm) AS updated_at,
       CASE WHEN conv_id % 4 >= 2 THEN '/repo/p' || (conv_id % 5) END AS cwd FROM st GROUP BY conv_id),
-m AS (SELECT substr(sha256('msg:' || conv_id || ':' || turn), 1, 16) AS id, substr(sha256('conv:' || conv_id), 1, 16) AS conversation_id, role, text AS content, CAST(NULL AS VARCHAR) AS thinking, at AS created_at,
+m AS (SELECT substr(sha256('msg:' || conv_id || ':' || turn), 1, 16) AS id, substr(sha256('conv:' || conv_id), 1, 16) AS conversation_id, role, text AS content, CAST(NULL AS VARCHAR) AS thinking, tm AS created_at,
       CASE WHEN (conv_id + turn) % 17 = 0 THEN '{"history_of":"x"}' ELSE '{}' END AS metadata, embedding, CASE WHEN turn > 0 THEN substr(sha256('msg:' || conv_id || ':' || (turn - 1)), 1, 16) END AS parent_id
       FROM st LEFT JOIN embeddings ON conv_id * 8 + turn = vec_id),
 ev AS (SELECT *, substr(sha256('msg:' || (event_id % 100) || ':' || ((event_id // 100) % 6)), 1, 16) AS mid FROM events),
 tc AS (SELECT substr(sha256('tool:' || event_id), 1, 16) AS id, mid AS message_id, event_type AS tool_name, props AS input, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'complete' END AS status, CAST(floor(value) AS INTEGER) AS duration_ms, ts AS created_at FROM ev),
 fe AS (SELECT substr(sha256('edit:' || event_id), 1, 16) AS id, mid AS message_id, '/repo/p' || (event_id % 100 % 5) || '/f' || (user_id % 20) || '.py' AS file_path, CASE event_id % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'edit' ELSE 'shell' END AS edit_type, props AS content, ts AS created_at,
        CASE WHEN event_id % 3 = 1 THEN substr(props, 1, 5) END AS old_content FROM ev WHERE event_type IN ('click', 'purchase')),
-at AS (SELECT substr(sha256('attach:' || event_id), 1, 16) AS id, mid AS message_id, 'f' || event_id || '.png' AS filename FROM ev WHERE event_id % 10 = 0)
+att AS (SELECT substr(sha256('attach:' || event_id), 1, 16) AS id, mid AS message_id, 'f' || event_id || '.png' AS filename FROM ev WHERE event_id % 10 = 0)
 """
