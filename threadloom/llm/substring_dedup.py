@@ -1,7 +1,7 @@
 """Substring dedup by repeated-phrase automata.
 
 A window is ``WINDOW`` consecutive words. Each window has an anchor, the least hash of the ``SEED``-word phrases in it,
-so equal windows have equal anchors and neighbouring windows mostly share one. Anchors that two documents have name the
+so equal windows have equal anchors and neighbouring windows mostly share one. Anchors that two texts have name the
 places where a passage may recur; runs of windows of one such anchor become segments, and segments meet by anchor in
 shards. A shard confirms which windows stand in two documents, word by word, compiles an Aho-Corasick automaton of
 these word sequences, and streams its segments through it to find every occurrence. Words covered by a window whose
@@ -12,6 +12,8 @@ they are known to recur, so they need no comparison, and their rows are dealt ou
 once for each distinct text, with the least and the largest id that has it, so a passage that a third of all documents
 share is one row there; what the automaton found in it is joined back to the documents by key.
 
+Of equal texts only the one with the smallest id takes part; the others' windows all start in it.
+
 Defined results: null or empty text has no words. A row with a null id has no smaller or larger one, so it loses
 nothing and takes nothing. Rows that repeat an id count as one document, so none makes another lose words. Windows are
 judged on the input. An empty table gives an empty result. Extra columns are carried by ``cut_repeats``.
@@ -68,17 +70,18 @@ def anchors(df: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def recurring(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """Rows (id, anchors): of each document, the anchors that another document has too."""
+    """Rows (version, anchors): of each text, the anchors that another text has too."""
     n = docs.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("id", F.lit("hot")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.select(F.col("version").alias("id"), "text")
+    sample = texts.filter(F.pmod(F.xxhash64("id", F.lit("hot")), F.lit(1 << 20)) < int(share * (1 << 20)))
     # at most SAMPLE * (anchors of a document) / HOT rows of 8 bytes
     hot = anchors(sample, window, seed).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT).select("anchor", F.lit(True).alias("hot"))
-    rows = anchors(docs, window, seed).join(F.broadcast(hot), "anchor", "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(1 << 16))).otherwise(F.lit(-1)))
+    rows = anchors(texts, window, seed).withColumnRenamed("id", "version").join(F.broadcast(hot), "anchor", "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("version"), F.lit(1 << 16))).otherwise(F.lit(-1)))
     same = Window.partitionBy("anchor", "salt")
-    met = rows.withColumn("least", F.min("id").over(same)).withColumn("most", F.max("id").over(same)).filter(F.col("hot") | (F.col("least") < F.col("most")))
-    return met.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    met = rows.withColumn("least", F.min("version").over(same)).withColumn("most", F.max("version").over(same)).filter(F.col("hot") | (F.col("least") < F.col("most")))
+    return met.groupBy("version").agg(F.collect_set("anchor").alias("anchors"))
 
 
 def segments(docs: DataFrame, lists: DataFrame, window: int, seed: int) -> DataFrame:
@@ -149,13 +152,19 @@ def locate(window: int):
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Of (id, version, text): (id, version, places), where windows start that a document with a smaller id has too."""
+    """Of (id, version, text): (id, version, places, whole): where windows start that a document with a smaller id has too; ``whole`` for all of them."""
     spark = docs.sparkSession
     share_code(spark)
     scratch = Scratch(spark, "repeats")
     id_type = docs.schema["id"].dataType.simpleString()
     known = docs.filter(F.col("id").isNotNull())
-    found = scratch.keep(segments(known, recurring(known.select("id", "text"), window, seed), window, seed), "segments")
+    # equal texts are told by 128 bits; the one with the smallest id stands for all, the others lose every window
+    digest = ["version", "size", "check"]
+    slim = known.select("id", "version", F.octet_length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("check")).filter("version is not null")
+    firsts = slim.groupBy(*digest).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    copies = slim.join(firsts.filter("first < last"), digest).filter(F.col("id") > F.col("first")).select("id", "version").distinct()
+    lists = recurring(known, window, seed).join(firsts.select("version", "first"), "version").select(F.col("first").alias("id"), "anchors")
+    found = scratch.keep(segments(known, lists.groupBy("id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")), window, seed), "segments")
     keyed = found.withColumn("key", F.xxhash64("body"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(4 * parts, found.count() // SEGMENTS)
@@ -167,13 +176,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     hits = own.join(located, (F.col("a") == F.col("anchor")) & (F.col("k") == F.col("key")))
     earlier = F.filter(F.arrays_zip("at", "first"), lambda x: x["first"] < F.col("id"))
     places = hits.select("id", "version", F.transform(earlier, lambda x: x["at"] + F.col("start")).alias("places")).filter(F.size("places") > 0)
-    out = scratch.keep(places.groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
+    own = places.groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places")).withColumn("whole", F.lit(False))
+    whole = copies.select("id", "version", F.array().cast("array<int>").alias("places"), F.lit(True).alias("whole"))
+    out = scratch.keep(own.unionByName(whole).groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("whole").alias("whole")), "places")
     scratch.drop("segments")
     return out
 
 
-def covered(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
+def covered(n_words: int, places: np.ndarray, whole: bool, window: int) -> np.ndarray:
     """Which words a repeated window covers."""
+    if whole:
+        return np.full(n_words, n_words >= window)
     change = np.zeros(n_words + 1, np.int32)
     np.add.at(change, places, 1)
     np.add.at(change, places + window, -1)
@@ -194,17 +207,17 @@ def summary(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sha = [], [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, places, whole in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 n.append(len(words))
                 if places.is_valid:
-                    cut = covered(len(words), places.values.to_numpy(), window)
+                    cut = covered(len(words), places.values.to_numpy(), whole, window)
                     words = [x for x, c in zip(words, cut.tolist(), strict=True) if not c]
                 gone.append(n[-1] - len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = docs.join(found.hint("shuffle_hash"), ["id", "version"], "left").select("id", "text", "places")
+    joined = docs.join(found.hint("shuffle_hash"), ["id", "version"], "left").select("id", "text", "places", "whole")
     return joined.mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -213,15 +226,15 @@ def cut_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: s
     found = repeats(versions(df, id_col, text_col), window, seed)
 
     @F.pandas_udf("text string, removed long")
-    def cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
+    def cut(text: pd.Series, places: pd.Series, whole: pd.Series) -> pd.DataFrame:
         texts, gone = [], []
-        for t, p in zip(text, places, strict=True):
+        for t, p, w in zip(text, places, whole, strict=True):
             if p is None or t is None:
                 texts.append(t)
                 gone.append(0)
                 continue
             spans = [m.span() for m in _WORD.finditer(t)]
-            out = covered(len(spans), np.asarray(p), window)
+            out = covered(len(spans), np.asarray(p, np.int64), bool(w), window)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
             at, kept = 0, []
             for a, b in edges.reshape(-1, 2).tolist():
@@ -231,8 +244,8 @@ def cut_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: s
             gone.append(int(out.sum()))
         return pd.DataFrame({"text": texts, "removed": gone})
 
-    joined = df.withColumn("_version", F.xxhash64(text_col)).join(found.select(F.col("id").alias("_id"), F.col("version").alias("_found"), F.col("places").alias("_places")).hint("shuffle_hash"), (F.col(id_col) == F.col("_id")) & (F.col("_version") == F.col("_found")), "left")
-    made = joined.withColumn("_cut", cut(F.col(text_col), F.col("_places")))
+    joined = df.withColumn("_version", F.xxhash64(text_col)).join(found.select(F.col("id").alias("_id"), F.col("version").alias("_found"), F.col("places").alias("_places"), F.col("whole").alias("_whole")).hint("shuffle_hash"), (F.col(id_col) == F.col("_id")) & (F.col("_version") == F.col("_found")), "left")
+    made = joined.withColumn("_cut", cut(F.col(text_col), F.col("_places"), F.col("_whole")))
     return made.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in df.columns], F.col("_cut.removed").alias("removed"))
 
 
