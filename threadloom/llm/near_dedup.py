@@ -7,9 +7,10 @@ falls under ``MISS``; survivors are verified on their full sets. With 32 bands o
 shares no band with probability 2e-8.
 
 Buckets never become all pairs: first each member is compared with the bucket's least node, and links make components.
-Only in buckets that still hold several components, further members are compared with those of other components, one,
-two, four, ... members of a bucket at a time, until each pair of a bucket was compared or is connected. So no link
-that decides a component is lost, and a group of copies costs about one comparison a copy.
+Only in buckets that still hold several components, the members outside of the bucket's largest one are compared with
+those of other components, the first ``PROBES`` members of a bucket, then ``PROBES`` times as many, and so on, until
+each pair of a bucket was compared or is connected. So no link that decides a component is lost, and a group of copies
+costs about one comparison a copy.
 
 Defined results: null or empty text has an empty set, of size 0, and is linked with nothing. Equal sets are linked.
 A row with a null id has no component (null) and is kept. Repeated rows are equal sets. Ties can't occur: a component
@@ -38,6 +39,9 @@ BANDS, ROWS, BATCH = 32, 3, 16
 #: A pair is dropped when it reaches the threshold with less probability than this, given the values compared so far.
 MISS = 1e-6
 
+#: Members of a bucket that are compared with its other components in one round, and how this grows.
+PROBES = 64
+
 _HASHES = BANDS * ROWS
 _MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 63, _HASHES, dtype=np.uint64) | np.uint64(1)
 
@@ -194,21 +198,22 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     sets = scratch.keep(checked_sets(texts), "sets")
     links = scratch.keep(linked(with_both(candidates, sets, "members")), "links-0")
     names = components(links, scratch, "names-0")
-    step, lo = 0, 0
-    while True:
-        step += 1
-        told = members.join(names, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        split = told.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).filter(f"x < y and n > {max(lo, 2)}").select("bucket")
-        open_ = scratch.keep(numbered(told.join(split, "bucket", "left_semi"), ["bucket"], ["node"], "nth"), f"open-{step}")
-        hi = lo + (1 << step)
-        more = open_.filter(f"nth >= {lo} and nth < {hi}").select("bucket", F.col("node").alias("p"), F.col("nth").alias("pn"), F.col("component").alias("pc"))
-        if more.isEmpty():
-            break
-        met = open_.join(more, "bucket").filter("nth > pn and component <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    told = members.join(names, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    parts = told.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    # a bucket's main component is that of one of its nodes from now on; components only grow, so members of it stay in it
+    main = parts.groupBy("bucket").agg(F.max_by("node", F.struct("n", "node")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "main")
+    open_ = scratch.keep(numbered(told.select("bucket", "node").join(main, "bucket"), ["bucket"], ["node"], "nth"), "open")
+    most = open_.agg(F.max("nth")).first()[0]
+    lo, step = 0, 0
+    while most is not None and lo <= most:
+        hi, step = (lo + 1) * PROBES, step + 1
+        of = lambda c, name: names.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: B023, E731
+        now = open_.join(of("node", "c"), "node", "left").join(of("main", "m"), "main", "left").select("bucket", "node", "nth", F.coalesce("c", "node").alias("c"), F.coalesce("m", "main").alias("m"))
+        probes = now.filter((F.col("nth") >= lo) & (F.col("nth") < hi) & (F.col("c") != F.col("m"))).select("bucket", F.col("node").alias("p"), F.col("nth").alias("pn"), F.col("c").alias("pc"))
+        met = now.join(probes, "bucket").filter((F.col("c") != F.col("pc")) & ((F.col("c") == F.col("m")) | (F.col("nth") > F.col("pn")))).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         fresh = scratch.keep(linked(with_both(likely(with_both(met, nodes, "signature")), sets, "members")), f"links-{step}")
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            names = components(links, scratch, f"names-{step}")
+            names = components(names.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), scratch, f"names-{step}")
         lo = hi
     named = full.select("id", "node").join(names, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
