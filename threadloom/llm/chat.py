@@ -20,7 +20,7 @@ from threadloom.runtime import Scratch
 
 CHUNK = 256
 #: Turns of a conversation that one task numbers and hashes at a time, by turn number.
-BLOCK = 1024
+BLOCK = 256
 
 
 def prefixes(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -68,8 +68,8 @@ def ratios(labelled: DataFrame) -> DataFrame:
     """One row with ``model``: for each three letters, log P(accepted) - log P(rejected) of the last; null if a class is missing."""
     spark = labelled.sparkSession
     counted = labelled.select("_good", F.explode("_grams").alias("g")).groupBy("_good", "g").agg(F.count(F.lit(1)).alias("n"))
-    classes = counted.select("_good").distinct()
-    grid = spark.range(SIZE**3).select(F.col("id").cast("int").alias("g")).join(F.broadcast(classes))  # 32768 rows a class
+    classes = counted.agg(F.count_distinct("_good"))
+    grid = spark.range(SIZE**3).select(F.col("id").cast("int").alias("g"), F.explode(F.array(F.lit(True), F.lit(False))).alias("_good"))
     three = grid.join(counted, ["_good", "g"], "left").select("_good", F.floor(F.col("g") / SIZE**2).alias("a"), F.floor(F.col("g") / SIZE).alias("ab"), (F.floor(F.col("g") / SIZE) % SIZE).alias("b"), (F.col("g") % SIZE).alias("c"), "g", F.coalesce("n", F.lit(0)).alias("n"))
 
     def blend(table: DataFrame, context: list[str], lower: Column, name: str) -> DataFrame:
@@ -82,7 +82,7 @@ def ratios(labelled: DataFrame) -> DataFrame:
     full = blend(three.join(two, ["_good", "b", "c"]), ["ab"], F.col("p1"), "p2")
     both = full.groupBy("g").agg(F.sum(F.when(F.col("_good"), F.log("p2"))).alias("x"), F.sum(F.when(~F.col("_good"), F.log("p2"))).alias("y"))
     rows = both.agg(F.array_sort(F.collect_list(F.struct("g", (F.col("x") - F.col("y")).alias("v")))).alias("r"))
-    return rows.select(F.when(F.size("r") == SIZE**3, F.transform("r", lambda x: x["v"])).alias("model"))
+    return rows.select(F.when(classes.scalar() == 2, F.transform("r", lambda x: x["v"])).alias("model"))
 
 
 def scored(df: DataFrame, model: DataFrame) -> DataFrame:
