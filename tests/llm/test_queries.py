@@ -22,3 +22,55 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 def test_stages_and_columns(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "passages", "packing"]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Copies, near copies and shared passages; each stage told over by plain loops."""
+    import random
+    import re
+    import zlib
+
+    from threadloom.llm import bpe
+
+    from .test_exact_and_near import shingles
+
+    r, word = random.Random(9), re.compile("[^\x20\x09-\x0d]+")
+    make = lambda n: [r.choice(["the", "and", "of", "is", "house"]) if r.random() < 0.2 else "w" + "".join(r.choice("abcdeou") for _ in range(5)) for _ in range(n)]
+    shared, docs = [make(20) for _ in range(3)], []
+    for k in range(60):
+        if docs and k % 5 == 0:
+            text = r.choice(docs)[1].replace(" ", "  ", r.randrange(3))
+        elif docs and k % 5 == 1:
+            text = r.choice(docs)[1] + " " + " ".join(make(2))
+        else:
+            text = " ".join(make(30) + (r.choice(shared) if k % 2 else []) + make(10))
+        docs.append((k, text))
+    r.shuffle(docs)
+    rows = [(i, t, "en", "s", len(t)) for i, t in docs] + [(900, "12 34", "en", "s", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(re.sub(r"\s", "", t), []).append((-len(t), i, t))
+    left = sorted((min(g)[1], min(g)[2]) for g in groups.values())
+    sets, name = [shingles(t) for _, t in left], list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(name[a], name[b]), min(name[a], name[b])
+                name = [new if n == old else n for n in name]
+    left = [d for k, d in enumerate(left) if name[k] == k]
+    seen, want = set(), set()
+    for i, t in left:
+        spans = [m.span() for m in word.finditer(t)]
+        words = [t[a:b] for a, b in spans]
+        cut = [False] * len(words)
+        for p in range(len(words) - 12):
+            if tuple(words[p : p + 13]) in seen:
+                cut[p : p + 13] = [True] * 13
+        seen |= {tuple(words[p : p + 13]) for p in range(len(words) - 12)}
+        kept = [w for w, c in zip(words, cut, strict=True) if not c]
+        if kept:
+            ids = bpe.WordBpe(bpe.tokenizer_path()).encode([" ".join(kept)])[0] + b"\x01\x00\x00\x00"
+            want.add((i, len(ids) // 4, zlib.crc32(ids)))
+    got = {(x["doc_id"], x["length"], x["ids_crc32"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and 5 < len(want) < 60
