@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.runtime import Scratch
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz0./-~^"
 SIZE = len(LETTERS)
 START = SIZE - 1
@@ -106,8 +108,10 @@ def threshold(calibration: DataFrame) -> DataFrame:
 def judge(df: DataFrame, labelled: DataFrame, url: str = "url") -> DataFrame:
     """``df`` with ``score`` and ``verdict``; ``labelled`` has a url, ``good`` and a column ``fold``, a number."""
     known = with_grams(labelled.select(F.col(url), F.col("good").alias("_good"), (F.col("fold") % FOLDS == 0).alias("_calibrates")), url)
-    model = ratios(known.filter(~F.col("_calibrates")))
-    cut = threshold(scored(known.filter("_calibrates"), model))
+    # a row each: written, so that what uses them reads a number or an array and not the labelled URLs again
+    scratch = Scratch(df.sparkSession, "url-model")
+    model = scratch.keep(ratios(known.filter(~F.col("_calibrates"))), "model")
+    cut = scratch.keep(threshold(scored(known.filter("_calibrates"), model)), "cut")
     out = scored(with_grams(df, url), model).withColumn("_cut", F.coalesce(cut.scalar(), F.lit(0.0)))
     return out.withColumn("score", F.col("_score")).withColumn("verdict", F.when(F.col("_score") < F.col("_cut"), "block").otherwise("allow")).drop("_grams", "_score", "_cut")
 
