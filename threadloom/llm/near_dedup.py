@@ -6,9 +6,10 @@ batch at a time, and it is dropped as soon as the posterior probability that its
 falls under ``MISS``; survivors are verified on their full sets. With 32 bands of 3 values, a pair at similarity 0.75
 shares no band with probability 2e-8.
 
-Buckets never become all pairs: first each member is compared with the bucket's least node, and links make components.
+Buckets never become all pairs: first each member is compared with the bucket's pivot, the node that meets
+most others, and links make components.
 Only in buckets that still hold several components, the members outside of the bucket's largest one are compared with
-those of other components, the first ``PROBES`` members of a bucket, then ``PROBES`` times as many, and so on, until
+those of other components, the first ``PROBES`` members of a bucket, then about ``GROWTH`` times as many, and so on, until
 each pair of a bucket was compared or is connected. So no link that decides a component is lost, and a group of copies
 costs about one comparison a copy.
 
@@ -39,8 +40,8 @@ BANDS, ROWS, BATCH = 32, 3, 16
 #: A pair is dropped when it reaches the threshold with less probability than this, given the values compared so far.
 MISS = 1e-6
 
-#: Members of a bucket that are compared with its other components in one round, and how this grows.
-PROBES = 64
+#: Members of a bucket that are compared with its other components in the first such round, and how this grows.
+PROBES, GROWTH = 2, 8
 
 _HASHES = BANDS * ROWS
 _MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 63, _HASHES, dtype=np.uint64) | np.uint64(1)
@@ -187,9 +188,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     nodes = scratch.keep(full.groupBy("node").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "nodes")
     width = 4 * ROWS
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("signature", k * width + 1, F.lit(width))))).alias("bucket"))
-    pivots = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most").select("bucket", "pivot")
-    members = scratch.keep(bands.join(pivots, "bucket"), "members")
-    first = members.filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = scratch.keep(bands.join(shared, "bucket"), "met")
+    # the pivot of a bucket is its node that meets most others in all buckets: of copies of one text mostly that text
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = scratch.keep(met.join(degree, "node").select("bucket", "node", "degree"), "members")
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    members = members.select("bucket", "node")
+    first = members.join(pivots, "bucket").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     candidates = scratch.keep(likely(with_both(first, nodes, "signature")), "likely-0")
     wanted = members.select("node").distinct()
     own = nodes.join(wanted, "node", "left_semi").select("id", "node")
@@ -206,7 +212,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     most = open_.agg(F.max("nth")).first()[0]
     lo, step = 0, 0
     while most is not None and lo <= most:
-        hi, step = (lo + 1) * PROBES, step + 1
+        hi, step = PROBES + GROWTH * lo, step + 1
         of = lambda c, name: names.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: B023, E731
         now = open_.join(of("node", "c"), "node", "left").join(of("main", "m"), "main", "left").select("bucket", "node", "nth", F.coalesce("c", "node").alias("c"), F.coalesce("m", "main").alias("m"))
         probes = now.filter((F.col("nth") >= lo) & (F.col("nth") < hi) & (F.col("c") != F.col("m"))).select("bucket", F.col("node").alias("p"), F.col("nth").alias("pn"), F.col("c").alias("pc"))
