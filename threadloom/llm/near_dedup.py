@@ -3,8 +3,8 @@
 A text's set holds its distinct five-word shingles, in ASCII lower case; with fewer words, the whole sequence. Equal
 sets are one node. Nodes of which a band of signature values agrees are candidates. A pair's signatures are compared a
 batch at a time, and it is dropped as soon as the posterior probability that its similarity reaches the threshold
-falls under ``MISS``; survivors are verified on their full sets. With 32 bands of 3 values, a pair at similarity 0.75
-shares no band with probability 2e-8.
+falls under ``MISS``; survivors are verified on their full sets. With 40 bands of 4 values, a pair at similarity 0.75
+shares no band with probability 3e-7.
 
 Buckets never become all pairs: first each member is compared with the bucket's pivot, the node that meets
 most others, and links make components.
@@ -36,7 +36,7 @@ from threadloom.llm.wordhash import Words
 from threadloom.runtime import Scratch, share_code
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS, BATCH = 32, 3, 16
+BANDS, ROWS, BATCH = 40, 4, 16
 #: A pair is dropped when it reaches the threshold with less probability than this, given the values compared so far.
 MISS = 1e-6
 
