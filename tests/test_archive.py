@@ -1,5 +1,6 @@
 """Literal fixtures for the archive's operators."""
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -10,6 +11,7 @@ from threadloom import sql as gate
 from threadloom.archive import Archive, NotOne
 from threadloom.functions import text as T
 from threadloom.operators import changes, evaluate, explore, memory, reading, redact, replicate, search, upsert
+from threadloom.plans import catalog
 from threadloom.store import Store
 
 
@@ -266,3 +268,16 @@ def test_small_functions(spark):
     out = df.select(T.remote_name(F.col("u")).alias("u"), T.timestamp_of(F.col("t")).alias("t"), T.without_controls(F.col("c")).alias("c"), T.clip(F.col("c"), 2).alias("k")).collect()
     assert {r["u"] for r in out} == {"host.com/a/b"} and [r["c"] for r in out] == ["xy\tz", None, "ok"] and out[1]["k"] == ""
     assert out[0]["t"] == datetime(2023, 11, 14, 22, 13, 20) and out[1]["t"] == datetime(2024, 1, 2, 3, 4, 5) and out[2]["t"] is None
+
+
+def test_lost_messages_of_any_turn_are_recovered(spark, tmp_path):
+    turns = [(c, t) for c, n in ((0, 3), (1, 64), (2, 65), (3, 5200)) for t in range(n)] + [(4, 70), (4, 9000), (7, 3)]
+    for name, rows, shape in (
+        ("conversations", [(c, t, "user", "x") for c, t in turns], "conv_id long, turn long, role string, text string"), ("embeddings", [], "vec_id long, embedding array<float>, label int"),
+        ("events", [], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+    ):
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    short = lambda x: hashlib.sha256(x.encode()).hexdigest()[:16]
+    want = {(short(f"msg:{c}:{t}"), short(f"conv:{c}")) for c, t in turns if int(short(f"conv:{c}")[:2], 16) % 2 == 0}
+    out = [tuple(r) for r in catalog.QUERIES["recovered_orphans"](spark, str(tmp_path)).collect()]
+    assert len(out) == len(want) > 5200 and set(out) == want

@@ -19,6 +19,8 @@ ORACLES: dict = {}
 
 WORDS = "hand the thing"
 NOW = datetime(2024, 1, 10)
+#: Turns of a conversation that are made in one row.
+BLOCK = 4096
 VECTOR = [((i % 7) - 3) / 3 for i in range(64)]
 _VECTOR_SQL = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in VECTOR) + "]"
 _COS = "(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
@@ -507,8 +509,12 @@ def foreign_ids(a) -> DataFrame:
 def recovered_orphans(a) -> DataFrame:
     """Messages whose conversation is lost, found again from the rule that made their ids: a join on the hash of each number and turn."""
     lost = a.messages.filter(F.conv(F.substring("conversation_id", 1, 2), 16, 10).cast("int") % 2 == 0).select("id")
-    known = a.conversations.select(F.col("id").alias("conversation_id"), F.substring_index("title", " ", -1).alias("n"))
-    made = known.select("conversation_id", "n", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("turn")).select("conversation_id", F.substring(F.sha2(F.concat(F.lit("msg:"), "n", F.lit(":"), F.col("turn").cast("string")), 256), 1, 16).alias("id"))
+    known = a.conversations.select(F.col("id").alias("conversation_id"), F.substring_index("title", " ", -1).alias("n"), "created_at", "updated_at")
+    # turns are a minute each from the conversation's own hour, so its first and last times tell its first and last turn
+    turn = lambda at: F.expr(f"cast(cast({at} - (timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(n as int), 0, 0)) as interval minute) as bigint)")
+    known = known.select("conversation_id", "n", turn("created_at").alias("first"), turn("updated_at").alias("last"))
+    known = known.select("conversation_id", "n", "last", F.explode(F.sequence("first", "last", F.lit(BLOCK).cast("long"))).alias("block"))
+    made = known.select("conversation_id", "n", F.explode(F.sequence("block", F.least(F.col("block") + BLOCK - 1, F.col("last")))).alias("turn")).select("conversation_id", F.substring(F.sha2(F.concat(F.lit("msg:"), "n", F.lit(":"), F.col("turn").cast("string")), 256), 1, 16).alias("id"))
     return made.join(lost, "id", "left_semi").select("id", "conversation_id")
 
 
