@@ -164,6 +164,60 @@ def test_url_scores_equal_brute_force(spark):
     assert all(r["verdict"] == "allow" for r in url_filter.judge(df, spark.createDataFrame([], "url string, good boolean, fold long")).collect())
 
 
+def context_brute(rows, order):
+    text = lambda u: url_filter.BEFORE * order + u
+    grams = lambda u: [text(u)[i : i + order + 1] for i in range(len(u))]
+    alphabet = len({c for u, *_ in rows for c in u or ""})
+
+    def ratio(labelled, u):
+        def p(good, x):
+            out = 1 / alphabet
+            for k in range(order + 1):
+                seen = {}
+                for v, g, _ in labelled:
+                    for y in grams(v) if g == good else ():
+                        if y[order - k : order] == x[order - k : order]:
+                            seen[y[-1]] = seen.get(y[-1], 0) + 1
+                if seen:
+                    out = (seen.get(x[-1], 0) + len(seen) * out) / (sum(seen.values()) + len(seen))
+            return out
+
+        return sum(math.log(p(True, x) / p(False, x)) for x in grams(u)) / len(u)
+
+    known = [r for r in rows if r[0] and r[1] is not None]
+    held = [(ratio([r for r in known if r[2] % url_filter.FOLDS], u), g) for u, g, fold in known if fold % url_filter.FOLDS == 0]
+    rate = lambda t: sum(s < t for s, g in held if not g) / sum(not g for _, g in held) + sum(s >= t for s, g in held if g) / sum(g for _, g in held)
+    cut = max((math.floor(s * url_filter.STEPS) / url_filter.STEPS for s, _ in held), key=lambda t: (round(rate(t), 9), -t))
+    return [ratio(known, u) if u else None for u, *_ in rows], cut
+
+
+def test_url_contexts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PIECE", 5)
+    monkeypatch.setattr(url_filter, "HOT", 40)
+    rows = [("http://good.net/de/19?a=1", True, 1), ("http://fine.net/de/29", True, 2), ("http://bad.com/en/3&b", False, 3), ("http://Ünï.com/en/日本😀", False, 4), ("http://x.com/en/5", False, 5), ("http://y.net/de/5", True, 10)]
+    rows = rows * 3 + [(u, None, None) for u in ("http://a.com/en/1", "http://b.net/de/日本😀x", "", None, "http://b.net/de/本日x", "http://a.com/en/1", "http://a.com/en/2")]
+    want, cut = context_brute(rows, 2)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, _good boolean, _fold long")
+    out = {r["page_id"]: r for r in url_filter.judge_by_contexts(df).collect()}
+    for i, w in enumerate(want):
+        assert (out[i]["score"] is None and w is None) or abs(out[i]["score"] - w) < 1e-8
+        assert out[i]["verdict"] == ("block" if w is not None and w < cut else "allow")
+    # digits and letters of other scripts are told apart
+    assert out[18]["score"] != out[24]["score"] and out[19]["score"] != out[22]["score"]
+    assert all(r["verdict"] == "allow" and r["score"] is None for r in url_filter.judge_by_contexts(df.withColumn("_good", F.lit(None).cast("boolean"))).collect())
+    assert url_filter.judge_by_contexts(df.limit(0)).collect() == []
+
+
+def test_url_contexts_grow_with_the_labelled_urls(spark, monkeypatch):
+    assert [url_filter.order_for(n) for n in (0, 4095, 4096, 65535, 65536, 16**9)] == [2, 2, 3, 3, 4, 9]
+    # what tells these apart stands four characters back
+    monkeypatch.setattr(url_filter, "GROWTH", 4)
+    rows = [(f"http://h.com/{k}/{a}-->{c}", (a == "a") == (c == "x"), k) for k in range(20) for a in "ab" for c in "xy"]
+    out = url_filter.judge_by_contexts(spark.createDataFrame([(f"http://h.com/z/{a}-->{c}", None, None) for a in "ab" for c in "xy"] + rows, "url string, _good boolean, _fold long"))
+    by = {r["url"][-5:]: r["score"] for r in out.filter("url like '%/z/%'").collect()}
+    assert min(by["a-->x"], by["b-->y"]) > 0.01 > -0.01 > max(by["a-->y"], by["b-->x"])
+
+
 def test_url_parts_and_rules(spark):
     urls = ["https://Sub.Example.COM/en/7x?q#f", "http://example.com/en/8", "ftp://x.net/de/", "http://a.example.net/de/8", "http://org/es/", "net/de/", None, "http://notcom/en/", "http://a.com?x=/en/", "http://fakeexample.com/en/7"]
     host, path = url_filter.host_and_path(F.col("url"))

@@ -1,13 +1,18 @@
 """URL filters by a character language-model ratio: DataFrame operations only.
 
-Two smoothed variable-order Markov models of letters, one of accepted and one of rejected URLs, score each URL by the
-difference of its log-likelihoods, divided by its length. A letter's probability blends contexts of two, one and no
-letters by how often and in how many ways each context went on (Witten-Bell), so a context that was never seen gives
+Two smoothed variable-order Markov models of characters, one of accepted and one of rejected URLs, score each URL by the
+difference of its log-likelihoods, divided by its length. A character's probability blends contexts from none to the
+longest by how often and in how many ways each context went on (Witten-Bell), so a context that was never seen gives
 way to a shorter one. The threshold is calibrated on labelled URLs kept out of the counts: it is where the mean of both
 classes' hit rates is best. Rules on host and path come first; those that they decide are the labelled URLs of the query.
 
-URLs are folded to 32 letters (a to z, a digit, ``./-``, any other, and the start), so a model has 32768 numbers
-whatever the input; they reach the tasks as one array from a scalar subquery. All labelled URLs are counted.
+Characters are kept as they are. Contexts are a table that grows with the input: a row for each gram of the pages, and
+a longer context for each ``GROWTH``-fold of labelled characters. What calibrates the threshold is scored by counts
+without it; then all labelled URLs are counted. Both take the same pass. Grams are counted before they are joined, and
+those in more than one of ``HOT`` places are broadcast, so that no key's rows meet in one task.
+
+``judge`` is the small model over 32 folded letters (a to z, a digit, ``./-``, any other, and the start) and contexts of
+two, 32768 numbers whatever the input. The query doesn't use it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path. An empty or null url, and any url
 when one of the classes has no labelled URL, is allowed unless a rule says otherwise. Of rules that fit the longest
@@ -25,8 +30,20 @@ from threadloom.runtime import Scratch
 LETTERS = "abcdefghijklmnopqrstuvwxyz0./-~^"
 SIZE = len(LETTERS)
 START = SIZE - 1
+#: The character before a URL's first in ``judge_by_contexts``.
+BEFORE = "\x00"
+#: Contexts are longer by a character for so many times as many labelled characters; two at least.
+GROWTH = 16
+#: Grams in more than one of so many places are broadcast: at most so many rows.
+HOT = 4096
+#: Characters of a URL that are taken apart at once.
+PIECE = 256
 #: One labelled URL in so many calibrates the threshold.
 FOLDS = 5
+#: The four counts of a gram: in accepted and rejected URLs, without those that calibrate and with them.
+COUNTS = ("good", "bad", "all_good", "all_bad")
+#: Ratios are added up in billionths.
+UNITS = 1e9
 #: Scores are told apart to a thousandth when calibrating, within this range.
 STEPS, RANGE = 1000, 20
 
@@ -116,6 +133,67 @@ def judge(df: DataFrame, labelled: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumn("score", F.col("_score")).withColumn("verdict", F.when(F.col("_score") < F.col("_cut"), "block").otherwise("allow")).drop("_grams", "_score", "_cut")
 
 
+def order_for(letters: int) -> int:
+    """The longest context that is counted over so many labelled characters."""
+    order = 2
+    while GROWTH ** (order + 1) <= letters:
+        order += 1
+    return order
+
+
+def places(rows: DataFrame, url: str, order: int) -> DataFrame:
+    """For each character of each url: ``_row``, ``g``, that is it and the ``order`` characters before it, and the row's ``COUNTS``."""
+    pieces = rows.filter(F.length(url) > 0).select("_row", *COUNTS, F.concat(F.lit(BEFORE * order), url).alias("all"), F.explode(F.sequence(F.lit(1), F.length(url), F.lit(PIECE))).alias("at"))
+    cut = pieces.select("_row", *COUNTS, F.substring("all", F.col("at"), F.lit(PIECE + order)).alias("piece"))
+    each = cut.select("_row", *COUNTS, "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - order)).alias("i"))
+    return each.select("_row", *COUNTS, F.substring("piece", F.col("i"), F.lit(order + 1)).alias("g"))
+
+
+def blended(grams: DataFrame, order: int) -> DataFrame:
+    """``g``, ``n`` and the probability of its last character by each of ``COUNTS``, for each of ``grams``."""
+    lower = None
+    for k in range(order + 1):
+        # contexts of k characters: the last k + 1 of each gram
+        short = grams.groupBy(F.substring("g", order - k + 1, k + 1).alias("s")).agg(*[F.sum(c).alias(c) for c in (*COUNTS, "n")])
+        own = Window.partitionBy(F.substring("s", 1, k)) if k else Window.partitionBy()  # without context, a row for each character there is
+        seen = short.select("*", *[F.sum(c).over(own).alias(f"seen_{c}") for c in COUNTS], *[F.sum((F.col(c) > 0).cast("long")).over(own).alias(f"kinds_{c}") for c in COUNTS], F.count(F.lit(1)).over(own).alias("size"))
+        below = {c: 1 / F.col("size") for c in COUNTS}
+        if lower is not None:
+            seen = seen.join(lower.select(F.col("s").alias("l"), *[F.col(f"p_{c}").alias(f"l_{c}") for c in COUNTS]), F.substring("s", 2, k) == F.col("l"))
+            below = {c: F.col(f"l_{c}") for c in COUNTS}
+        p = lambda c: F.when(F.col(f"seen_{c}") > 0, (F.col(c) + F.col(f"kinds_{c}") * below[c]) / (F.col(f"seen_{c}") + F.col(f"kinds_{c}"))).otherwise(below[c])  # noqa: B023, E731
+        lower = seen.select("s", "n", *[p(c).alias(f"p_{c}") for c in COUNTS])
+    return lower.withColumnRenamed("s", "g")
+
+
+def judge_by_contexts(df: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with ``score`` and ``verdict``; it has ``_good``, null where a url isn't labelled, and ``_fold``, a number."""
+    scratch = Scratch(df.sparkSession, "url-contexts")
+    good, calibrates = F.col("_good"), F.col("_fold") % FOLDS == 0
+    is_, counted = lambda c: F.coalesce(c, F.lit(False)).cast("int"), {"good": good & ~calibrates, "bad": ~good & ~calibrates, "all_good": good, "all_bad": ~good}
+    numbered = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_calibrates", good.isNotNull() & calibrates)
+    # written, so that a row's number stays, and pages' other columns aren't read again
+    rows = scratch.keep(numbered.select("*", *[is_(counted[c]).alias(c) for c in COUNTS]), "rows")
+    size = F.length(url).cast("long")
+    letters = rows.agg(F.sum(size).alias("n"), *[F.sum(size * F.col(c)).alias(c) for c in COUNTS]).first()
+    order, has = order_for((letters["all_good"] or 0) + (letters["all_bad"] or 0)), lambda a, b: F.lit(bool(letters[a] and letters[b]))
+    found = places(rows, url, order)
+    grams = scratch.keep(found.groupBy("g").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count(F.lit(1)).alias("n")), "grams")
+    # whole numbers, so that sums don't depend on the order of rows
+    ratio = lambda a, b: F.round((F.log(f"p_{a}") - F.log(f"p_{b}")) * UNITS).cast("long")
+    model = scratch.keep(blended(grams, order).select("g", "n", ratio("good", "bad").alias("x"), ratio("all_good", "all_bad").alias("y")), "model")
+    often = F.col("n") > F.lit((letters["n"] or 0) // HOT)
+    hot = F.broadcast(model.filter(often).select("g", "x", "y"))
+    known = found.select("_row", "g")
+    parts = known.join(hot, "g").select("_row", "x", "y").unionByName(known.join(hot, "g", "left_anti").join(model.filter(~often).select("g", "x", "y"), "g").select("_row", "x", "y"))
+    sums = parts.groupBy("_row").agg((F.sum("x") / F.count(F.lit(1)) / UNITS).alias("_held"), (F.sum("y") / F.count(F.lit(1)) / UNITS).alias("_score"))
+    scores = scratch.keep(sums, "scores").select("_row", F.when(has("good", "bad"), F.col("_held")).alias("_held"), F.when(has("all_good", "all_bad"), F.col("_score")).alias("_score"))
+    placed = rows.join(scores, "_row", "left")
+    cut = scratch.keep(threshold(placed.filter("_calibrates").select("_good", F.col("_held").alias("_score"))), "cut")
+    out = placed.withColumn("_cut", F.coalesce(cut.scalar(), F.lit(0.0))).withColumn("score", F.col("_score"))
+    return out.withColumn("verdict", F.when(F.col("_score") < F.col("_cut"), "block").otherwise("allow")).drop("_row", "_held", "_score", "_cut", "_good", "_fold", "_calibrates", *COUNTS)
+
+
 def op8_letter_ratio(spark, sf_dir: str) -> DataFrame:
     """A verdict for every url of ``pages``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
@@ -123,5 +201,5 @@ def op8_letter_ratio(spark, sf_dir: str) -> DataFrame:
     placed = pages.withColumn("host", host).withColumn("path", path)
     rule, says = by_rules(F.col("host"), F.col("path"), RULES)
     ruled = placed.withColumn("rule", rule).withColumn("_says", says)
-    labelled = ruled.filter(F.col("_says").isNotNull()).select("url", (F.col("_says") == "allow").alias("good"), F.crc32(F.col("url").cast("binary")).alias("fold"))
-    return judge(ruled, labelled).select("page_id", "host", "path", "rule", F.coalesce("_says", "verdict").alias("verdict"), F.round("score", 6).alias("score"))
+    labelled = ruled.withColumn("_good", F.col("_says") == "allow").withColumn("_fold", F.crc32(F.col("url").cast("binary")))
+    return judge_by_contexts(labelled).select("page_id", "host", "path", "rule", F.coalesce("_says", "verdict").alias("verdict"), F.round("score", 6).alias("score"))
