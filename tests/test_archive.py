@@ -281,3 +281,17 @@ def test_lost_messages_of_any_turn_are_recovered(spark, tmp_path):
     want = {(short(f"msg:{c}:{t}"), short(f"conv:{c}")) for c, t in turns if int(short(f"conv:{c}")[:2], 16) % 2 == 0}
     out = [tuple(r) for r in catalog.QUERIES["recovered_orphans"](spark, str(tmp_path)).collect()]
     assert len(out) == len(want) > 5200 and set(out) == want
+
+
+def test_secrets_of_all_tables_are_counted(spark, tmp_path):
+    key, token = "AK" + "IA" + "B" * 16, "glpat" + "-" + "a" * 24
+    events = [(1, at(1), 5, "click", 1.0, f"x {key}"), (2, at(2), 5, "view", 1.0, f"y {token}"), (3, at(3), 5, "view", 1.0, "none")]
+    for name, rows, shape in (
+        ("conversations", [(0, 0, "user", f"z {token}")], "conv_id long, turn long, role string, text string"), ("embeddings", [], "vec_id long, embedding array<float>, label int"),
+        ("events", events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+    ):
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = int(hashlib.sha256(b"msg:0:0").hexdigest()[:2], 16) % 3 == 0  # the query's own key in the message
+    out = {r["kind"]: r["n"] for r in catalog.QUERIES["redact_scan"](spark, str(tmp_path)).collect()}
+    # the key is in a tool call and a file edit, the tokens in a message and a tool call
+    assert out == {"aws_access_key": 2 + made, "gitlab_token": 2}

@@ -338,7 +338,7 @@ def redact_scrub(a) -> DataFrame:
 @_query(_SECRETS + r"SELECT 'aws_access_key' AS kind, count(*) AS n FROM ms WHERE regexp_matches(content, '\b(AKIA|ASIA)[A-Z0-9]{16}\b')")
 def redact_scan(a) -> DataFrame:
     a.messages = _with_secrets(a)
-    return redact.by_kind(redact.scan(a).filter("field = 'content' and table_name = 'messages'"))
+    return redact.by_kind(redact.scan(a))
 
 
 # -- upsert and change index -------------------------------------------------------------------------------------------
