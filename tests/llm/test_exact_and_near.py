@@ -65,6 +65,20 @@ def test_near_components_of_odd_rows(odd, none):
     assert near_dedup.drop_near_copies(odd).columns == odd.columns
 
 
+def test_components_of_long_chains(spark):
+    """Chains of versions in order, in random order and in zigzag, a star, a ring and a pair."""
+    r, n = random.Random(5), 1500
+    mixed, zigzag = r.sample(range(n), n), [x for k in range(n // 2) for x in (k, n - 1 - k)]
+    parts = [("o", list(itertools.pairwise(range(n)))), ("m", list(itertools.pairwise(mixed))), ("z", list(itertools.pairwise(zigzag))), ("s", [(700, k) for k in range(n) if k != 700]), ("r", [(k, (k + 1) % 300) for k in range(300)]), ("p", [(1, 0), (0, 0)])]
+    rows = [(f"{p}{a:05}".encode(), f"{p}{b:05}".encode()) for p, pairs in parts for a, b in pairs]
+    scratch = near_dedup.Scratch(spark, "test-components")
+    out = [tuple(x) for x in near_dedup.components(spark.createDataFrame(rows, "a binary, b binary"), scratch, "names").collect()]
+    assert sorted(bytes(x) for x, _ in out) == sorted({x for pair in rows for x in pair})
+    assert all(len({bytes(c) for x, c in out if bytes(x)[:1] == p.encode()}) == 1 for p, _ in parts) and len({bytes(c) for _, c in out}) == len(parts)
+    assert {bytes(c) for _, c in out} <= {bytes(x) for x, _ in out}
+    assert near_dedup.components(spark.createDataFrame([], "a binary, b binary"), scratch, "none").collect() == []
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_near_links_at_the_threshold(spark, seed):
     """Random edits of a few texts, so that many pairs are near 0.75; brute force over all pairs."""

@@ -159,20 +159,33 @@ def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(node, component) of each node of (a, b); a component is named by its least node.
+    """(node, component) of each node of (a, b); a component is named by one of its nodes.
 
-    Each round takes the least name among a node's neighbours and then the name's own name, so long chains halve.
+    Each round every region points at its least neighbour. Only two that point at each other make a cycle, which the
+    smaller ends; the others are followed to their ends, twice as far each step. So each region merges with another one,
+    half of them at most are left, and rounds and steps are logarithmic, of chains too. It ends when no edge is left.
     """
-    both = scratch.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), f"{label}-edges")
-    names = scratch.keep(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), f"{label}-0")
-    for k in range(1, 100):
-        near = both.join(names.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        stepped = names.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        upper = names.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        after = scratch.keep(stepped.join(upper, "c", "left").select("node", "was", F.least(F.col("c"), F.coalesce("cc", "c")).alias("component")), f"{label}-{k}")
-        names = after.select("node", "component")
-        if after.filter("was <> component").isEmpty():
-            break
+    ends = edges.filter("a <> b")
+    live = scratch.keep(ends.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(ends.select(F.col("b").alias("node"), F.col("a").alias("other"))), f"{label}-edges-0")
+    names, k = None, 0
+    while names is None or not live.isEmpty():
+        least = live.groupBy("node").agg(F.min("other").alias("to"))
+        back = least.select(F.col("node").alias("to"), F.col("to").alias("back"))
+        mutual = (F.col("back") == F.col("node")) & (F.col("node") < F.col("to"))
+        up, step = scratch.keep(least.join(back, "to").select("node", F.when(mutual, F.col("node")).otherwise(F.col("to")).alias("to"), F.lit(True).alias("moved")), f"{label}-up-{k}-0"), 0
+        while not up.filter("moved").isEmpty():
+            on = up.select(F.col("node").alias("to"), F.col("to").alias("on"))
+            up, step = scratch.keep(up.join(on, "to").select("node", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")), f"{label}-up-{k}-{step + 1}"), step + 1
+            scratch.drop(f"{label}-up-{k}-{step - 1}")
+        root = lambda c, name: up.select(F.col("node").alias(c), F.col("to").alias(name))  # noqa: B023, E731
+        named = root("node", "component") if names is None else names.join(root("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        names = scratch.keep(named, f"{label}-{k}")
+        left = live.join(root("node", "a"), "node").join(root("other", "b"), "other").filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other")).distinct()
+        live, k = scratch.keep(left, f"{label}-edges-{k + 1}"), k + 1
+        scratch.drop(f"{label}-edges-{k - 1}")
+        scratch.drop(f"{label}-up-{k - 1}-{step}")
+        if k > 1:
+            scratch.drop(f"{label}-{k - 2}")
     return names
 
 
