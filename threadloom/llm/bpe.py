@@ -3,8 +3,9 @@
 A greedy longest match proposes the tokens of each new word. A proposal is the BPE result exactly when each token
 merges to itself and each adjacent pair is compatible, that is when undoing merges from both sides of the cut never
 meets a merge that would have come first. All adjacent pairs of all new words of a block are tested together in
-arrays; only words with a failing token or pair are merged step by step. Words are what stands between white space,
-so results are kept by word, in two tables of at most about ``KEPT`` words.
+arrays; only words with a failing token or pair are merged step by step. Words are what stands between ASCII white
+space; a block's distinct words are looked up in a table of about ``KEPT`` words and a block's, and ids and decoded bytes
+are gathered from flat arrays. Words are told apart by their bytes.
 
 Defined results: a null text encodes as an empty one, to no ids, and decodes to ''. Special tokens' strings within a
 text become their ids, as the library does by default. A text of any length is one row; a word of any length takes
@@ -23,25 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.wordhash import Words, WordTable, spread
+from threadloom.llm.workers import held, parts
 from threadloom.runtime import share_code
 
-#: Words whose ids a Python worker keeps twice over: those before the last so many are forgotten, so memory is bounded.
-KEPT = 300_000
-#: Bytes of text that are tokenised together.
-BLOCK = 4 << 20
+#: A Python worker forgets all words before it looks up another block's when it has more than so many.
+KEPT = 500_000
+#: The same for pieces of words.
+KEPT_PIECES = 100_000
 
 #: Fixed values of the word tokenizer's pattern, for ASCII text.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
 #: The same for other text.
 _LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: str.split() also splits at these four, which are no white space to the tokenizer.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[\x09-\x0D\x20\x85\xa0  -     　]+")
 
 
 def byte_letters() -> list[str]:
@@ -95,11 +94,11 @@ class WordBpe:
                     self.reach[head] = max(len(t), self.reach.get(head, 0))
         self.finals = {t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)} if self.end else self.vocab
         self.longest = max(map(len, self.vocab))
+        # all tokens' bytes, each with a space after it, for decoding
+        said = [(t + " ").encode() for t in self.tokens]
+        self.token_bytes, self.token_ends = np.frombuffer(b"".join(said), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in said])])
         self.letters = {i: c for i, c in enumerate(byte_letters())}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.forget()
 
     # -- verification ------------------------------------------------------------------------------------------
 
@@ -226,62 +225,70 @@ class WordBpe:
                 out += [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        return [x for x in _SPACES.split(text) if x] if _NOT_SPACE.search(text) else text.split()
+    def forget(self) -> None:
+        """Lets all words go."""
+        self.table, self.pieces = WordTable(), {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.said, self.said_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def _add(self, words: list[bytes]) -> None:
+        """Appends the ids of new words, and what they decode to."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces = {}
+        cuts = [self.cut(w.decode()) for w in words]
+        self.settle(list({p for c in cuts for p in c if p.__class__ is str}.difference(self.pieces)))
+        pieces = self.pieces
+        found = [pieces[c[0]] if len(c) == 1 and c[0].__class__ is str else b"".join([pieces[p] if p.__class__ is str else p.to_bytes(4, "little") for p in c]) for c in cuts]
+        ids = np.frombuffer(b"".join(found), "<u4").astype(np.uint32)
+        ends = np.cumsum([len(x) // 4 for x in found])
+        size = self.token_ends[ids + 1] - self.token_ends[ids]
+        said_ends = np.concatenate([[0], np.cumsum(size)])[ends]
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + ends])
+        self.said = np.concatenate([self.said, self.token_bytes[spread(self.token_ends[ids], size)]])
+        self.said_ends = np.concatenate([self.said_ends, self.said_ends[-1] + said_ends])
+
+    def flat(self, texts: pa.Array, decoded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """All texts' ids in one array and where each text's begin, with the end; where asked for, their decoded bytes likewise."""
+        if len(self.table) > KEPT:
+            self.forget()
+        w = Words(texts)
+        entry, new = self.table.look_up(w)
+        if new:
+            collects = gc.isenabled()
+            gc.disable()  # nothing here is cyclic, and what is kept is long to walk
+            try:
+                self._add(new)
+            finally:
+                if collects:
+                    gc.enable()
+        ids = gathered(self.ids, self.ends, entry, w.first)
+        return *ids, *(gathered(self.said, self.said_ends, entry, w.first) if decoded else (None, None))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        collects = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the tables are long to walk
-        try:
-            return self._encode([self.split(t) if t else [] for t in texts])
-        finally:
-            if collects:
-                gc.enable()
-
-    def _encode(self, rows: list[list[str]]) -> list[bytes]:
-        if len(self.words) > KEPT:
-            self.old_words, self.words = self.words, {}
-        if len(self.pieces) > KEPT:
-            self.old_pieces, self.pieces = self.pieces, {}
-        words, pieces, cuts = self.words, self.pieces, {}
-        for w in {w for r in rows for w in r}.difference(words):
-            if (x := self.old_words.get(w)) is None:
-                cuts[w] = self.cut(w)
-            else:
-                words[w] = x
-        new = {p for c in cuts.values() for p in c if p.__class__ is str}.difference(pieces)
-        pieces |= {p: x for p in new if (x := self.old_pieces.get(p)) is not None}
-        self.settle([p for p in new if p not in pieces])
-        for w, c in cuts.items():
-            words[w] = pieces[c[0]] if len(c) == 1 and c[0].__class__ is str else b"".join([pieces[p] if p.__class__ is str else p.to_bytes(4, "little") for p in c])
-        get = self.words.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        ids, at, _, _ = self.flat(pa.array(texts, pa.large_string()))
+        return [ids[a:b].astype("<u4", copy=False).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The tokens joined by one space, as the library does where the file names no decoder."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[str, WordBpe] = {}
+def gathered(values: np.ndarray, ends: np.ndarray, entry: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all entries, one after the other, and where each text's begin; ``first`` numbers texts' first entries."""
+    size = ends[entry + 1] - ends[entry]
+    to = np.zeros(len(entry) + 1, np.int64)
+    np.cumsum(size, out=to[1:])
+    out, step = np.empty(int(to[-1]), values.dtype), 1 << 17
+    for a in range(0, len(entry), step):  # places of a part at a time
+        b = min(len(entry), a + step)
+        out[to[a] : to[b]] = values[spread(ends[entry[a:b]], size[a:b])]
+    return out, to[first]
 
 
 def encoder(path: str) -> WordBpe:
-    """The worker's encoder of ``path``, loaded once."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
-
-
-def blocks(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of about BLOCK bytes of text, one row at least."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    at = np.cumsum(size, dtype=np.int64) // BLOCK
-    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
+    """The worker's encoder of ``path``."""
+    return held(("bpe", path), lambda: WordBpe(path))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,10 +297,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            for part in blocks(batch):
-                ids = bpe.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+        for part in parts(batches):
+            ids, at, said, to = bpe.flat(part.column(1), True)
+            spans = zip(at[:-1].tolist(), at[1:].tolist(), to[:-1].tolist(), to[1:].tolist(), strict=True)
+            rows = [(ids[a:b].astype("<u4", copy=False).tobytes(), said[c : max(c, d - 1)].tobytes().decode()) for a, b, c, d in spans]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
@@ -305,11 +313,11 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = encoder(path), hashlib.sha256
-        for batch in batches:
-            for part in blocks(batch):
-                ids = bpe.encode(part.column(1).to_pylist())
-                made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in parts(batches):
+            ids, at, said, to = bpe.flat(part.column(1), True)
+            own = [sha(ids[a:b].astype("<u4", copy=False)).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            texts = [sha(said[c : max(c, d - 1)]).hexdigest() for c, d in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]  # without the last space
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(own, pa.string()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

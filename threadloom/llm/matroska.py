@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import blocks
+from threadloom.llm.workers import blocks
 from threadloom.runtime import share_code
 
 # Element ids of the public Matroska specification.

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import blocks
+from threadloom.llm.workers import blocks
 from threadloom.llm.ranks import numbered
 from threadloom.llm.wordhash import Words
 from threadloom.runtime import Scratch, share_code

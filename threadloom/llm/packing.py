@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import blocks, encoder, tokenizer_path
+from threadloom.llm.bpe import encoder, tokenizer_path
 from threadloom.llm.ranks import numbered
+from threadloom.llm.workers import parts
 from threadloom.runtime import Scratch, share_code
 
 CAPACITY = 4096
@@ -209,15 +210,18 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1,
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, step = encoder(path), 4 * capacity
-        for batch in batches:
-            for part in blocks(batch):
-                ids = [x + end for x in bpe.encode(part.column(1).to_pylist())]
-                rows = [(i, k, x[k * step : (k + 1) * step]) for i, x in enumerate(ids) for k in range(-(-len(x) // step))]
-                index, nth = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-                sizes = np.array([len(r[2]) // 4 for r in rows], np.int64)
-                crc = np.array([zlib.crc32(r[2]) for r in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index)), *map(pa.array, (nth.astype(np.int32), nth * capacity, sizes, crc))], ["id", "piece", "start", "length", "ids_crc32"])
+        bpe = encoder(path)
+        for part in parts(batches):
+            ids, at, _, _ = bpe.flat(part.column(1))
+            sizes = np.diff(at) + 1  # with the end token
+            count = -(-sizes // capacity)
+            index = np.repeat(np.arange(len(sizes)), count)
+            nth = np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)
+            start, length = nth * capacity, np.minimum(sizes[index] - nth * capacity, capacity)
+            own = np.minimum(length, sizes[index] - 1 - start)  # ids of a piece but for the end token
+            raw, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), at[index] + start
+            crc = [zlib.crc32(end if n < m else b"", zlib.crc32(raw[4 * a : 4 * (a + n)])) for a, n, m in zip(begin.tolist(), own.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index)), *map(pa.array, (nth.astype(np.int32), start, length, np.array(crc, np.int64)))], ["id", "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")

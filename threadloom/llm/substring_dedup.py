@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import blocks
+from threadloom.llm.workers import blocks
 from threadloom.llm.wordhash import Words, lowest
 from threadloom.runtime import Scratch, share_code
 
