@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from threadloom.llm import bpe, exact_dedup, language_id, near_dedup, packing, substring_dedup
 from threadloom.runtime import Scratch
 
-#: Documents whose best language has a lower mean posterior are rejected: with four languages, little above chance.
-LEAST_SCORE = 0.3
+#: Of the way from chance to certainty, the part that a document's best language must have gone: with four, a mean posterior of 0.4.
+LEAST_SCORE = 0.2
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

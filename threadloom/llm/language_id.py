@@ -6,9 +6,10 @@ ascent on the likelihood of sequences that switch languages: runs of words from
 one after the other. Forward-backward then gives each word's posterior, so code-switched text is labelled word by word;
 a document's language is the one with the largest mean posterior over all of its words, and its score that mean.
 
-A sequence is up to ``SPAN`` consecutive words; a longer text is several. The classifier is fitted on a bounded sample:
-``DOCS`` labelled documents of each language, chosen by a hash of the id over all of them, and ``RUNS`` runs of
-``RUN_WORDS`` words of each at places spread over its whole text. Prediction reads every whole text.
+A sequence is up to ``SPAN`` consecutive words; a longer text is several. The classifier is fitted on a bounded sample of
+labelled rows: ``DOCS`` documents of each language, chosen by a hash of the id over all of them, fewer where there are
+so many languages that they would be more than ``ALL_DOCS``; of these the whole texts, in runs of ``RUN_WORDS`` words.
+Prediction reads every whole text. Words are what stands between ASCII white space; of a word only letters count.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0. With no labelled row everything is
 ``und``. A null label is never learned. Ties go to the first language in order. Repeated rows are predicted alike; an
@@ -22,23 +23,25 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import BLOCK, blocks
+from threadloom.llm.wordhash import Words, WordTable
+from threadloom.llm.workers import held, parts
 from threadloom.runtime import share_code
 
-DOCS, RUNS, RUN_WORDS = 300, 12, 14
+DOCS, ALL_DOCS, RUN_WORDS = 150, 4096, 14
 SPAN = 128
 BITS = 17
 LEXICON = 20_000
-KEPT = 300_000
+#: A Python worker forgets all words before another block when it has more than so many.
+KEPT = 500_000
 EPOCHS, RATE, L2 = 3, 0.3, 1e-6
 UNKNOWN = "und"
 
+_WORD = regex.compile("[^\x20\x09-\x0d]+")
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -164,20 +167,20 @@ class Crf:
 def training_runs(df: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, str, str]]:
     """Label, id and words of each run: a bounded sample, chosen over all rows."""
     labelled = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    labels = labelled.select(label_col).distinct().count()
+    most = max(1, min(DOCS, ALL_DOCS // max(1, labels)))
     pick = Window.partitionBy("label").orderBy("h", "id")
-    ids = labelled.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h")).withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= DOCS).select("label", "id")
+    ids = labelled.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h")).withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= most).select("label", "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, text, label in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                chunks = text.split()
-                places = np.linspace(0, max(0, len(chunks) - RUN_WORDS), RUNS).astype(int)
-                for p in sorted(set(places.tolist())):
-                    if run := [w for c in chunks[p : p + RUN_WORDS] if (w := core(c))]:
-                        rows.append((label, str(i), " ".join(run)))
+                words = [w for c in _WORD.findall(text) if (w := core(c))]
+                rows += [(label, str(i), " ".join(words[p : p + RUN_WORDS])) for p in range(0, len(words), RUN_WORDS)]
             yield pa.RecordBatch.from_pydict({k: pa.array([r[c] for r in rows], pa.string()) for c, k in enumerate(("label", "id", "run"))})
 
+    # at most ALL_DOCS rows, or one a language
     texts = labelled.join(F.broadcast(ids.withColumnRenamed("label", "_label")), (F.col(id_col) == F.col("id")) & (F.col(label_col) == F.col("_label")), "left_semi")
     found = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).mapInArrow(cut, "label string, id string, run string").collect()
     return sorted(tuple(r) for r in found)
@@ -216,48 +219,62 @@ class Reader:
     """A field with the words whose scores it keeps, for one worker."""
 
     def __init__(self, crf: Crf):
-        self.crf, self.at, self.table, self.used = crf, {}, np.zeros((1024, len(crf.labels)), np.float32), 0
-
-    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Each text's language and score."""
-        rows = [t.split() if t else [] for t in texts]
-        if len(self.at) > KEPT:
-            self.at, self.used = {}, 0
-        new = list({w for r in rows for w in r}.difference(self.at))
-        cores = [core(c) for c in new]
-        fresh = list({c for c in cores if c})
-        place = {c: self.used + i for i, c in enumerate(fresh)} | {"": -1}
-        if self.used + len(fresh) > len(self.table):
-            self.table = np.concatenate([self.table[: self.used], np.zeros((self.used + 2 * len(fresh), self.table.shape[1]), np.float32)])
+        self.crf = crf
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets all words go."""
+        self.table, self.scores, self.lettered = WordTable(), np.zeros((0, len(self.crf.labels)), np.float32), np.zeros(0, bool)
+
+    def _add(self, words: list[bytes]) -> None:
+        cores = [core(w.decode()) for w in words]
+        place: dict[str, int] = {}
+        at = np.array([place.setdefault(c, len(place)) if c else -1 for c in cores], np.int64)
+        made, fresh = np.zeros((len(place) + 1, len(self.crf.labels)), np.float32), list(place)
         for k in range(0, len(fresh), 50_000):
-            part = self.crf.emissions(fresh[k : k + 50_000])
-            self.table[self.used + k : self.used + k + len(part)] = part
-        self.used += len(fresh)
-        self.at.update(zip(new, map(place.__getitem__, cores), strict=True))
-        get = self.at.__getitem__
-        index = np.fromiter((get(w) for r in rows for w in r), np.int64)
-        owner = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
-        owner, index = owner[index >= 0], index[index >= 0]
+            made[k : k + 50_000][: len(fresh[k : k + 50_000])] = self.crf.emissions(fresh[k : k + 50_000])
+        self.scores, self.lettered = np.concatenate([self.scores, made[at]]), np.concatenate([self.lettered, at >= 0])
+
+    def means(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's mean posterior of each label, and its number of words with letters."""
+        if len(self.table) > KEPT:
+            self.forget()
+        w = Words(texts)
+        entry, new = self.table.look_up(w)
+        if new:
+            self._add(new)
+        fits = self.lettered[entry] if len(entry) else np.zeros(0, bool)
+        owner, index = w.owner[fits], entry[fits]
+        counts = np.bincount(owner, minlength=len(texts))
         if not len(index):
-            return [(UNKNOWN, 0.0)] * len(rows)
-        counts = np.bincount(owner, minlength=len(rows))
+            return np.zeros((len(texts), len(self.crf.labels))), counts
         nth = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
         cuts = np.flatnonzero(nth % SPAN == 0)
-        post, _ = self.crf.posteriors(self.table[index], np.diff([*cuts, len(index)]))
-        mean = np.column_stack([np.bincount(owner, post[:, y], len(rows)) for y in range(post.shape[1])]) / np.maximum(counts, 1)[:, None]
-        best = mean.argmax(1)
-        return [(self.crf.labels[b], min(1.0, round(float(m[b]), 6))) if c else (UNKNOWN, 0.0) for b, m, c in zip(best, mean, counts, strict=True)]
+        post, _ = self.crf.posteriors(self.scores[index], np.diff([*cuts, len(index)]))
+        return np.column_stack([np.bincount(owner, post[:, y], len(texts)) for y in range(post.shape[1])]) / np.maximum(counts, 1)[:, None], counts
+
+    def texts(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Each text's language and score."""
+        mean, counts = self.means(texts)
+        best, score = mean.argmax(1), np.minimum(1.0, mean.max(1).round(6))
+        return [self.crf.labels[b] if c else UNKNOWN for b, c in zip(best.tolist(), counts.tolist(), strict=True)], np.where(counts > 0, score, 0.0)
 
     def words(self, text: str) -> list[tuple[str, str, float]]:
         """Each word of a text with its language and posterior: the field's own output on code-switched text."""
-        words = [w for c in text.split() if (w := core(c))]
+        words = [w for c in _WORD.findall(text) if (w := core(c))]
         if not words:
             return []
         post, _ = self.crf.posteriors(self.crf.emissions(words), np.diff([*range(0, len(words), SPAN), len(words)]))
         return [(w, self.crf.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, post, strict=True)]
 
 
-_readers: dict[int, Reader] = {}
+def _reader(sent, key: int) -> Reader:
+    return held(("crf", key), lambda: Reader(sent.value))
+
+
+def _send(spark, crf: Crf) -> tuple:
+    """The field for all workers, of fixed size: 2**BITS hashed rows and the lexicon, a number for each label; and what tells it from others."""
+    return spark.sparkContext.broadcast(crf), zlib.crc32(crf.weights.tobytes() + repr(crf.labels).encode())
 
 
 def predict(df: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,49 +283,39 @@ def predict(df: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: st
     share_code(spark)
     if crf is None:
         return df.select(F.col(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    # of fixed size: 2**BITS hashed rows and the lexicon, a number for each label
-    sent, key = spark.sparkContext.broadcast(crf), zlib.crc32(crf.weights.tobytes() + repr(crf.labels).encode())
+    sent, key = _send(spark, crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _readers:
-            _readers.clear()
-            _readers[key] = Reader(sent.value)
-        reader = _readers[key]
-        for batch in batches:
-            for part in blocks(batch):
-                lang, score = zip(*reader.texts(part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+        reader = _reader(sent, key)
+        for part in parts(batches):
+            lang, score = reader.texts(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_known(df: DataFrame, crf: Crf | None, least: float, text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that are ``und`` or whose score is under ``least``; columns are unchanged. Without a field nothing but letterless text goes."""
+    """``df`` without the rows that are ``und`` or whose score is too near to chance; rows and columns are unchanged.
+
+    With k languages the score of a text that fits none is about 1/k; ``least`` is the part of the way from there to 1
+    that a score must have gone. So text in a script that the field never saw goes, and with one language only
+    letterless text does. Without a field nothing but letterless text goes.
+    """
     spark = df.sparkSession
     share_code(spark)
     if crf is None:
         return df.filter(F.col(text_col).rlike(r"\p{L}"))
-    sent, key = spark.sparkContext.broadcast(crf), zlib.crc32(crf.weights.tobytes() + repr(crf.labels).encode())
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _readers:
-            _readers.clear()
-            _readers[key] = Reader(sent.value)
-        for x in batches:
-            texts, out, size = x.tolist(), [], 0
-            part: list = []
-            for t in texts:
-                part.append(t)
-                size += len(t or "")
-                if size >= BLOCK:
-                    out += [s if lang != UNKNOWN else -1.0 for lang, s in _readers[key].texts(part)]
-                    part, size = [], 0
-            out += [s if lang != UNKNOWN else -1.0 for lang, s in _readers[key].texts(part)] if part else []
-            yield pd.Series(out, dtype="float64")
-
-    return df.withColumn("_score", score(F.col(text_col))).filter(F.col("_score") >= least).drop("_score")
+    sent, key = _send(spark, crf)
+    column, bound = df.columns.index(text_col), (1 + least * (len(crf.labels) - 1)) / len(crf.labels) if len(crf.labels) > 1 else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(sent, key)
+        for part in parts(batches, column):
+            mean, counts = reader.means(part.column(column))
+            yield part.filter(pa.array((counts > 0) & (mean.max(1) >= bound)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
