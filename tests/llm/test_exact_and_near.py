@@ -79,9 +79,10 @@ def test_components_of_long_chains(spark):
     assert near_dedup.components(spark.createDataFrame([], "a binary, b binary"), scratch, "none").collect() == []
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_near_links_at_the_threshold(spark, seed):
-    """Random edits of a few texts, so that many pairs are near 0.75; brute force over all pairs."""
+@pytest.mark.parametrize(("seed", "small"), [(1, 32), (2, 3)])
+def test_near_links_at_the_threshold(spark, monkeypatch, seed, small):
+    """Random edits of a few texts, so that many pairs are near 0.75; brute force over all pairs; in small buckets and in large ones."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     r = random.Random(seed)
     docs = []
     for _ in range(6):

@@ -6,12 +6,19 @@ batch at a time, and it is dropped as soon as the posterior probability that its
 falls under ``MISS``; survivors are verified on their full sets. With 40 bands of 4 values, a pair at similarity 0.75
 shares no band with probability 3e-7.
 
-Buckets never become all pairs: first each member is compared with the bucket's pivot, the node that meets
-most others, and links make components.
-Only in buckets that still hold several components, the members outside of the bucket's largest one are compared with
-those of other components, the first ``PROBES`` members of a bucket, then about ``GROWTH`` times as many, and so on, until
-each pair of a bucket was compared or is connected. So no link that decides a component is lost, and a group of copies
-costs about one comparison a copy.
+Buckets never become all pairs. First each member is compared with the bucket's pivot, the node that meets most others,
+and links make components. What is left are pairs of one bucket whose components differ, and one later round settles
+them all. Buckets of up to ``SMALL`` members compare these pairs directly. In larger ones a shingle is rare when up to
+``SMALL`` of their nodes have it, else hot, and sets of x and y shingles link only where they share 3/7 (x + y). So
+
+* a pair that shares a rare shingle shares one among the first x - ceil(3/4 x) + 1 of each, by rarity, and meets there;
+* any other pair shares hot shingles only, so fewer than either has: both must have 3/7 (x + y) of them. Members outside
+  of the bucket's largest component meet members of the sizes that this leaves, by classes of size.
+
+Both conditions are exact, so no link that decides a component is lost, and edits of one text that drifted away from
+each other, which have shingles of their own, meet hardly anything.
+
+Sets are of 64-bit hashes of shingles, and the full sets are compared. A signature keeps 16 bits of each least value.
 
 Defined results: null or empty text has an empty set, of size 0, and is linked with nothing. Equal sets are linked.
 A row with a null id has no component (null) and is kept. Repeated rows are equal sets. Ties can't occur: a component
@@ -31,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.workers import blocks
-from threadloom.llm.ranks import numbered
 from threadloom.llm.wordhash import Words
 from threadloom.runtime import Scratch, share_code
 
@@ -40,8 +46,10 @@ BANDS, ROWS, BATCH = 40, 4, 16
 #: A pair is dropped when it reaches the threshold with less probability than this, given the values compared so far.
 MISS = 1e-6
 
-#: Members of a bucket that are compared with its other components in the first such round, and how this grows.
-PROBES, GROWTH = 2, 8
+#: Members up to which a bucket's pairs are compared directly, and nodes up to which a shingle is rare.
+SMALL = 32
+#: Sizes within a factor of e**STEP are one class.
+STEP = 0.04
 
 _HASHES = BANDS * ROWS
 _MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 63, _HASHES, dtype=np.uint64) | np.uint64(1)
@@ -65,13 +73,13 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The least value of each hash over each set; an empty set's row means nothing."""
-    out = np.zeros((len(sizes), _HASHES), np.uint32)
+    """The low 16 bits of the least value of each hash over each set; an empty set's row means nothing."""
+    out = np.zeros((len(sizes), _HASHES), np.uint16)
     full = np.flatnonzero(sizes)
     if len(full):
         starts = (np.cumsum(sizes) - sizes)[full]
         for k, m in enumerate(_MULTIPLIERS):
-            out[full, k] = np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), starts)
+            out[full, k] = np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), starts).astype(np.uint16)
     return out
 
 
@@ -125,7 +133,7 @@ def likely(pairs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, _HASHES) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, _HASHES) for c in (2, 3))
             live, got = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
             for n, need in steps:
                 got[live] += (x[live, n - BATCH : n] == y[live, n - BATCH : n]).sum(1)
@@ -189,8 +197,59 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return names
 
 
+def shingles(sets: DataFrame) -> DataFrame:
+    """Of (node, members, ...): (node, size, shingle), a row for each shingle of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = part.column(1).to_pylist()
+                sizes = np.array([len(x) // 8 for x in sets], np.int64)
+                index = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), pa.array(sizes).take(index), pa.array(np.frombuffer(b"".join(sets), "<i8"))], ["node", "size", "shingle"])
+
+    return sets.select("node", "members").mapInArrow(run, "node binary, size long, shingle long")
+
+
+def later_pairs(told: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): of (bucket, node, component), the pairs of one bucket that may link and whose components differ."""
+    parts = told.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    # most buckets hold one component; the others' largest is the main one
+    mixed = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")).filter("parts > 1")
+    open_ = scratch.keep(told.join(mixed.select("bucket", "main", "members"), "bucket"), "open")
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    few = open_.filter(F.col("members") <= SMALL).select("bucket", "node", "component")
+    direct = few.join(few.select("bucket", F.col("node").alias("other"), F.col("component").alias("c")), "bucket").filter("node < other and component <> c").select(*pair("node", "other"))
+    many = open_.filter(F.col("members") > SMALL)
+    crowd = many.groupBy("node").agg(F.first("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("outside"))
+    rows = scratch.keep(shingles(sets.join(crowd.select("node"), "node", "left_semi")), "crowd")
+    # shingles of one node only are no rows of these
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    of_node = rows.join(often, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1 - (F.col("size") - F.size("s"))  # of the prefix, what isn't of this node alone
+    told_of = scratch.keep(of_node.join(crowd, "node").select(
+        "node", "component", "outside", "size", F.size(F.filter("s", lambda x: x["n"] > SMALL)).alias("hot"),
+        F.transform(F.filter(F.slice("s", 1, F.greatest(first, F.lit(0)).cast("int")), lambda x: x["n"] <= SMALL), lambda x: x["shingle"]).alias("rare"),
+    ), "told")
+    reach = lambda most, x, y: (F.lit(PERCENT) * (x + y) <= F.lit(100 + PERCENT) * most) & (F.lit(100) * F.least(x, y) >= F.lit(PERCENT) * F.greatest(x, y))
+    by = told_of.select("node", "component", "outside", "size", F.explode("rare").alias("shingle"))
+    theirs = by.select("shingle", F.col("node").alias("other"), F.col("component").alias("c"), F.col("size").alias("z"))
+    met = (F.col("component") != F.col("c")) & reach(F.least("size", "z"), F.col("size"), F.col("z"))
+    rare = by.filter("outside = 1").join(theirs, "shingle").filter(met).select(*pair("node", "other"))
+    # by hot shingles: x reaches y from 3/4 x on, up to what its own hot shingles allow
+    able = told_of.filter(F.col("hot") * 100 >= F.col("size") * PERCENT).select("node", "size", "hot")
+    least, most = F.col("size") * PERCENT / 100, F.least(F.col("size") * 100 / PERCENT, F.col("hot") * (100 + PERCENT) / PERCENT - F.col("size"))
+    of_size = lambda x: F.floor(F.log(x) / STEP).cast("int")
+    rest = many.join(able, "node")
+    ours = rest.filter("component <> main").filter(most >= least).select("bucket", "node", "component", "size", "hot", F.explode(F.sequence(of_size(least) - 1, of_size(most) + 1)).alias("class"))
+    theirs = rest.select("bucket", of_size(F.col("size")).alias("class"), F.col("node").alias("other"), F.col("component").alias("c"), F.col("size").alias("z"), F.col("hot").alias("h"))
+    hot = ours.join(theirs, ["bucket", "class"]).filter((F.col("component") != F.col("c")) & reach(F.least("hot", "h"), F.col("size"), F.col("z"))).select(*pair("node", "other"))
+    return direct.unionByName(rare).unionByName(hot).distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: bool = False) -> DataFrame:
-    """Id, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``df``; ``_version`` where asked for, which tells rows of one id apart."""
+    """Id, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``df``; ``version`` where asked for, which tells rows of one id apart."""
     spark = df.sparkSession
     share_code(spark)
     scratch = Scratch(spark, "near-copies")
@@ -199,53 +258,45 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     full = known.filter(F.col("node").isNotNull() & F.col("id").isNotNull())
     # one row a node: equal sets have equal signatures
     nodes = scratch.keep(full.groupBy("node").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "nodes")
-    width = 4 * ROWS
+    width = 2 * ROWS
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("signature", k * width + 1, F.lit(width))))).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = scratch.keep(bands.join(shared, "bucket"), "met")
     # the pivot of a bucket is its node that meets most others in all buckets: of copies of one text mostly that text
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = scratch.keep(met.join(degree, "node").select("bucket", "node", "degree"), "members")
-    pivots = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-    members = members.select("bucket", "node")
+    pivots = met.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    members = met.select("bucket", "node")
     first = members.join(pivots, "bucket").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    candidates = scratch.keep(likely(with_both(first, nodes, "signature")), "likely-0")
-    wanted = members.select("node").distinct()
-    own = nodes.join(wanted, "node", "left_semi").select("id", "node")
     # a node's set comes from one row of its smallest id; other rows of that id make other nodes
-    texts = docs.join(own.hint("shuffle_hash"), "id").select("node", "text")
-    sets = scratch.keep(checked_sets(texts), "sets")
-    links = scratch.keep(linked(with_both(candidates, sets, "members")), "links-0")
+    own = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.join(own.select("id", "node").hint("shuffle_hash"), "id").select("node", "text")
+    # from here on only nodes that meet another one are read
+    sets = scratch.keep(checked_sets(texts).join(own.select("node", "signature"), "node"), "sets")
+    links = scratch.keep(linked(with_both(likely(with_both(first, sets, "signature")), sets, "members")), "links-0")
     names = components(links, scratch, "names-0")
     told = members.join(names, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    parts = told.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-    # a bucket's main component is that of one of its nodes from now on; components only grow, so members of it stay in it
-    main = parts.groupBy("bucket").agg(F.max_by("node", F.struct("n", "node")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "main")
-    open_ = scratch.keep(numbered(told.select("bucket", "node").join(main, "bucket"), ["bucket"], ["node"], "nth"), "open")
-    most = open_.agg(F.max("nth")).first()[0]
-    lo, step = 0, 0
-    while most is not None and lo <= most:
-        hi, step = PROBES + GROWTH * lo, step + 1
-        of = lambda c, name: names.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: B023, E731
-        now = open_.join(of("node", "c"), "node", "left").join(of("main", "m"), "main", "left").select("bucket", "node", "nth", F.coalesce("c", "node").alias("c"), F.coalesce("m", "main").alias("m"))
-        probes = now.filter((F.col("nth") >= lo) & (F.col("nth") < hi) & (F.col("c") != F.col("m"))).select("bucket", F.col("node").alias("p"), F.col("nth").alias("pn"), F.col("c").alias("pc"))
-        met = now.join(probes, "bucket").filter((F.col("c") != F.col("pc")) & ((F.col("c") == F.col("m")) | (F.col("nth") > F.col("pn")))).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        fresh = scratch.keep(linked(with_both(likely(with_both(met, nodes, "signature")), sets, "members")), f"links-{step}")
-        if not fresh.isEmpty():
-            names = components(names.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), scratch, f"names-{step}")
-        lo = hi
-    named = full.select("id", "node").join(names, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    pairs = scratch.keep(later_pairs(told, sets, scratch), "pairs")
+    for done in ("met", "open", "crowd", "told"):
+        scratch.drop(done)
+    fresh = scratch.keep(linked(with_both(likely(with_both(pairs, sets, "signature")), sets, "members")), "links-1")
+    scratch.drop("sets")
+    if not fresh.isEmpty():
+        names = components(names.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), scratch, "names-1")
+    named = nodes.select("id", "node").join(names, "node", "left").select("id", "node", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    node_names = nodes.select("node").join(names, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(least, "component").select("node", "component_id")
+    node_names = named.select("node", "component").join(least, "component").select("node", "component_id")
     out = known.select("id", "version", "n_shingles", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(node_names, "node", "left")
     found = out.select("id", "version", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *[F.col("version").alias("_version")] * version)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *[F.col("version")] * version)
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one document of each component: the one with the smallest id."""
-    gone = near_copies(df, id_col, text_col, True).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), "_version").distinct()
-    return df.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_version")), "left_anti")
+    docs = df.select(F.struct(*df.columns).alias("row"))
+    key = [F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text")]
+    told = near_copies(docs.select(*key), "id", "text", True).filter(~F.col("kept")).select("id", "version").distinct()
+    left = docs.select("row", key[0], F.xxhash64(key[1]).alias("version")).join(told.hint("shuffle_hash"), ["id", "version"], "left_anti")
+    return left.select("row.*")
 
 
 def op3_bayes_lsh(spark, sf_dir: str) -> DataFrame:
