@@ -8,15 +8,12 @@ shares no band with probability 3e-7.
 
 Buckets never become all pairs. First each member is compared with the bucket's pivot, the node that meets most others,
 and links make components. What is left are pairs of one bucket whose components differ, and one later round settles
-them all. Buckets of up to ``SMALL`` members compare these pairs directly. In larger ones a shingle is rare when up to
-``SMALL`` of their nodes have it, else hot, and sets of x and y shingles link only where they share 3/7 (x + y). So
-
-* a pair that shares a rare shingle shares one among the first x - ceil(3/4 x) + 1 of each, by rarity, and meets there;
-* any other pair shares hot shingles only, so fewer than either has: both must have 3/7 (x + y) of them. Members outside
-  of the bucket's largest component meet members of the sizes that this leaves, by classes of size.
-
-Both conditions are exact, so no link that decides a component is lost, and edits of one text that drifted away from
-each other, which have shingles of their own, meet hardly anything.
+them all. Buckets of up to ``SMALL`` members compare these pairs directly. In larger ones all shingles of a set are
+ordered by how many of the nodes have them, rarest first. Sets of x and y shingles link only where they share 3/7 (x + y)
+and 3/4 of the larger, so the first one that they share is among the first x - ceil(3/4 x) + 1 of each, and what follows it
+must suffice in both. Members outside of a bucket's largest component meet others by such a shingle and a class of sizes
+that its place leaves. The conditions are exact, so no link that decides a component is lost; and edits of one text that
+drifted away from each other have shingles of their own, which stand first, and so meet hardly anything.
 
 Sets are of 64-bit hashes of shingles, and the full sets are compared. A signature keeps 16 bits of each least value.
 
@@ -46,7 +43,7 @@ BANDS, ROWS, BATCH = 40, 4, 16
 #: A pair is dropped when it reaches the threshold with less probability than this, given the values compared so far.
 MISS = 1e-6
 
-#: Members up to which a bucket's pairs are compared directly, and nodes up to which a shingle is rare.
+#: Members up to which a bucket's pairs are compared directly.
 SMALL = 32
 #: Sizes within a factor of e**STEP are one class.
 STEP = 0.04
@@ -224,28 +221,22 @@ def later_pairs(told: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
     many = open_.filter(F.col("members") > SMALL)
     crowd = many.groupBy("node").agg(F.first("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("outside"))
     rows = scratch.keep(shingles(sets.join(crowd.select("node"), "node", "left_semi")), "crowd")
-    # shingles of one node only are no rows of these
+    # shingles of one node only come first of all, and are no rows of these
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     of_node = rows.join(often, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-    first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1 - (F.col("size") - F.size("s"))  # of the prefix, what isn't of this node alone
-    told_of = scratch.keep(of_node.join(crowd, "node").select(
-        "node", "component", "outside", "size", F.size(F.filter("s", lambda x: x["n"] > SMALL)).alias("hot"),
-        F.transform(F.filter(F.slice("s", 1, F.greatest(first, F.lit(0)).cast("int")), lambda x: x["n"] <= SMALL), lambda x: x["shingle"]).alias("rare"),
-    ), "told")
-    reach = lambda most, x, y: (F.lit(PERCENT) * (x + y) <= F.lit(100 + PERCENT) * most) & (F.lit(100) * F.least(x, y) >= F.lit(PERCENT) * F.greatest(x, y))
-    by = told_of.select("node", "component", "outside", "size", F.explode("rare").alias("shingle"))
-    theirs = by.select("shingle", F.col("node").alias("other"), F.col("component").alias("c"), F.col("size").alias("z"))
-    met = (F.col("component") != F.col("c")) & reach(F.least("size", "z"), F.col("size"), F.col("z"))
-    rare = by.filter("outside = 1").join(theirs, "shingle").filter(met).select(*pair("node", "other"))
-    # by hot shingles: x reaches y from 3/4 x on, up to what its own hot shingles allow
-    able = told_of.filter(F.col("hot") * 100 >= F.col("size") * PERCENT).select("node", "size", "hot")
-    least, most = F.col("size") * PERCENT / 100, F.least(F.col("size") * 100 / PERCENT, F.col("hot") * (100 + PERCENT) / PERCENT - F.col("size"))
+    own = F.col("size") - F.size("s")
+    prefix = F.greatest(F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1 - own, F.lit(0)).cast("int")
+    placed = of_node.select("node", "size", own.alias("own"), F.posexplode(F.slice("s", 1, prefix)).alias("pos", "x"))
+    # what a pair can share that meets here first
+    by = scratch.keep(placed.join(crowd, "node").select("node", "component", "outside", "size", F.col("x.shingle").alias("shingle"), (F.col("size") - F.col("own") - F.col("pos")).alias("rest")), "told")
+    least, most = F.col("size") * PERCENT / 100, F.least(F.col("size") * 100 / PERCENT, F.col("rest") * (100 + PERCENT) / PERCENT - F.col("size"))
     of_size = lambda x: F.floor(F.log(x) / STEP).cast("int")
-    rest = many.join(able, "node")
-    ours = rest.filter("component <> main").filter(most >= least).select("bucket", "node", "component", "size", "hot", F.explode(F.sequence(of_size(least) - 1, of_size(most) + 1)).alias("class"))
-    theirs = rest.select("bucket", of_size(F.col("size")).alias("class"), F.col("node").alias("other"), F.col("component").alias("c"), F.col("size").alias("z"), F.col("hot").alias("h"))
-    hot = ours.join(theirs, ["bucket", "class"]).filter((F.col("component") != F.col("c")) & reach(F.least("hot", "h"), F.col("size"), F.col("z"))).select(*pair("node", "other"))
-    return direct.unionByName(rare).unionByName(hot).distinct()
+    ours = by.filter("outside = 1").filter(most >= least).select("shingle", "node", "component", "size", "rest", F.explode(F.sequence(of_size(least) - 1, of_size(most) + 1)).alias("class"))
+    theirs = by.select("shingle", of_size(F.col("size")).alias("class"), F.col("node").alias("other"), F.col("component").alias("c"), F.col("size").alias("z"), F.col("rest").alias("r"))
+    x, y = F.col("size"), F.col("z")
+    may = (F.col("component") != F.col("c")) & (F.lit(PERCENT) * (x + y) <= F.lit(100 + PERCENT) * F.least("rest", "r")) & (F.lit(100) * F.least(x, y) >= F.lit(PERCENT) * F.greatest(x, y))
+    met = ours.join(theirs, ["shingle", "class"]).filter(may).select(*pair("node", "other"))
+    return direct.unionByName(met).distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: bool = False) -> DataFrame:
@@ -292,7 +283,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one document of each component: the one with the smallest id."""
-    docs = df.select(F.struct(*df.columns).alias("row"))
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     key = [F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text")]
     told = near_copies(docs.select(*key), "id", "text", True).filter(~F.col("kept")).select("id", "version").distinct()
     left = docs.select("row", key[0], F.xxhash64(key[1]).alias("version")).join(told.hint("shuffle_hash"), ["id", "version"], "left_anti")
