@@ -35,6 +35,15 @@ def test_special_and_odd_text():
     same([None, "", "\x1ca\x1d b", "Σας ΟΔΟΣ İstanbul ǅ", "<|startoftext|>hi<|ENDOFTEXT|><|endoftext|>x<|", "á é", "½ ² ﬁ", "中文 한국어 😀", "I'VE don't", "a" * 5000, "!" * 3000 + "q" * 3000, "x　y"])
 
 
+def test_merging_many_pieces_at_once():
+    r = random.Random(4)
+    pieces = ["".join(r.choice("aaabdeinost") for _ in range(r.randrange(1, 30))) for _ in range(3000)] + ["a" * k for k in range(1, 60)]
+    flat, sizes = BPE.merge_all(pieces)
+    at = np.cumsum([0, *sizes])
+    for k, p in enumerate(pieces):
+        assert flat[at[k] : at[k + 1]].tolist() == BPE.merge(BPE.symbols(p + BPE.end)), p
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 20)
     r = random.Random(0)

@@ -33,9 +33,13 @@ from threadloom.llm.workers import held, parts
 from threadloom.runtime import share_code
 
 #: A Python worker forgets all words before it looks up another block's when it has more than so many.
-KEPT = 500_000
+KEPT = 1_500_000
 #: The same for pieces of words.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 150_000
+#: Letters of a piece that is merged by itself.
+LONG = 64
+#: New words that are encoded together.
+NEW = 16_384
 
 #: Fixed values of the word tokenizer's pattern, for ASCII text.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
@@ -97,6 +101,8 @@ class WordBpe:
         # all tokens' bytes, each with a space after it, for decoding
         said = [(t + " ").encode() for t in self.tokens]
         self.token_bytes, self.token_ends = np.frombuffer(b"".join(said), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in said])])
+        # ids of single letters, by code point; byte letters are below 512
+        self.letter_ids, self.final_ids = (np.array([self.vocab.get(chr(c) + e, 0) for c in range(512)]) for e in ("", self.end))
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         self.forget()
 
@@ -133,6 +139,65 @@ class WordBpe:
                 heapq.heappush(heap, (r, p))
         return [x for x in at if x >= 0]
 
+    def merge_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The exact merging of many pieces at once: their ids one after the other, and the number of each.
+
+        A round merges the lowest pair of each piece, wherever it stands in it. What a merge makes comes after it in
+        order, so no other merge could have come between these places.
+        """
+        n, never = len(self.tokens), len(self.tokens)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        code = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+        at = self.letter_ids[code].astype(np.int64)
+        last = np.cumsum(size) - 1
+        if self.end:
+            at[last] = self.final_ids[code[last]]
+        owner = np.repeat(np.arange(len(pieces)), size)
+        done_at, done_owner = [], []
+
+        def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a * n + b
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[k] == key, self.made[k], never)
+
+        rank = np.full(len(at), never)  # of each letter with the next one
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = ranks(at[inner], at[inner + 1])
+        while len(at):
+            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.minimum.reduceat(rank, begin)
+            per = np.diff([*begin, len(at)])
+            of = np.repeat(least, per)
+            over = of == never
+            if over.any():
+                done_at.append(at[over])
+                done_owner.append(owner[over])
+                at, owner, rank, of = at[~over], owner[~over], rank[~over], of[~over]
+                if not len(at):
+                    break
+            hit = rank == of
+            if (hit[1:] & hit[:-1]).any():  # of aaa the left two merge
+                where = np.flatnonzero(hit)
+                run = np.concatenate([[True], np.diff(where) > 1])
+                first = np.flatnonzero(run)
+                hit[where[(np.arange(len(where)) - np.repeat(first, np.diff([*first, len(where)]))) % 2 == 1]] = False
+            where = np.flatnonzero(hit)
+            at[where] = of[where]
+            keep = np.ones(len(at), bool)
+            keep[where + 1] = False
+            rank[where] = rank[where + 1]
+            at, owner, rank = at[keep], owner[keep], rank[keep]
+            new = where - np.arange(len(where))  # where the merged stand now
+            new = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            new = new[new < len(at) - 1]
+            new = new[owner[new] == owner[new + 1]]
+            rank[new] = ranks(at[new], at[new + 1])
+            ends = np.flatnonzero(owner[1:] != owner[:-1])
+            rank[ends], rank[-1] = never, never
+        flat, by = np.concatenate(done_at), np.concatenate(done_owner)
+        order = np.argsort(by, kind="stable")
+        return flat[order], np.bincount(by, minlength=len(pieces))
+
     def symbols(self, token: str) -> list[int]:
         body, end = (token[: -len(self.end)], True) if self.end and token.endswith(self.end) else (token, False)
         return [self.vocab[c + self.end * (end and i == len(body) - 1)] for i, c in enumerate(body)]
@@ -196,9 +261,19 @@ class WordBpe:
             wrong[owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
         raw, ends = flat.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
         start = 0
-        for p, end, bad in zip(pieces, ends, wrong.tolist(), strict=True):
-            self.pieces[p] = np.array(self.merge(self.symbols(p + self.end)), "<u4").tobytes() if bad else raw[start:end]
+        for p, end in zip(pieces, ends, strict=True):
+            self.pieces[p] = raw[start:end]
             start = end
+        failing = [pieces[k] for k in np.flatnonzero(wrong).tolist()]
+        # long pieces one by one: their many rounds would go over all others' arrays
+        for p in [p for p in failing if len(p) > LONG]:
+            self.pieces[p] = np.array(self.merge(self.symbols(p + self.end)), "<u4").tobytes()
+        if failing := [p for p in failing if len(p) <= LONG]:
+            flat, sizes = self.merge_all(failing)
+            raw, ends, start = flat.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist(), 0
+            for p, end in zip(failing, ends, strict=True):
+                self.pieces[p] = raw[start:end]
+                start = end
 
     # -- texts -------------------------------------------------------------------------------------------------
 
@@ -228,24 +303,22 @@ class WordBpe:
     def forget(self) -> None:
         """Lets all words go."""
         self.table, self.pieces = WordTable(), {}
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.said, self.said_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        # two bytes an id where they suffice
+        self.ids, self.ends = np.zeros(0, np.uint16 if len(self.tokens) <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
 
     def _add(self, words: list[bytes]) -> None:
-        """Appends the ids of new words, and what they decode to."""
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces = {}
-        cuts = [self.cut(w.decode()) for w in words]
-        self.settle(list({p for c in cuts for p in c if p.__class__ is str}.difference(self.pieces)))
-        pieces = self.pieces
-        found = [pieces[c[0]] if len(c) == 1 and c[0].__class__ is str else b"".join([pieces[p] if p.__class__ is str else p.to_bytes(4, "little") for p in c]) for c in cuts]
-        ids = np.frombuffer(b"".join(found), "<u4").astype(np.uint32)
-        ends = np.cumsum([len(x) // 4 for x in found])
-        size = self.token_ends[ids + 1] - self.token_ends[ids]
-        said_ends = np.concatenate([[0], np.cumsum(size)])[ends]
-        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + ends])
-        self.said = np.concatenate([self.said, self.token_bytes[spread(self.token_ends[ids], size)]])
-        self.said_ends = np.concatenate([self.said_ends, self.said_ends[-1] + said_ends])
+        """Appends the ids of new words."""
+        found, sizes = [self.ids], []
+        for k in range(0, len(words), NEW):
+            if len(self.pieces) > KEPT_PIECES:
+                self.pieces = {}
+            cuts = [self.cut(w.decode()) for w in words[k : k + NEW]]
+            self.settle(list({p for c in cuts for p in c if p.__class__ is str}.difference(self.pieces)))
+            pieces = self.pieces
+            own = [pieces[c[0]] if len(c) == 1 and c[0].__class__ is str else b"".join([pieces[p] if p.__class__ is str else p.to_bytes(4, "little") for p in c]) for c in cuts]
+            found.append(np.frombuffer(b"".join(own), "<u4").astype(self.ids.dtype))
+            sizes += [len(x) // 4 for x in own]
+        self.ids, self.ends = np.concatenate(found), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
     def flat(self, texts: pa.Array, decoded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """All texts' ids in one array and where each text's begin, with the end; where asked for, their decoded bytes likewise."""
@@ -261,8 +334,9 @@ class WordBpe:
             finally:
                 if collects:
                     gc.enable()
-        ids = gathered(self.ids, self.ends, entry, w.first)
-        return *ids, *(gathered(self.said, self.said_ends, entry, w.first) if decoded else (None, None))
+        ids, at = gathered(self.ids, self.ends, entry, w.first)
+        ids = ids.astype(np.uint32, copy=False)
+        return ids, at, *(gathered(self.token_bytes, self.token_ends, ids, at) if decoded else (None, None))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

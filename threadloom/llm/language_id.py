@@ -37,7 +37,9 @@ SPAN = 128
 BITS = 17
 LEXICON = 20_000
 #: A Python worker forgets all words before another block when it has more than so many.
-KEPT = 500_000
+KEPT = 1_000_000
+#: New words that are scored together.
+NEW = 16_384
 EPOCHS, RATE, L2 = 3, 0.3, 1e-6
 UNKNOWN = "und"
 
@@ -227,13 +229,15 @@ class Reader:
         self.table, self.scores, self.lettered = WordTable(), np.zeros((0, len(self.crf.labels)), np.float32), np.zeros(0, bool)
 
     def _add(self, words: list[bytes]) -> None:
-        cores = [core(w.decode()) for w in words]
-        place: dict[str, int] = {}
-        at = np.array([place.setdefault(c, len(place)) if c else -1 for c in cores], np.int64)
-        made, fresh = np.zeros((len(place) + 1, len(self.crf.labels)), np.float32), list(place)
-        for k in range(0, len(fresh), 50_000):
-            made[k : k + 50_000][: len(fresh[k : k + 50_000])] = self.crf.emissions(fresh[k : k + 50_000])
-        self.scores, self.lettered = np.concatenate([self.scores, made[at]]), np.concatenate([self.lettered, at >= 0])
+        scores, lettered = [self.scores], [self.lettered]
+        for k in range(0, len(words), NEW):
+            place: dict[str, int] = {}
+            at = np.array([place.setdefault(c, len(place)) if (c := core(w.decode())) else -1 for w in words[k : k + NEW]], np.int64)
+            # the last row is of words without letters
+            made = np.concatenate([self.crf.emissions(list(place)), np.zeros((1, len(self.crf.labels)), np.float32)])
+            scores.append(made[at])
+            lettered.append(at >= 0)
+        self.scores, self.lettered = np.concatenate(scores), np.concatenate(lettered)
 
     def means(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Each text's mean posterior of each label, and its number of words with letters."""

@@ -7,7 +7,6 @@ is about 20 bytes a word, however long a text is.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 #: Bytes that are hashed at a time.
@@ -118,12 +117,14 @@ class Words:
         """Each word's number among the distinct ones, and where each of these stands first. Words are told apart by their bytes, not by hashes."""
         if not len(self.hash):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes, kinds = pd.factorize(self.hash)
-        if self._differ(_firsts(codes, len(kinds))[codes]):  # some hash stands for two words
+        coded = pa.array(self.hash).dictionary_encode()
+        codes, kinds = coded.indices.to_numpy(), len(coded.dictionary)
+        first = _firsts(codes, kinds)
+        if self._differ(first[codes]):  # some hash stands for two words
             own: dict[bytes, int] = {}
             codes = np.array([own.setdefault(self.word(k), len(own)) for k in range(len(codes))], np.int64)
-            kinds = own
-        return codes, _firsts(codes, len(kinds))
+            first = _firsts(codes, len(own))
+        return codes, first
 
     def _differ(self, other: np.ndarray) -> bool:
         """Whether any word is not the word that ``other`` gives for it."""
