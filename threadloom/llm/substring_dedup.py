@@ -2,15 +2,19 @@
 
 A window is ``WINDOW`` consecutive words. Each window has an anchor, the least hash of the ``SEED``-word phrases in it,
 so equal windows have equal anchors and neighbouring windows mostly share one. Anchors that two texts have name the
-places where a passage may recur; runs of windows of one such anchor become segments, and segments meet by anchor in
-shards. A shard confirms which windows stand in two documents, word by word, compiles an Aho-Corasick automaton of
-these word sequences, and streams its segments through it to find every occurrence. Words covered by a window whose
-sequence also starts in a document with a smaller id are then removed.
+places where a passage may recur; runs of windows of one such anchor are the stretches of a document that are streamed.
 
-Anchors of more than a small share of the documents are found in a sample of ``SAMPLE`` documents; as they recur in it
-they are known to recur, so they need no comparison, and their rows are dealt out by document. Segments reach a shard
-once for each distinct text, with the least and the largest id that has it, so a passage that a third of all documents
-share is one row there; what the automaton found in it is joined back to the documents by key.
+Passages are confirmed first, once: distinct stretches' windows are counted by 128-bit hashes, and those of two documents
+make the passage table, with their words and the least id that has them. It is dealt to shards by anchor. Each shard
+compiles an Aho-Corasick automaton of its passages' word sequences and streams the stretches of all documents that have
+one of its anchors through it, word by word; places come from the automaton alone. A shard of many stretches is dealt to
+several tasks, each with the shard's passages. Words covered by a window whose sequence also starts in a document with a
+smaller id are then removed.
+
+Stretches are streamed once for each distinct text, with the least and the largest id that has it, so a passage that a
+third of all documents share is one row; what the automaton found in it is joined back to the documents by key. Anchors
+of very many documents are found in a sample of ``SAMPLE`` documents; as they recur in it they are known to recur, so they
+need no comparison, and their rows are dealt out by document.
 
 Of equal texts only the one with the smallest id takes part; the others' windows all start in it.
 
@@ -27,20 +31,24 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-from threadloom.llm.workers import blocks
 from threadloom.llm.wordhash import Words, lowest
+from threadloom.llm.workers import blocks, parts
 from threadloom.runtime import Scratch, share_code
 
 WINDOW, SEED = 13, 4
 #: Documents whose anchors tell the hot ones, and in how many of these an anchor is hot.
 SAMPLE, HOT = 20_000, 16
-#: Segments of a shard, at most on average.
-SEGMENTS = 100_000
+#: Anchors that are taken as hot, at most: those in most documents of the sample.
+HOT_ANCHORS = 65_536
+#: Windows of a shard's passages on average, and stretches that one task streams.
+PASSAGES, STRETCHES = 50_000, 4_000
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -72,11 +80,11 @@ def anchors(df: DataFrame, window: int, seed: int) -> DataFrame:
 def recurring(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """Rows (version, anchors): of each text, the anchors that another text has too."""
     n = docs.count()
-    share = min(1.0, SAMPLE / max(n, 1))
     texts = docs.select(F.col("version").alias("id"), "text")
-    sample = texts.filter(F.pmod(F.xxhash64("id", F.lit("hot")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # at most SAMPLE * (anchors of a document) / HOT rows of 8 bytes
-    hot = anchors(sample, window, seed).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT).select("anchor", F.lit(True).alias("hot"))
+    sample = texts.filter(F.pmod(F.xxhash64("id", F.lit("hot")), F.lit(1 << 62)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 62)))
+    counts = anchors(sample, window, seed).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
+    # at most HOT_ANCHORS rows of 8 bytes; any other anchor is compared by a window, however many documents have it
+    hot = counts.orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).select("anchor", F.lit(True).alias("hot"))
     rows = anchors(texts, window, seed).withColumnRenamed("id", "version").join(F.broadcast(hot), "anchor", "left")
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("version"), F.lit(1 << 16))).otherwise(F.lit(-1)))
     same = Window.partitionBy("anchor", "salt")
@@ -116,37 +124,80 @@ def segments(docs: DataFrame, lists: DataFrame, window: int, seed: int) -> DataF
     return joined.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, version long, anchor long, start int, body binary")
 
 
-def locate(window: int):
-    """The work of one shard: confirm which windows two documents have, compile them, stream the segments."""
-
-    def run(passages: pd.DataFrame) -> pd.DataFrame:
-        number: dict[bytes, int] = {}
-        texts = [tuple([number.setdefault(x, len(number)) for x in body.split(b" ")]) for body in passages["body"]]
-        seen: dict[tuple, list] = {}
-        for words, least, most in zip(texts, passages["least"].tolist(), passages["most"].tolist(), strict=True):
-            for i in range(len(words) - window + 1):
-                if (have := seen.get(words[i : i + window])) is None:
-                    seen[words[i : i + window]] = [least, most]
-                else:
-                    if least < have[0]:
-                        have[0] = least
-                    if most > have[1]:
-                        have[1] = most
-        automaton, firsts = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), []
-        for words, (least, most) in seen.items():
-            if least < most:
-                automaton.add_word(words, len(firsts))
-                firsts.append(least)
-        del seen
-        out: list[tuple] = []
-        if firsts:
-            automaton.make_automaton()
-            for anchor, key, most, words in zip(passages["anchor"].tolist(), passages["key"].tolist(), passages["most"].tolist(), texts, strict=True):
-                # a window that starts first in this very segment's last document removes nothing from it
-                if hits := [(end - window + 1, firsts[p]) for end, p in automaton.iter(words) if firsts[p] < most]:
-                    at, first = zip(*hits, strict=True)
-                    out.append((anchor, key, at, first))
-        return pd.DataFrame(out, columns=["anchor", "key", "at", "first"])
+def window_hashes(stretches: DataFrame, window: int, id_type: str) -> DataFrame:
+    """Of (anchor, key, body, least, most): a row for each window, with two hashes of its words and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 2):
+            w = Words(part.column(2).cast(pa.string()))
+            at = np.flatnonzero(w.whole(window))
+            row = w.owner[at]
+            index = pa.array(row)
+            hashes = [pa.array(h[at].view(np.int64)) for h in (w.windows(window), w.windows(window, 1))]
+            yield pa.RecordBatch.from_arrays([*hashes, *(part.column(c).take(index) for c in (0, 1, 3, 4)), pa.array((at - w.first[row]).astype(np.int32))], ["h1", "h2", "anchor", "key", "least", "most", "at"])
+
+    return stretches.select("anchor", "key", "body", "least", "most").mapInArrow(run, f"h1 long, h2 long, anchor long, key long, least {id_type}, most {id_type}, at int")
+
+
+def confirmed(stretches: DataFrame, window: int, id_type: str) -> DataFrame:
+    """(anchor, key, ats, firsts): the windows that two documents have, each where it stands in one stretch, with the least id that has it."""
+    rows = window_hashes(stretches, window, id_type)
+    counted = rows.groupBy("h1", "h2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("anchor", "key", "at")).alias("one")).filter("least < most")
+    # an array for each stretch, so no longer than its text
+    return counted.groupBy(F.col("one.anchor").alias("anchor"), F.col("one.key").alias("key")).agg(F.collect_list("one.at").alias("ats"), F.collect_list("least").alias("firsts"))
+
+
+def spelled(codes: np.ndarray) -> str | tuple:
+    """Word numbers as a sequence that an automaton reads: letters, or a tuple where there are more words than letters."""
+    if len(codes) and int(codes.max()) > 0x10F7FF - 1:
+        return tuple(codes.tolist())
+    letters = codes.astype(np.uint32) + np.uint32(1)
+    letters[letters >= 0xD800] += np.uint32(0x800)  # no surrogates
+    return letters.tobytes().decode("utf-32-le")
+
+
+def locate(window: int, id_type: pa.DataType):
+    """The work of one task: compile the passages, stream the stretches, and say where passages of smaller ids stand."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, shape = ["anchor", "key", "at", "first"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(id_type)]
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).combine_chunks() if table.num_rows else None
+        is_passage = table.column("ats").is_valid().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
+        if not is_passage.any():
+            return pa.table([pa.array([], t) for t in shape], names)
+        body, most = column("body").cast(pa.string()), column("most").to_numpy(zero_copy_only=False)
+        w = Words(body)
+        codes, _ = w.distinct()
+        own = np.flatnonzero(is_passage)
+        # words of no passage are one letter
+        known = np.zeros(int(codes.max()) + 1, np.int64)
+        known[codes[np.isin(w.owner, own)]] = 1
+        codes = (np.cumsum(known) * known)[codes]
+        text = spelled(codes)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING if isinstance(text, str) else ahocorasick.KEY_SEQUENCE)
+        ats, lists = column("ats").take(pa.array(own)), column("firsts").take(pa.array(own))
+        begin = np.repeat(w.first[own], pc.list_value_length(ats).to_numpy(zero_copy_only=False)) + ats.flatten().to_numpy()
+        firsts = lists.flatten().to_numpy(zero_copy_only=False)
+        for n, a in enumerate(begin.tolist()):
+            automaton.add_word(text[a : a + window], n)
+        automaton.make_automaton()
+        # each stretch by itself: no window goes over an end
+        streamed = np.flatnonzero(~is_passage)
+        rows, ends, found = [], [], []
+        for k, a, b in zip(streamed.tolist(), w.first[streamed].tolist(), w.first[streamed + 1].tolist(), strict=True):
+            if hits := list(automaton.iter(text[a:b])):
+                end, which = zip(*hits, strict=True)
+                rows += [k] * len(end)
+                ends += end
+                found += which
+        row, at, first = np.array(rows, np.int64), np.array(ends, np.int64) - window + 1, firsts[np.array(found, np.int64)]
+        earlier = np.flatnonzero(first < most[row]) if len(row) else np.zeros(0, np.int64)
+        row, at, first = row[earlier], at[earlier], first[earlier]
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        offsets, index = pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(row[start])
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(at.astype(np.int32)), pa.array(first, id_type))]
+        return pa.table([column("anchor").take(index), column("key").take(index), *lists], names)
 
     return run
 
@@ -166,12 +217,22 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     lists = recurring(known, window, seed).join(firsts.select("version", "first"), "version").select(F.col("first").alias("id"), "anchors")
     found = scratch.keep(segments(known, lists.groupBy("id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")), window, seed), "segments")
     keyed = found.withColumn("key", F.xxhash64("body"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(4 * parts, found.count() // SEGMENTS)
-    # one row for each distinct segment: copies are counted before they are dealt out
-    passages = keyed.groupBy("anchor", "key", "body").agg(F.min("id").alias("least"), F.max("id").alias("most")).withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    shape = f"anchor long, key long, at array<int>, first array<{id_type}>"
-    located = passages.groupBy("shard").applyInPandas(locate(window), shape)
+    # one row for each distinct stretch: copies are counted before they are dealt out
+    stretches = scratch.keep(keyed.groupBy("anchor", "key", "body").agg(F.min("id").alias("least"), F.max("id").alias("most")), "stretches")
+    kept = scratch.keep(confirmed(stretches, window, id_type), "confirmed")
+    parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(4 * parts_, (kept.agg(F.sum(F.size("ats"))).first()[0] or 0) // PASSAGES)
+    shard = F.pmod("anchor", F.lit(shards)).alias("shard")
+    passages = kept.join(stretches.select("anchor", "key", "body"), ["anchor", "key"]).select(shard, "anchor", "key", "body", "ats", "firsts")
+    # only stretches of anchors that have a passage are streamed
+    read = stretches.join(kept.select("anchor").distinct(), "anchor", "left_semi").select(shard, "anchor", "key", "body", "most")
+    tasks = read.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STRETCHES).cast("int").alias("tasks"))
+    # a row a shard, so by sizes of passages
+    dealt = read.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("key", "body"), F.col("tasks")).cast("int"))
+    copied = passages.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    both = copied.select("shard", "task", "anchor", "key", "body", none("most", id_type), "ats", "firsts").unionByName(dealt.select("shard", "task", "anchor", "key", "body", "most", none("ats", "array<int>"), none("firsts", f"array<{id_type}>")))
+    located = both.groupBy("shard", "task").applyInArrow(locate(window, to_arrow_type(docs.schema["id"].dataType)), f"anchor long, key long, at array<int>, first array<{id_type}>")
     own = keyed.select(F.col("anchor").alias("a"), F.col("key").alias("k"), "id", "version", "start")
     hits = own.join(located, (F.col("a") == F.col("anchor")) & (F.col("k") == F.col("key")))
     earlier = F.filter(F.arrays_zip("at", "first"), lambda x: x["first"] < F.col("id"))
@@ -179,7 +240,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     own = places.groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places")).withColumn("whole", F.lit(False))
     whole = copies.select("id", "version", F.array().cast("array<int>").alias("places"), F.lit(True).alias("whole"))
     out = scratch.keep(own.unionByName(whole).groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("whole").alias("whole")), "places")
-    scratch.drop("segments")
+    for done in ("segments", "stretches", "confirmed"):
+        scratch.drop(done)
     return out
 
 
@@ -205,7 +267,7 @@ def summary(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n, gone, sha = [], [], []
             for text, places, whole in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text or "").encode().split()
@@ -224,29 +286,35 @@ def summary(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
 def cut_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeated words cut from its texts and ``removed``, their number; what stands between kept words stays as it was, and a row that loses nothing keeps its text unchanged."""
     found = repeats(versions(df, id_col, text_col), window, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(row.alias("row")).select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"))
+    joined = rows.withColumn("version", F.xxhash64("text")).join(found.hint("shuffle_hash"), ["id", "version"], "left")
+    column, shape = df.columns.index(text_col), StructType([*df.schema.fields, StructField("removed", LongType())])
 
-    @F.pandas_udf("text string, removed long")
-    def cut(text: pd.Series, places: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        texts, gone = [], []
-        for t, p, w in zip(text, places, whole, strict=True):
-            if p is None or t is None:
-                texts.append(t)
-                gone.append(0)
-                continue
-            spans = [m.span() for m in _WORD.finditer(t)]
-            out = covered(len(spans), np.asarray(p, np.int64), bool(w), window)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
-            at, kept = 0, []
-            for a, b in edges.reshape(-1, 2).tolist():
-                kept.append(t[at : spans[a][0]])
-                at = spans[b][0] if b < len(spans) else len(t)
-            texts.append("".join([*kept, t[at:]]))
-            gone.append(int(out.sum()))
-        return pd.DataFrame({"text": texts, "removed": gone})
-
-    joined = df.withColumn("_version", F.xxhash64(text_col)).join(found.select(F.col("id").alias("_id"), F.col("version").alias("_found"), F.col("places").alias("_places"), F.col("whole").alias("_whole")).hint("shuffle_hash"), (F.col(id_col) == F.col("_id")) & (F.col("_version") == F.col("_found")), "left")
-    made = joined.withColumn("_cut", cut(F.col(text_col), F.col("_places"), F.col("_whole")))
-    return made.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in df.columns], F.col("_cut.removed").alias("removed"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            texts, gone = [], []
+            for t, p, w in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
+                text, n = cut_text(t, p.values.to_numpy(), w, window) if p.is_valid and t is not None else (t, 0)
+                texts.append(text)
+                gone.append(n)
+            own = part.column(0).flatten()
+            own[column] = pa.array(texts, own[column].type)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(gone, pa.int64())], shape.names)
+
+    return joined.select("row", "text", "places", "whole").mapInArrow(run, shape)
+
+
+def cut_text(text: str, places: np.ndarray, whole: bool, window: int) -> tuple[str, int]:
+    """A text without the words that repeated windows cover, and their number; white space goes with the word before it."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    out = covered(len(spans), np.asarray(places, np.int64), bool(whole), window)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
+    at, kept = 0, []
+    for a, b in edges.reshape(-1, 2).tolist():
+        kept.append(text[at : spans[a][0]])
+        at = spans[b][0] if b < len(spans) else len(text)
+    return "".join([*kept, text[at:]]), int(out.sum())
 
 
 def op1_repeated_phrases(spark, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MASK = (1 << 64) - 1
-# odd multipliers and their inverses modulo 2**64
-_B, _C = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+# odd multipliers
+_B, _C, _D = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -88,14 +88,14 @@ class Words:
         self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
         self.hash = _hashes(self.data, self.start, self.end)
 
-    def windows(self, k: int) -> np.ndarray:
-        """A hash of the k words from each word on; at a text's last k - 1 words it means nothing."""
+    def windows(self, k: int, which: int = 0) -> np.ndarray:
+        """A hash of the k words from each word on, one of two; at a text's last k - 1 words it means nothing."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         out = self.hash[:n].copy()
         for j in range(1, k):
-            out *= np.uint64(_C)
+            out *= np.uint64((_C, _D)[which])
             out += self.hash[j : n + j]
         return mix(out)
 
