@@ -6,8 +6,8 @@ places where a passage may recur; runs of windows of one such anchor are the str
 
 Passages are confirmed first, once: distinct stretches' windows are counted by 128-bit hashes, and those of two documents
 make the passage table, with their words and the least id that has them. It is dealt to shards by anchor. Each shard
-compiles an Aho-Corasick automaton of its passages' word sequences and streams the stretches of all documents that have
-one of its anchors through it, word by word; places come from the automaton alone. A shard of many stretches is dealt to
+compiles an Aho-Corasick automaton of its passages' windows, as sequences of overlapping phrases, and streams the stretches
+of all documents that have one of its anchors through it, place by place; places come from the automaton alone. A shard of many stretches is dealt to
 several tasks, each with the shard's passages. Words covered by a window whose sequence also starts in a document with a
 smaller id are then removed.
 
@@ -43,12 +43,14 @@ from threadloom.llm.workers import blocks, parts
 from threadloom.runtime import Scratch, share_code
 
 WINDOW, SEED = 13, 4
+#: Words of a letter that automata read: each place of a text begins one, so a window is a few letters.
+PHRASE = 10
 #: Documents whose anchors tell the hot ones, and in how many of these an anchor is hot.
 SAMPLE, HOT = 20_000, 16
 #: Anchors that are taken as hot, at most: those in most documents of the sample.
 HOT_ANCHORS = 65_536
 #: Windows of a shard's passages on average, and stretches that one task streams.
-PASSAGES, STRETCHES = 50_000, 4_000
+PASSAGES, STRETCHES = 50_000, 8_000
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -148,7 +150,7 @@ def confirmed(stretches: DataFrame, window: int, id_type: str) -> DataFrame:
 
 
 def spelled(codes: np.ndarray) -> str | tuple:
-    """Word numbers as a sequence that an automaton reads: letters, or a tuple where there are more words than letters."""
+    """Numbers as a sequence that an automaton reads: characters, or a tuple where there are more numbers than these."""
     if len(codes) and int(codes.max()) > 0x10F7FF - 1:
         return tuple(codes.tolist())
     letters = codes.astype(np.uint32) + np.uint32(1)
@@ -168,30 +170,36 @@ def locate(window: int, id_type: pa.DataType):
             return pa.table([pa.array([], t) for t in shape], names)
         body, most = column("body").cast(pa.string()), column("most").to_numpy(zero_copy_only=False)
         w = Words(body)
-        codes, _ = w.distinct()
         own = np.flatnonzero(is_passage)
-        # words of no passage are one letter
-        known = np.zeros(int(codes.max()) + 1, np.int64)
-        known[codes[np.isin(w.owner, own)]] = 1
-        codes = (np.cumsum(known) * known)[codes]
+        # a letter is a phrase of some words, told by its hash; phrases of no passage, and what goes over an end, are letter 0
+        size = min(PHRASE, window)
+        phrases, inside = w.windows(size), w.whole(size)
+        kinds = np.unique(phrases[inside & is_passage[w.owner[: len(phrases)]]])
+        at = np.minimum(np.searchsorted(kinds, phrases), max(0, len(kinds) - 1))
+        codes = np.zeros(len(w.hash), np.int64)
+        codes[: len(phrases)] = np.where(inside & (kinds[at] == phrases), at + 1, 0)
+        letters = window - size + 1
         text = spelled(codes)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING if isinstance(text, str) else ahocorasick.KEY_SEQUENCE)
         ats, lists = column("ats").take(pa.array(own)), column("firsts").take(pa.array(own))
         begin = np.repeat(w.first[own], pc.list_value_length(ats).to_numpy(zero_copy_only=False)) + ats.flatten().to_numpy()
         firsts = lists.flatten().to_numpy(zero_copy_only=False)
         for n, a in enumerate(begin.tolist()):
-            automaton.add_word(text[a : a + window], n)
+            automaton.add_word(text[a : a + letters], n)
         automaton.make_automaton()
         # each stretch by itself: no window goes over an end
         streamed = np.flatnonzero(~is_passage)
         rows, ends, found = [], [], []
+        # stretches without a whole window's letters can't have one
+        enough = np.concatenate([[0], np.cumsum(codes > 0)])[w.first]
+        streamed = streamed[enough[streamed + 1] - enough[streamed] >= letters]
         for k, a, b in zip(streamed.tolist(), w.first[streamed].tolist(), w.first[streamed + 1].tolist(), strict=True):
             if hits := list(automaton.iter(text[a:b])):
                 end, which = zip(*hits, strict=True)
                 rows += [k] * len(end)
                 ends += end
                 found += which
-        row, at, first = np.array(rows, np.int64), np.array(ends, np.int64) - window + 1, firsts[np.array(found, np.int64)]
+        row, at, first = np.array(rows, np.int64), np.array(ends, np.int64) - letters + 1, firsts[np.array(found, np.int64)]
         earlier = np.flatnonzero(first < most[row]) if len(row) else np.zeros(0, np.int64)
         row, at, first = row[earlier], at[earlier], first[earlier]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
@@ -221,15 +229,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     stretches = scratch.keep(keyed.groupBy("anchor", "key", "body").agg(F.min("id").alias("least"), F.max("id").alias("most")), "stretches")
     kept = scratch.keep(confirmed(stretches, window, id_type), "confirmed")
     parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(4 * parts_, (kept.agg(F.sum(F.size("ats"))).first()[0] or 0) // PASSAGES)
+    # twice as many shards as full tasks, so that few shards are in several tasks and compiled in each
+    shards = max(4 * parts_, (kept.agg(F.sum(F.size("ats"))).first()[0] or 0) // PASSAGES, 2 * stretches.count() // STRETCHES)
     shard = F.pmod("anchor", F.lit(shards)).alias("shard")
     passages = kept.join(stretches.select("anchor", "key", "body"), ["anchor", "key"]).select(shard, "anchor", "key", "body", "ats", "firsts")
-    # only stretches of anchors that have a passage are streamed
-    read = stretches.join(kept.select("anchor").distinct(), "anchor", "left_semi").select(shard, "anchor", "key", "body", "most")
-    tasks = read.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STRETCHES).cast("int").alias("tasks"))
-    # a row a shard, so by sizes of passages
-    dealt = read.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("key", "body"), F.col("tasks")).cast("int"))
-    copied = passages.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    read = stretches.select(shard, "anchor", "key", "body", "most")
+    tasks = read.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STRETCHES).cast("int").alias("tasks")).filter("tasks > 1")
+    # a row a crowded shard
+    dealt = read.join(tasks, "shard", "left").withColumn("task", F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64("key", "body"), F.col("tasks"))).cast("int"))
+    copied = passages.join(tasks, "shard", "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)))
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     both = copied.select("shard", "task", "anchor", "key", "body", none("most", id_type), "ats", "firsts").unionByName(dealt.select("shard", "task", "anchor", "key", "body", "most", none("ats", "array<int>"), none("firsts", f"array<{id_type}>")))
     located = both.groupBy("shard", "task").applyInArrow(locate(window, to_arrow_type(docs.schema["id"].dataType)), f"anchor long, key long, at array<int>, first array<{id_type}>")
