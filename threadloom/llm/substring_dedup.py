@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -43,7 +44,7 @@ from threadloom.llm.workers import blocks, parts
 from threadloom.runtime import Scratch, share_code
 
 WINDOW, SEED = 13, 4
-#: Words of a letter that automata read: each place of a text begins one, so a window is a few letters.
+#: Words of a letter that automata read: each place of a text begins one, and two make a window.
 PHRASE = 10
 #: Documents whose anchors tell the hot ones, and in how many of these an anchor is hot.
 SAMPLE, HOT = 20_000, 16
@@ -149,13 +150,12 @@ def confirmed(stretches: DataFrame, window: int, id_type: str) -> DataFrame:
     return counted.groupBy(F.col("one.anchor").alias("anchor"), F.col("one.key").alias("key")).agg(F.collect_list("one.at").alias("ats"), F.collect_list("least").alias("firsts"))
 
 
-def spelled(codes: np.ndarray) -> str | tuple:
-    """Numbers as a sequence that an automaton reads: characters, or a tuple where there are more numbers than these."""
-    if len(codes) and int(codes.max()) > 0x10F7FF - 1:
-        return tuple(codes.tolist())
-    letters = codes.astype(np.uint32) + np.uint32(1)
-    letters[letters >= 0xD800] += np.uint32(0x800)  # no surrogates
-    return letters.tobytes().decode("utf-32-le")
+def spelled(codes: np.ndarray, digits: int) -> str:
+    """Each number as ``digits`` characters, of another 128 at each place, so that no node of a trie has more children; 0 is no letter of a passage."""
+    out = np.zeros((len(codes), digits), np.uint32)
+    for k in range(digits):
+        out[:, k] = np.where(codes > 0, ((codes >> (7 * (digits - 1 - k))) & 127) + 1 + 128 * k, 0)
+    return out.tobytes().decode("utf-32-le")
 
 
 def locate(window: int, id_type: pa.DataType):
@@ -171,35 +171,35 @@ def locate(window: int, id_type: pa.DataType):
         body, most = column("body").cast(pa.string()), column("most").to_numpy(zero_copy_only=False)
         w = Words(body)
         own = np.flatnonzero(is_passage)
-        # a letter is a phrase of some words, told by its hash; phrases of no passage, and what goes over an end, are letter 0
-        size = min(PHRASE, window)
+        # a letter is a phrase of more than half a window, told by its hash; phrases of no passage, and what goes over an end, are 0
+        size = max(-(-window // 2), min(PHRASE, window))
+        step, letters = max(1, window - size), 1 + (window > size)
         phrases, inside = w.windows(size), w.whole(size)
         kinds = np.unique(phrases[inside & is_passage[w.owner[: len(phrases)]]])
         at = np.minimum(np.searchsorted(kinds, phrases), max(0, len(kinds) - 1))
         codes = np.zeros(len(w.hash), np.int64)
         codes[: len(phrases)] = np.where(inside & (kinds[at] == phrases), at + 1, 0)
-        letters = window - size + 1
-        text = spelled(codes)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING if isinstance(text, str) else ahocorasick.KEY_SEQUENCE)
+        # every step-th place of a text follows the one before it, so that a window is two letters; a text's last places are 0
+        within = np.arange(len(codes)) - w.first[w.owner]
+        order = np.lexsort((within, within % step, w.owner))
+        digits = max(1, -(-len(kinds).bit_length() // 7))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        text = spelled(codes[order], digits)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         ats, lists = column("ats").take(pa.array(own)), column("firsts").take(pa.array(own))
         begin = np.repeat(w.first[own], pc.list_value_length(ats).to_numpy(zero_copy_only=False)) + ats.flatten().to_numpy()
         firsts = lists.flatten().to_numpy(zero_copy_only=False)
-        for n, a in enumerate(begin.tolist()):
-            automaton.add_word(text[a : a + letters], n)
+        for n, a in enumerate((place[begin] * digits).tolist()):
+            automaton.add_word(text[a : a + letters * digits], n)
         automaton.make_automaton()
-        # each stretch by itself: no window goes over an end
-        streamed = np.flatnonzero(~is_passage)
-        rows, ends, found = [], [], []
-        # stretches without a whole window's letters can't have one
-        enough = np.concatenate([[0], np.cumsum(codes > 0)])[w.first]
-        streamed = streamed[enough[streamed + 1] - enough[streamed] >= letters]
-        for k, a, b in zip(streamed.tolist(), w.first[streamed].tolist(), w.first[streamed + 1].tolist(), strict=True):
-            if hits := list(automaton.iter(text[a:b])):
-                end, which = zip(*hits, strict=True)
-                rows += [k] * len(end)
-                ends += end
-                found += which
-        row, at, first = np.array(rows, np.int64), np.array(ends, np.int64) - letters + 1, firsts[np.array(found, np.int64)]
+        order = order[~is_passage[w.owner[order]]]
+        hits = np.fromiter(chain.from_iterable(automaton.iter(spelled(codes[order], digits))), np.int64).reshape(-1, 2)
+        at = order[hits[:, 0] // digits - letters + 1]
+        by = np.argsort(at, kind="stable")
+        at, first = at[by], firsts[hits[by, 1]]
+        row = w.owner[at].astype(np.int64)
+        at = at - w.first[row]
         earlier = np.flatnonzero(first < most[row]) if len(row) else np.zeros(0, np.int64)
         row, at, first = row[earlier], at[earlier], first[earlier]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
