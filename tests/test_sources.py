@@ -76,7 +76,31 @@ def test_codex_anchors_patches_and_failures():
     edits = [(r["file_path"], r["edit_type"], r["content"], r["old_content"]) for r in out.rows["file_edits"]]
     assert edits[0] == ("/r/x.txt", "write", "body", None)
     assert edits[1:4] == [("/r/a.py", "edit", "keep\nnew", "keep\nold"), ("/r/b.py", "write", "one", None), ("/r/c.py", "delete", "", None)] and len(edits) == 7
-    assert providers.patch_edits("echo hi > out.log") == [("out.log", "shell", "echo hi > out.log", None)] and providers.patch_edits("ls > /dev/null") == []
+    assert providers.edit_logs.of_command("echo hi > out.log") == [("out.log", "shell", "echo hi > out.log", None)] and providers.edit_logs.of_command("ls > /dev/null") == []
+
+
+def test_commands_and_scripts():
+    of = providers.edit_logs.of_command
+    assert of("cat <<'EOF' > a/b.txt\none\ntwo\nEOF", "/r") == [("/r/a/b.txt", "write", "one\ntwo", None)]
+    assert of("tee -a notes.md <<-END\nx\nEND\n") == [("notes.md", "write", "x", None)]
+    assert of("make 2> err.log") == of("make &> all.log") == of("sort > 'my file.txt'") == of("") == of(None) == []
+    assert of("ls > /dev/null > out.txt")[0][0] == "out.txt" and of("x >> a.tar.gz2")[0][0] == "a.tar"
+    patch = "*** Begin Patch\n*** Add File: n\n+1\n*** End Patch"
+    code = f"const p = {json.dumps(patch)}; await tools.apply_patch(p); await tools.apply_patch( {json.dumps(patch + 'x')} ); await tools.apply_patch(q); await tools.other(p)"
+    assert providers.edit_logs.of_script(code) == [patch, patch + "x"]
+
+
+def test_custom_calls_blocks_and_line_ends():
+    item = lambda **p: {"type": "response_item", "payload": p}
+    out = parsed("codex", [item(type="custom_tool_call", name="x", call_id="a"), item(type="message", role="user", content=[{"type": "text", "text": "go"}, {"type": "input_image", "image_url": "data:image/jpeg;base64,QUJD"}, {"type": "input_image", "image_url": "https://e/x"}]), item(type="custom_tool_call", name="y", call_id="b", status="completed")])
+    assert [(r["status"], r["message_id"]) for r in out.rows["tool_calls"]] == [(s, out.rows["messages"][0]["id"]) for s in ("pending", "complete")]
+    assert [r["filename"] for r in out.rows["attachments"]] == ["image-1.jpg", "image-2.bin"]
+    found = providers.blocks(["loose", {"type": "file", "name": "f", "size": 3, "url": "u"}, {"content_type": "image_asset_pointer", "asset_pointer": "p"}, {"type": "thinking", "thinking": "hm"}])
+    assert found["text"] == "loose" and found["thinking"] == "hm" and [(f["filename"], f["url"]) for f in found["files"]] == [("f", "u"), (None, "p")]
+    out = parsed("claude-code", '{"type":"user","message":{"content":"a\u2028b"}}\n{"type":"user","message":{"content":"c"}}'.encode())
+    assert [r["content"] for r in out.rows["messages"]] == ["a\u2028b", "c"] and not out.errors
+    tree = {"a": {"parent": "b", "message": 1}, "b": {"parent": "c"}, "c": {"parent": "b"}, "d": {"parent": "e"}, "e": {"parent": "a"}, "f": {"parent": "gone", "message": 1}}
+    assert providers.spoken_ancestors(tree) == {"a": None, "b": None, "c": None, "d": "a", "e": "a", "f": None}
 
 
 def test_broken_lines_and_ids():

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +13,15 @@ from threadloom.archive import Archive
 from threadloom.functions import text as T
 from threadloom.runtime import share_code
 
-_MOMENT = re.compile(r"\d{4}(?:-\d{2}(?:-\d{2}(?:[ T].*)?)?)?")
+#: What a year, month or day looks like; a time may follow a day.
+_SHAPES = ("dddd", "dddd-dd", "dddd-dd-dd")
+
+
+def is_moment(text: str) -> bool:
+    """Whether ``text`` is a time or its beginning, and no part of an id."""
+    day, rest = text[:10], text[10:]
+    shape = "".join("d" if c.isdigit() else c for c in day)
+    return shape in _SHAPES and (not rest or (shape == _SHAPES[-1] and rest[0] in " T"))
 
 
 def edits(archive: Archive, path: str | None = None) -> DataFrame:
@@ -40,31 +49,48 @@ def cut(found: DataFrame, at: str | None) -> DataFrame:
         return found
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     early = (text <= at) | text.startswith(at)
-    if _MOMENT.fullmatch(at):
+    if is_moment(at):
         return found.filter(early)
     own = Window.partitionBy("file_path")
     last = found.withColumn("_k", F.struct("ts", "id")).withColumn("_last", F.max(F.when(F.col("conv").contains(at), F.col("_k"))).over(own))
     return last.filter(F.when(F.col("_last").isNull(), early).otherwise(F.col("_k") <= F.col("_last"))).drop("_k", "_last")
 
 
+@dataclass(frozen=True)
+class Version:
+    """A file's lines and which edit last touched each; the lines are None while the content can't be known."""
+
+    lines: tuple[str, ...] | None = None
+    by: tuple[int, ...] = ()
+
+    def written(self, number: int, text: str) -> Version:
+        lines = tuple(text.splitlines())
+        return Version(lines, (number,) * len(lines))
+
+    def changed(self, number: int, old: str, new: str) -> Version:
+        """The first place of ``old`` becomes ``new``: lines that neither reaches keep their owners."""
+        before, found, behind = "\n".join(self.lines or ()).partition(old)
+        if self.lines is None or not old or not found:
+            return Version()
+        lines = tuple((before + new + behind).splitlines())
+        above = before.count("\n")
+        below = self.by[above + old.count("\n") + 1 :]
+        return Version(lines, self.by[:above] + (number,) * max(0, len(lines) - above - len(below)) + below)
+
+    def after(self, number: int, edit: dict) -> Version:
+        match edit["type"]:
+            case "write":
+                return self.written(number, edit["content"] or "")
+            case "edit":
+                return self.changed(number, edit["old"] or "", edit["content"] or "")
+            case _:  # what a shell or several changes at once did isn't known
+                return Version()
+
+
 def fold(edits_: list[dict]) -> tuple[list[str], list[int]] | tuple[None, None]:
     """A file's lines after its edits and which edit last touched each; nothing once the content can't be known."""
-    lines: list[str] | None = None
-    by: list[int] = []
-    for n, e in enumerate(edits_):
-        if e["type"] == "write":
-            lines = (e["content"] or "").splitlines()
-            by = [n] * len(lines)
-            continue
-        whole = None if lines is None else "\n".join(lines)
-        if e["type"] != "edit" or not e["old"] or whole is None or (place := whole.find(e["old"])) < 0:
-            lines, by = None, []
-            continue
-        first, spans = whole.count("\n", 0, place), e["old"].count("\n") + 1
-        after = (whole[:place] + (e["content"] or "") + whole[place + len(e["old"]) :]).splitlines()
-        grown = max(0, len(after) - (len(by) - spans))
-        lines, by = after, by[:first] + [n] * grown + by[first + spans :]
-    return (None, None) if lines is None else (lines, by)
+    last = reduce(lambda v, numbered: v.after(*numbered), enumerate(edits_), Version())
+    return (None, None) if last.lines is None else (list(last.lines), list(last.by))
 
 
 def blame(found: DataFrame) -> DataFrame:
