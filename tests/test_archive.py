@@ -295,3 +295,12 @@ def test_secrets_of_all_tables_are_counted(spark, tmp_path):
     out = {r["kind"]: r["n"] for r in catalog.QUERIES["redact_scan"](spark, str(tmp_path)).collect()}
     # the key is in a tool call and a file edit, the tokens in a message and a tool call
     assert out == {"aws_access_key": 2 + made, "gitlab_token": 2}
+
+
+def test_sql_gate_refuses(fruit):
+    """Other tables, files, functions that reach outside, and whatever isn't a query."""
+    for query in ("SELECT * FROM parquet.`/etc`", "SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM messages", "SELECT 1 FROM messages WHERE id = (SELECT java_method('java.lang.System', 'lineSeparator'))", "SELECT * FROM other", "SELECT * FROM read_files('/etc')", "WITH x AS (SELECT * FROM secret) SELECT * FROM x", "SHOW TABLES", "SET a = b", "INSERT INTO messages SELECT * FROM messages", "SELECT id FROM messages WHERE id IN (SELECT id FROM outside)", "EXPLAIN SELECT 1"):
+        with pytest.raises(gate.ReadOnly):
+            gate.check(fruit, query)
+    for query in ("WITH x AS (SELECT id FROM messages) SELECT count(*) FROM x", "SELECT * FROM (VALUES (1)) v(a) UNION SELECT 2", "SELECT k FROM range(3) t(k)"):
+        gate.check(fruit, query)

@@ -548,9 +548,34 @@ def sql_rollup(a) -> DataFrame:
     return gate.run(a, "SELECT source, role, count(*) AS n FROM messages m JOIN conversations c ON c.id = m.conversation_id GROUP BY ROLLUP (source, role)")
 
 
-@_query("SELECT id, json_extract_string(metadata, '$.history_of') AS h FROM m WHERE starts_with(id, '0')")
+@_query("SELECT id, json_extract_string(metadata, '$.history_of') AS h, starts_with(id, '0') AS zero FROM m")
 def sql_shim(a) -> DataFrame:
-    return gate.run(a, "SELECT id, json_extract_string(metadata, '$.history_of') AS h FROM messages WHERE starts_with(id, '0')")
+    return gate.run(a, "SELECT id, json_extract_string(metadata, '$.history_of') AS h, starts_with(id, '0') AS zero FROM messages")
+
+
+@_query("SELECT role, conversation_id, id FROM (SELECT *, row_number() OVER (PARTITION BY role, conversation_id ORDER BY id) AS n FROM m) WHERE n = 1")
+def sql_qualify_lines(a) -> DataFrame:
+    return gate.run(a, "select role, conversation_id, id\nfrom messages\nqualify row_number() over (partition by role, conversation_id order by id) = 1\norder by id")
+
+
+@_query("SELECT source, count(*) AS n FROM (SELECT c.source, row_number() OVER (PARTITION BY m.conversation_id ORDER BY m.id) AS k FROM m JOIN c ON c.id = m.conversation_id) WHERE k <= 2 GROUP BY source")
+def sql_qualify_cte(a) -> DataFrame:
+    return gate.run(a, "WITH firsts AS (SELECT m.id, c.source FROM messages m JOIN conversations c ON c.id = m.conversation_id QUALIFY row_number() OVER (PARTITION BY m.conversation_id ORDER BY m.id) <= 2) SELECT source, count(*) AS n FROM firsts GROUP BY source")
+
+
+@_query("(SELECT role AS name, id FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY id) AS n FROM m) WHERE n = 1) UNION ALL SELECT source, min(id) FROM c GROUP BY source")
+def sql_qualify_union(a) -> DataFrame:
+    return gate.run(a, "SELECT role AS name, id FROM messages QUALIFY row_number() OVER (PARTITION BY role ORDER BY id) = 1 UNION ALL SELECT source, min(id) FROM conversations GROUP BY source")
+
+
+@_query("SELECT CAST(extract(year FROM created_at) AS INT) AS y, count(*) AS n FROM (SELECT created_at, row_number() OVER (PARTITION BY conversation_id ORDER BY id DESC) AS k FROM m) WHERE k = 1 GROUP BY 1")
+def sql_qualify_subquery(a) -> DataFrame:
+    return gate.run(a, "SELECT y, count(*) AS n FROM (SELECT CAST(EXTRACT(YEAR FROM created_at) AS INT) AS y, id FROM messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY id DESC) = 1) GROUP BY y")
+
+
+@_query("SELECT role, count(*) AS n FROM m WHERE conversation_id IN (SELECT id FROM c WHERE source <> 'claude') AND EXISTS (SELECT 1 FROM c WHERE c.id = m.conversation_id) GROUP BY role HAVING count(*) > 1")
+def sql_subqueries(a) -> DataFrame:
+    return gate.run(a, "SELECT role, count(*) AS n FROM messages m WHERE conversation_id IN (SELECT id FROM conversations WHERE source <> 'claude') AND EXISTS (SELECT 1 FROM conversations c WHERE c.id = m.conversation_id) GROUP BY role HAVING count(*) > 1")
 
 
 @_query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY source DESC NULLS LAST, doc_id) AS n FROM documents) WHERE n = 1", archive=False)

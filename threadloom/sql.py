@@ -11,8 +11,17 @@ from threadloom.archive import Archive
 
 # Functions under another name here.
 _NAMES = {"starts_with": "startswith", "json_extract_string": "get_json_object", "regexp_matches": "regexp_like", "list_contains": "array_contains", "strlen": "octet_length"}
-#: Parsed plans that only read; everything else is refused.
-_WRITES = re.compile(r"Insert|Update|Delete|Merge|Create|Drop|Alter|Replace|Truncate|Load|Cache|Uncache|Refresh|Analyze|SetCommand|ResetCommand|AddJar|AddFile|SetCatalog|SetNamespace|UseStatement|Repair|Rename|Comment|Execute|Set\w*Command|Overwrite|Append|Call|Declare|Variable|Compound")
+#: Parsed plans that may stand in a query; all others are refused, among them whatever a later Spark adds.
+PLANS = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Distinct Deduplicate Union Intersect Except Join LateralJoin AsOfJoin Window WithWindowDefinition Generate Pivot UnresolvedPivot Unpivot UnresolvedHaving "
+    "UnresolvedRelation UnresolvedInlineTable UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedWith SubqueryAlias OneRowRelation LocalRelation Range Sample UnresolvedOrdinal Expand".split()
+)
+#: Expressions that hold a plan of their own.
+SUBQUERIES = frozenset({"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"})
+#: Functions that reach beyond the rows of a query.
+CLOSED = frozenset({"reflect", "java_method", "try_reflect", "input_file_name", "raise_error"})
+#: Table functions that make rows from their arguments.
+TABLE_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "sequence", "variant_explode"})
 
 
 class ReadOnly(ValueError):
@@ -30,25 +39,37 @@ def _masked(query: str) -> tuple[str, list[str]]:
     return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"])*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", hide, query, flags=re.S), kept
 
 
-def _clause(text: str, word: str) -> tuple[int, int] | None:
-    """Where ``word`` stands in ``text`` and where what follows it ends, at this level of brackets."""
-    depth = 0
-    for m in re.finditer(r"[()]|\b" + word + r"\b", text, re.I):
-        if m[0] in "()":
-            depth += 1 if m[0] == "(" else -1
-        elif not depth:
-            inner, end = 0, len(text)
-            for k in re.finditer(r"[()]|\b(?:ORDER\s+BY|LIMIT|UNION|INTERSECT|EXCEPT)\b", text[m.end() :], re.I):
-                if k[0] in "()":
-                    inner += 1 if k[0] == "(" else -1
-                    if inner < 0:
-                        end = m.end() + k.start()
-                        break
-                elif not inner:
-                    end = m.end() + k.start()
-                    break
-            return m.start(), end
-    return None
+_WORDS = re.compile(r"[()]|\b(?:SELECT|FROM|QUALIFY|ORDER\s+BY|LIMIT|OFFSET|UNION|INTERSECT|EXCEPT)\b(?!\s*\()", re.I)
+
+
+def _levels(text: str) -> list[tuple[str, int, int, int]]:
+    """Brackets and clause words in order: word, depth, and where it begins and ends."""
+    out, depth = [], 0
+    for m in _WORDS.finditer(text):
+        word = re.sub(r"\s+", " ", m[0].upper())
+        depth -= word == ")"
+        out.append((word, depth, m.start(), m.end()))
+        depth += word == "("
+    return out
+
+
+def _unqualified(text: str) -> str:
+    """``text`` without QUALIFY: its select becomes a subquery with the condition as a column."""
+    while True:
+        words = _levels(text)
+        at = max((k for k, w in enumerate(words) if w[0] == "QUALIFY"), key=lambda k: words[k][1], default=None)
+        if at is None:
+            return text
+        _, depth, start, end = words[at]
+        # its own select: the last at this depth, with no bracket closed below it
+        own = next((k for k in range(at - 1, -1, -1) if words[k][0] == "SELECT" and words[k][1] == depth), None)
+        source = next((w for w in words[own:at] if w[0] == "FROM" and w[1] == depth), None) if own is not None else None
+        if source is None:
+            raise ValueError("QUALIFY needs a select with FROM")
+        stop = next((w[2] for w in words[at + 1 :] if w[1] < depth or (w[1] == depth and w[0] in ("ORDER BY", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT")) or (w[0] == ")" and w[1] == depth - 1)), len(text))
+        begin = words[own][3]
+        inner = f"SELECT{text[begin : source[2]]}, ({text[end:stop].strip()}) AS _qualifies {text[source[2] : start]}"
+        text = f"{text[: words[own][2]]}SELECT * EXCEPT (_qualifies) FROM ({inner}) WHERE _qualifies {text[stop:]}"
 
 
 def shim(query: str) -> str:
@@ -59,27 +80,49 @@ def shim(query: str) -> str:
     text = re.sub(r"\*\s*EXCLUDE\s*(\([^)]*\)|\w+)", lambda m: "* EXCEPT " + (m[1] if m[1][0] == "(" else f"({m[1]})"), text, flags=re.I)
     text = re.sub(r"\bUNNEST\s*\(", "explode(", text, flags=re.I)
     text = re.sub(r"::\s*(VARCHAR|TEXT)\b", "::STRING", text, flags=re.I)
-    if at := _clause(text, "QUALIFY"):
-        a, b = at
-        condition = text[a + len("QUALIFY") : b].strip()
-        select = re.match(r"\s*SELECT\s", text, re.I)
-        if not select:
-            raise ValueError("QUALIFY is understood in a plain select only")
-        inner = text[select.end() : a]
-        text = f"SELECT * EXCEPT (_qualifies) FROM (SELECT {inner.replace(' FROM ', f', ({condition}) AS _qualifies FROM ', 1) if ' FROM ' in inner else re.sub(r'\\sFROM\\s', lambda m: f', ({condition}) AS _qualifies FROM ', inner, count=1, flags=re.I)}) WHERE _qualifies {text[b:]}"
+    text = _unqualified(text)
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text)
 
 
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def check(archive: Archive, query: str) -> None:
-    """Raises ``ReadOnly`` unless Spark's parser makes a plan that only reads."""
+    """Raises ``ReadOnly`` unless Spark's parser makes a plan of known kinds, over the archive's tables and harmless functions."""
     plan = archive.spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    todo = [plan]
+    known, todo, relations = set(schema.TABLES), [plan], []
     while todo:
         node = todo.pop()
-        if _WRITES.search(node.getClass().getSimpleName()):
-            raise ReadOnly(f"only queries are allowed, not {node.getClass().getSimpleName()}")
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
+        kind = node.getClass().getSimpleName()
+        expressions = _each(node.expressions().toList())
+        if kind not in PLANS:
+            raise ReadOnly(f"only queries are allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            relations.append([str(x) for x in _each(node.multipartIdentifier())])
+        elif kind == "UnresolvedTableValuedFunction":
+            name = [str(x).lower() for x in _each(node.name())]
+            if len(name) != 1 or name[0] not in TABLE_FUNCTIONS:
+                raise ReadOnly(f"the table function {'.'.join(name)} isn't allowed")
+        elif kind == "UnresolvedWith":
+            for cte in _each(node.cteRelations()):
+                known.add(cte._1().lower())
+                todo.append(cte._2())
+        todo += _each(node.children())
+        while expressions:
+            e = expressions.pop()
+            if e.getClass().getSimpleName() == "UnresolvedFunction":
+                name = [str(x).lower() for x in _each(e.nameParts())]
+                if len(name) != 1 or name[0] in CLOSED:
+                    raise ReadOnly(f"the function {'.'.join(name)} isn't allowed")
+            if e.getClass().getSimpleName() in SUBQUERIES:
+                todo.append(e.plan())
+            elif "Subquery" in e.getClass().getSimpleName() and e.getClass().getSimpleName() != "InSubquery":
+                raise ReadOnly(f"{e.getClass().getSimpleName()} isn't allowed")
+            expressions += _each(e.children())
+    for name in relations:
+        if len(name) != 1 or name[0].lower() not in known:
+            raise ReadOnly(f"{'.'.join(name)} is no table of the archive")
 
 
 def run(archive: Archive, query: str) -> DataFrame:
