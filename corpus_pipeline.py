@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from threadloom.llm import bpe, exact_dedup, language_id, near_dedup, packing, substring_dedup
 from threadloom.runtime import Scratch
 
-#: Of the way from chance to certainty, the part that a document's best language must have gone: with four, a mean posterior of 0.4.
-LEAST_SCORE = 0.2
+#: Of the way from chance to certainty, the part that a document's best language must have gone: with four, a mean posterior of 0.325.
+#: The lowest right answer among the 2,499 labelled held-out documents of sf0.1 has 0.4008.
+LEAST_SCORE = 0.1
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
