@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Openings of injected scaffolding, which is no conversation.
 NOISE = r"^(Base directory for this skill:|# AGENTS\.md instructions for|<(codex_internal_context|environment_context|local-command-caveat|recommended_plugins|skill)( |>))"
@@ -96,3 +100,20 @@ def timestamp_of(value: Column) -> Column:
     epoch = F.expr("try_cast(null as double)") if value is None else value.try_cast("double")
     from_epoch = F.timestamp_seconds(epoch).cast("timestamp_ntz")
     return F.coalesce(from_epoch, F.try_to_timestamp(value).cast("timestamp_ntz"))
+
+
+def munged(path: Column) -> Column:
+    """A path as a folder name: whatever is neither letter, digit nor dash becomes a dash."""
+    return F.regexp_replace(path, "[^A-Za-z0-9-]", "-")
+
+
+@F.pandas_udf(StringType())  # not "string": a worker that imports this has no session to read it with
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON text in one form: keys in order, no blanks, ASCII only; null stays null. Python's form of numbers and escapes counts."""
+    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), allow_nan=False), na_action="ignore")
+
+
+def identity(**fields: Column) -> Column:
+    """The SHA-256 of the canonical JSON object of ``fields``; nulls count as null members."""
+    members = F.struct(*[v.alias(k) for k, v in fields.items()])
+    return F.sha2(canonical_json(F.to_json(members, {"ignoreNullFields": "false"})), 256)

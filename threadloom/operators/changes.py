@@ -144,6 +144,12 @@ def nodes(edges: DataFrame, by: str) -> DataFrame:
     return edges.groupBy(F.col(by).alias("node")).agg(F.sum("edits").alias("edits"), F.max("last_edit").alias("last_edit"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
+def adjacent(edges: DataFrame, of: str) -> DataFrame:
+    """Each node of one side of ``weights`` (file_path or conv) with each neighbour, its edits and latest edit: a row a neighbour, not a list."""
+    other = "conv" if of == "file_path" else "file_path"
+    return edges.groupBy(F.col(of).alias("node"), F.col(other).alias("neighbour")).agg(F.sum("edits").alias("edits"), F.max("last_edit").alias("last_edit"))
+
+
 class Provenance:
     """Views over provenance facts, given as DataFrames."""
 

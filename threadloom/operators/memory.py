@@ -33,8 +33,10 @@ def plan(sources: DataFrame, links: DataFrame, canonicals: DataFrame, scope: str
     s = sources if scope is None else sources.filter(F.col("scope") == scope)
     linked = s.join(links.select(F.col("source").alias("id"), "canonical", "applied_hash"), "id", "left")
     exact = canonicals.groupBy(F.col("scope").alias("scope"), "hash").agg(F.min("id").alias("exact"))
-    # a moved source: the same locator and content under another id; the least of the others
-    twins = sources.filter("active").groupBy("provider", "locator", "hash").agg(F.array_sort(F.collect_set("id")).alias("_twins"))
+    # a moved source: the same locator and content under another id; the least of the others is one of the least two
+    alike = ["provider", "locator", "hash"]
+    least = sources.filter("active").select(*alike, "id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*alike).orderBy("id"))).filter("_k <= 2")
+    twins = least.groupBy(*alike).agg(F.array_sort(F.collect_list("id")).alias("_twins"))
     open_ = (F.col("active") & (F.col("canonical").isNull() | (F.col("applied_hash") != F.col("hash")))) | (~F.col("active") & F.col("canonical").isNotNull())
     collisions = linked.filter(F.col("active") & (F.col("applied_hash") != F.col("hash"))).groupBy("canonical").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("canonical", F.lit(True).alias("_collides"))
     rows = linked.filter(open_).join(exact, ["scope", "hash"], "left").join(twins, ["provider", "locator", "hash"], "left").join(collisions, "canonical", "left")
@@ -43,12 +45,18 @@ def plan(sources: DataFrame, links: DataFrame, canonicals: DataFrame, scope: str
 
 
 def token(sources: DataFrame, links: DataFrame, canonicals: DataFrame, scope: str | None = None) -> str:
-    """What a plan was made from: a digest of digests, so that only one row reaches the driver."""
-    part = lambda df, *cols: df.select(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    """What a plan was made from: sums of the rows' digests, so that a ledger of any size is added up where it lies."""
+
+    def part(df: DataFrame, *cols: str) -> DataFrame:
+        h = df.select(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]), 256).alias("h"))
+        # 15 hex digits fit into a long, and their sums into 38 decimal digits
+        sums = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k in range(4)]
+        return h.agg(F.count(F.lit(1)).cast("string").alias("n"), *sums)
+
     keep = (lambda df: df) if scope is None else (lambda df: df.filter(F.col("scope") == scope))
     own = keep(sources)
     found = [part(own, "id", "hash", "active"), part(links.join(own.select(F.col("id").alias("source")), "source", "left_semi"), "source", "canonical", "applied_hash"), part(keep(canonicals), "id", "hash")]
-    return hashlib.sha256(json.dumps([1, scope, *[p.first()["d"] for p in found]]).encode()).hexdigest()[:20]
+    return hashlib.sha256(json.dumps([2, scope, *[list(p.first()) for p in found]]).encode()).hexdigest()[:20]
 
 
 def reconcile(pending: DataFrame, linked_scopes: DataFrame) -> DataFrame:
@@ -68,19 +76,125 @@ def reconcile(pending: DataFrame, linked_scopes: DataFrame) -> DataFrame:
 
 
 def apply(sources: DataFrame, links: DataFrame, canonicals: DataFrame, actions: DataFrame, made_from: str | None = None, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links and canonicals after ``actions`` (source, action, canonical): detach, same, merge, distinct, revise or unresolved.
+    """Links and canonicals after ``actions`` (source, action, canonical): detach, same, merge, distinct, scoped, supersedes, revise or unresolved.
 
-    ``made_from`` is the plan's token; a ledger that has changed since is left alone.
+    ``scoped`` founds a memory as ``distinct`` does, ``supersedes`` puts the source's text in place of an existing
+    memory's. ``made_from`` is the plan's token; a ledger that has changed since is left alone. Nothing is written: the
+    frames are the preview, and a caller that stores them has applied it.
     """
     if made_from is not None and token(sources, links, canonicals, scope) != made_from:
         raise StalePlan("stale plan: the ledger has changed")
     does = actions.filter("action <> 'unresolved'").join(sources.select(F.col("id").alias("source"), "scope", "hash", "content"), "source")
     kept = links.join(does.select("source"), "source", "left_anti")
     linked = kept.unionByName(does.filter("action <> 'detach'").select("source", "canonical", F.col("hash").alias("applied_hash")))
-    written = does.filter("action in ('merge', 'distinct', 'revise')").groupBy("canonical").agg(F.max_by(F.struct("scope", "hash", "content"), "source").alias("r")).select(F.col("canonical").alias("id"), "r.*")
+    written = does.filter("action in ('merge', 'distinct', 'scoped', 'supersedes', 'revise')").groupBy("canonical").agg(F.max_by(F.struct("scope", "hash", "content"), "source").alias("r")).select(F.col("canonical").alias("id"), "r.*")
     return linked, canonicals.select("id", "scope", "hash", "content").join(written.select("id"), "id", "left_anti").unionByName(written)
 
 
+def refused(actions: DataFrame, pending: DataFrame, canonicals: DataFrame) -> DataFrame:
+    """Actions that may not be applied, with ``reason``; a source that is named twice, or isn't pending, is among them."""
+    known = pending.select("source", "kind", F.col("scope").alias("_scope")).dropDuplicates(["source"])
+    there = canonicals.select(F.col("id").alias("canonical"), F.col("scope").alias("_of")).dropDuplicates(["canonical"])
+    n = F.count(F.lit(1)).over(Window.partitionBy("source"))
+    a = actions.withColumn("_n", n).join(known, "source", "left").join(there, "canonical", "left")
+    # The actions there are
+    action = F.col("action")
+    reason = (
+        F.when(~F.coalesce(action, F.lit("")).isin("unresolved", "detach", "distinct", "scoped", "same", "merge", "supersedes"), "unknown action")
+        .when(F.col("_n") > 1, "named twice").when(F.col("kind").isNull(), "not pending").when(action == "unresolved", None)
+        .when((action == "detach") & (F.col("kind") != "missing"), "detach requires a missing source").when((action != "detach") & (F.col("kind") == "missing"), "missing source")
+        .when(action.isin("same", "supersedes") & F.col("_of").isNull(), "no such canonical").when(action.isin("distinct", "scoped") & F.col("_of").isNotNull(), "canonical exists")
+        .when(F.col("_of") != F.col("_scope"), "canonical of another scope")
+    )
+    return a.withColumn("reason", reason).filter("reason is not null").select("source", "action", "canonical", "reason")
+
+
+def remember(requests: DataFrame, canonicals: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """Requests (scope, content, canonical or null) with the memory's id, hash, source and ``status``.
+
+    created, linked (the memory is there) or unchanged (it is the source's text already) for new ones; revised,
+    unchanged or refused where ``canonical`` is given: only a memory with one origin, the user's or a remote one, may be
+    revised. Empty text is refused, and so is an id that has another text. Of equal requests one stays.
+    """
+    r = requests.select("scope", F.trim("content").alias("content"), "canonical").distinct()
+    name = F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat("scope", F.lit("\x00"), "content"), 256), 1, 16))
+    r = r.select(F.col("canonical").isNotNull().alias("_revises"), F.coalesce("canonical", name).alias("id"), "scope", "content", F.sha2("content", 256).alias("hash"))
+    origin = links.join(sources.select(F.col("id").alias("source"), "provider", F.col("content").alias("_held")), "source").groupBy(F.col("canonical").alias("id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("source", "provider", "_held")).alias("_o"))
+    known = canonicals.select("id", F.col("scope").alias("_scope"), F.col("content").alias("_text")).dropDuplicates(["id"])
+    j = r.join(known, "id", "left").join(origin, "id", "left")
+    own = F.coalesce((F.col("_n") == 1) & F.col("_o.provider").isin("user", "remote"), F.lit(False))
+    made = F.substring(F.sha2(F.concat(F.lit("user\x00"), "scope", F.lit("\x00user/"), "id"), 256), 1, 20)
+    source = F.when(F.col("_revises"), F.col("_o.source")).otherwise(made)
+    j = j.withColumn("source", source).join(sources.select(F.col("id").alias("source"), F.col("content").alias("_prior")).dropDuplicates(["source"]), "source", "left")
+    collides = F.coalesce(F.col("_scope") != F.col("scope"), F.lit(False)) | (~F.col("_revises") & F.coalesce(F.col("_text") != F.col("content"), F.lit(False)))
+    refused_ = (F.length("content") == 0) | collides | (F.col("_revises") & (F.col("_text").isNull() | ~own))
+    status = F.when(F.coalesce(refused_, F.lit(True)), "refused").when(F.col("_prior") == F.col("content"), "unchanged").when(F.col("_revises"), "revised").when(F.col("_text").isNotNull(), "linked").otherwise("created")
+    return j.select("id", "scope", "content", "hash", "source", status.alias("status"))
+
+
+def forget(ids: DataFrame, links: DataFrame, sources: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Each asked id with ``status``: forgotten, projected (a projection shows it) or refused.
+
+    Only a settled memory of the user's own may go: every origin is the user's or remote, and each of the user's is
+    active with the hash that was applied. ``shown`` has the ids that are in a projection.
+    """
+    o = links.join(sources.select(F.col("id").alias("source"), "provider", "hash", "active"), "source")
+    settled = (F.col("provider") == "remote") | ((F.col("provider") == "user") & F.col("active") & (F.col("hash") == F.col("applied_hash")))
+    guard = o.groupBy(F.col("canonical").alias("id")).agg(F.bool_and(F.coalesce(settled, F.lit(False))).alias("_ok"))
+    out = ids.select("id").distinct().join(guard, "id", "left")
+    seen = ids.select("id").limit(0) if shown is None else shown.select("id").distinct()
+    out = out.join(seen.withColumn("_seen", F.lit(True)), "id", "left")
+    status = F.when(~F.coalesce("_ok", F.lit(False)), "refused").when(F.col("_seen"), "projected").otherwise("forgotten")
+    return out.select("id", status.alias("status"))
+
+
+def without(forgotten: DataFrame, canonicals: DataFrame, links: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Canonicals, links and sources once ``forgotten`` (of ``forget``) has gone: a memory goes with its origins."""
+    gone = forgotten.filter("status = 'forgotten'").select("id")
+    of = links.join(gone.select(F.col("id").alias("canonical")), "canonical", "left_semi").select("source")
+    return canonicals.join(gone, "id", "left_anti"), links.join(of, "source", "left_anti"), sources.join(of.select(F.col("source").alias("id")), "id", "left_anti")
+
+
+def bind_scopes(checkouts: DataFrame, bound: DataFrame) -> DataFrame:
+    """Each checkout (checkout, repository) with its memory scope, by the scopes that were bound before.
+
+    Its own binding counts while it is of the same repository; else the one scope of its repository; else its own path,
+    marked with the repository where the checkout was another's. ``scopes`` over 1 is ambiguous and has no scope.
+    """
+    own = bound.select("checkout", F.col("repository").alias("_r"), F.col("scope").alias("_own")).dropDuplicates(["checkout"])
+    per = bound.groupBy("repository").agg(F.count_distinct("scope").alias("_n"), F.min("scope").alias("_one"))
+    j = checkouts.select("checkout", "repository").distinct().join(own, "checkout", "left").join(per, "repository", "left")
+    fits = F.col("_r").eqNullSafe(F.col("repository")) & F.col("_own").isNotNull()
+    made = F.when(F.col("_own").isNotNull(), F.concat("checkout", F.lit("@"), F.substring("repository", 6, 8))).otherwise(F.col("checkout"))
+    scope = F.when(F.col("repository").isNull(), F.col("checkout")).when(fits, F.col("_own")).when(F.col("_n") > 1, None).otherwise(F.coalesce("_one", made))
+    n = F.when(fits | F.col("repository").isNull(), 1).otherwise(F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)))
+    return j.select("checkout", "repository", scope.alias("scope"), n.cast("long").alias("scopes"))
+
+
+def ancestor_leaves(revisions: DataFrame) -> DataFrame:
+    """Revisions that no other of their entity has among its ``ancestors``, and ``settled`` where there is one.
+
+    ``revisions``: workspace, author, entity, revision, ancestors. Ancestors are exploded and met by an equi-join.
+    """
+    key = ["workspace", "author", "entity"]
+    r = revisions.dropDuplicates([*key, "revision"])
+    above = revisions.select(*key, F.explode("ancestors").alias("revision")).distinct()
+    left = r.join(above, [*key, "revision"], "left_anti")
+    n = left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return left.join(n, key).withColumn("settled", F.col("_n") == 1).drop("_n", "ancestors")
+
+
+def projection_status(projections: DataFrame) -> DataFrame:
+    """Files that show a memory, with ``status``, by hashes of what was written last, what is there and what should be.
+
+    create: nothing is there and nothing was written; drift: what is there isn't what was written; unchanged or update.
+    """
+    wrote, there, wanted = F.col("recorded_hash"), F.col("disk_hash"), F.col("wanted_hash")
+    status = F.when(there.isNull() & wrote.isNull(), "create").when(~there.eqNullSafe(wrote), "drift").when(there.eqNullSafe(wanted), "unchanged").otherwise("update")
+    return projections.withColumn("status", status)
+
+
 def current(canonicals: DataFrame, scope: str, query: str | None = None) -> DataFrame:
     """A scope's memories, by id; those that contain ``query`` in any case."""
     rows = canonicals.filter(F.col("scope") == scope)

@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 from threadloom import schema
 from threadloom.archive import Archive
 from threadloom.operators import upsert
+from threadloom.runtime import copy_tree, exists
+
+
+class Bodies:
+    """Contents under their SHA-256, in a table under ``path`` whose parts are the hashes' first two digits."""
+
+    #: Larger contents aren't kept.
+    LIMIT = 32 << 20
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def all(self) -> DataFrame:
+        """hash, content, size and part."""
+        shape = "hash string, content binary, size long, part string"
+        return self.spark.read.schema(shape).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], shape)
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``body_hash``, once their ``content`` is stored; null for null or too large ones. What is there isn't written again."""
+        fits = F.col("content").isNotNull() & (F.octet_length("content") <= self.LIMIT)
+        hashed = rows.withColumn("body_hash", F.when(fits, F.sha2("content", 256)))
+        new = hashed.filter("body_hash is not null").select(F.col("body_hash").alias("hash"), "content").dropDuplicates(["hash"]).join(self.all().select("hash"), "hash", "left_anti")
+        new.withColumn("size", F.octet_length("content").cast("long")).withColumn("part", F.substring("hash", 1, 2)).repartition("part").write.mode("append").partitionBy("part").parquet(self.path)
+        return hashed.drop("content")
+
+    def damaged(self) -> DataFrame:
+        """Hashes whose content is no longer theirs."""
+        return self.all().filter((F.sha2("content", 256) != F.col("hash")) | (F.octet_length("content") != F.col("size"))).select("hash")
 
 
 class Store:
@@ -59,3 +87,38 @@ class Store:
         (moved if moved is not None else self.spark.createDataFrame([], schema.CHANGES)).write.mode("overwrite").parquet(f"{at}/_changes")
         self.spark.range(1).select(F.lit(g).cast("long").alias("generation")).write.mode("append").parquet(f"{self.path}/_done")
         return g
+
+    def backup(self, target: str) -> int:
+        """Copies the latest generation to ``target``, which must not exist; a store of one generation, and its number."""
+        g = self.generation()
+        if not g:
+            raise ValueError("nothing to back up: the store is empty")
+        if exists(self.spark, target):
+            raise ValueError(f"backup target already exists: {target}")
+        copy_tree(self.spark, f"{self.path}/{g}", f"{target.rstrip('/')}/1")
+        # as with a generation, the mark comes last
+        self.spark.range(1).select(F.lit(1).cast("long").alias("generation")).write.parquet(f"{target.rstrip('/')}/_done")
+        return g
+
+    def restore(self, source: str) -> int:
+        """Takes a backup's tables as the next generation, with what that changes; earlier generations stay as a rescue.
+
+        A table that is missing, or whose columns are others, is an error before anything is written.
+        """
+        other = Store(self.spark, source)
+        if self.path == other.path:
+            raise ValueError("backup and store must be different folders")
+        from_ = other.generation()
+        for name, shape in schema.TABLES.items():
+            found = self.spark.read.parquet(f"{other.path}/{from_}/{name}").schema
+            if [(f.name, f.dataType) for f in found] != [(f.name, f.dataType) for f in shape]:
+                raise ValueError(f"not a table of this archive: {name}")
+        before, after, g = self.archive(), other.archive(), self.generation() + 1
+        moved = None
+        for name in schema.TABLES:
+            copy_tree(self.spark, f"{other.path}/{from_}/{name}", f"{self.path}/{g}/{name}")
+            diff = upsert.changed(name, getattr(before, name), getattr(after, name), g)
+            moved = diff if moved is None else moved.unionByName(diff)
+        moved.write.mode("overwrite").parquet(f"{self.path}/{g}/_changes")
+        self.spark.range(1).select(F.lit(g).cast("long").alias("generation")).write.mode("append").parquet(f"{self.path}/_done")
+        return g
