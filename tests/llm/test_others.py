@@ -241,3 +241,12 @@ def test_snapshots_collapse(spark, monkeypatch):
     assert set(got) == {3, 5, 6, None} and len(got[3]) == 3
     assert "".join(got[3]) == "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in talk)
     assert chat.render(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_several_texts_of_one_turn_stand_in_their_order(spark):
+    # a text that comes late by hash or row order, one that is logged twice, and a conversation that is a prefix only in that order
+    tied = [("b" * 40 + x, x) for x in "zaqm"]
+    rows = [(1, 0, "user", t) for t, _ in tied] + [(1, 0, "user", tied[0][0]), (1, 1, "user", "more"), (2, 0, "user", tied[1][0]), (2, 0, "user", tied[3][0]), (3, 0, "user", tied[0][0])]
+    out = {r["conv_id"]: r["rendered"] for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    piece = lambda t: f"<|im_start|>user\n{t}<|im_end|>\n"
+    assert out == {1: "".join(piece(t) for t in [*sorted(t for t, _ in tied), "more"]), 3: piece(tied[0][0])}

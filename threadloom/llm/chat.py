@@ -1,8 +1,9 @@
 """Chat formatting with collapse of cumulative snapshots.
 
 Chat systems log a conversation again after each turn, so many logged conversations are prefixes of longer ones. Each
-turn gets a rolling hash of its conversation up to it: the exclusive or of 128-bit hashes of (position, role, text), so
-a long conversation is hashed in blocks of turns that are joined afterwards. A conversation whose last hash and length
+turn gets a rolling hash of its conversation up to it: the exclusive or of 128-bit hashes of its position and of the
+128-bit hash of its role and text, so a long conversation is hashed in blocks of turns that are joined afterwards, and
+texts are shuffled only once it is known which conversations stay. A conversation whose last hash and length
 are a prefix of a longer one falls to an anti-join; of equal ones the smallest id stays. The rest is rendered, a row for
 each ``CHUNK`` turns, so a conversation of any length is no single row or task.
 
@@ -13,7 +14,7 @@ Rows with a null id are one conversation. An empty table gives an empty result;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.runtime import Scratch
@@ -23,23 +24,53 @@ CHUNK = 256
 BLOCK = 256
 
 
+def _turns(df: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """id, turn, role, text and ``k1``, ``k2``, a 128-bit hash of role and text, for each row."""
+    t = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return t.withColumn("k1", F.xxhash64("role", "text")).withColumn("k2", F.xxhash64(F.lit("second"), "text", "role"))
+
+
+def _same(*more: str) -> Column:
+    """Equal ids, null with null, and equal columns ``more``; those of ``_other`` end in an underscore."""
+    on = F.col("id").eqNullSafe(F.col("id_"))
+    for c in more:
+        on = on & (F.col(c) == F.col(f"{c}_"))
+    return on
+
+
+def _other(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_") for c in keys], *[c for c in df.columns if c not in keys])
+
+
 def prefixes(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row a turn: id, pos (from 1), role, text, h1 and h2, hashes of the conversation up to it."""
-    turns = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
-    own = Window.partitionBy("id", "block").orderBy("turn", "role", "text")
-    placed = turns.withColumn("nth", F.row_number().over(own))
-    sizes = placed.groupBy("id", "block").agg(F.count(F.lit(1)).alias("n"))
+    """One row a turn, without its text: id, turn, role, k1, k2, pos (from 1), h1 and h2, hashes of the conversation up to it.
+
+    A text is hashed where it is read, and only hashes are shuffled and sorted. Where a turn has several texts of one
+    role, their order is the texts': those turns alone are read again.
+    """
+    scratch = Scratch(df.sparkSession, "chat-turns")
+    rows = _turns(df, id_col, turn_col, role_col, text_col)
+    each = scratch.keep(rows.select("id", "turn", "role", "k1", "k2").distinct(), "each")
+    # written, so that its size is known when it is joined: no text moves where few turns or none are tied
+    tied = scratch.keep(each.groupBy("id", "turn", "role").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "tied")
+    several = rows.join(_other(tied, "id", "turn", "role"), _same("turn", "role"), "left_semi").distinct()
+    ranked = several.withColumn("nth", F.row_number().over(Window.partitionBy("id", "turn", "role").orderBy("text"))).select("id", "turn", "role", "k1", "k2", "nth")
+    order = scratch.keep(ranked, "order")
+    keys = ("id", "turn", "role", "k1", "k2")
+    turns = each.join(_other(order, *keys), _same(*keys[1:]), "left").select(*keys, F.coalesce("nth", F.lit(1)).alias("nth"), F.floor(F.col("turn") / BLOCK).alias("block"))
+
+    own = Window.partitionBy("id", "block").orderBy("turn", "role", "nth")
     earlier = Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("at", F.row_number().over(own))
+    sizes = turns.groupBy("id", "block").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    same = lambda a, b: a["id"].eqNullSafe(b["i"]) & (a["block"] == b["b"])
-    starts = starts.select(F.col("id").alias("i"), F.col("block").alias("b"), "start")
-    numbered = placed.join(starts, same(placed, starts)).select("id", "block", "nth", (F.col("start") + F.col("nth")).cast("long").alias("pos"), "role", "text")
-    hashed = numbered.withColumn("x1", F.xxhash64("pos", "role", "text")).withColumn("x2", F.xxhash64(F.lit("second"), "text", "role", "pos"))
-    so_far = Window.partitionBy("id", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.join(_other(starts, "id", "block"), _same("block")).select(*keys, "block", (F.col("start") + F.col("at")).cast("long").alias("pos"))
+    hashed = scratch.keep(numbered.withColumn("x1", F.xxhash64("pos", "k1", "k2")).withColumn("x2", F.xxhash64(F.lit("second"), "k2", "k1", "pos")), "hashed")
+    so_far = Window.partitionBy("id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     within = hashed.withColumn("y1", F.bit_xor("x1").over(so_far)).withColumn("y2", F.bit_xor("x2").over(so_far))
     blocks = hashed.groupBy("id", "block").agg(F.bit_xor("x1").alias("b1"), F.bit_xor("x2").alias("b2"))
-    base = blocks.select(F.col("id").alias("i"), F.col("block").alias("b"), F.coalesce(F.bit_xor("b1").over(earlier), F.lit(0)).alias("z1"), F.coalesce(F.bit_xor("b2").over(earlier), F.lit(0)).alias("z2"))
-    return within.join(base, same(within, base)).select("id", "pos", "role", "text", F.col("y1").bitwiseXOR(F.col("z1")).alias("h1"), F.col("y2").bitwiseXOR(F.col("z2")).alias("h2"))
+    base = blocks.select("id", "block", F.coalesce(F.bit_xor("b1").over(earlier), F.lit(0)).alias("z1"), F.coalesce(F.bit_xor("b2").over(earlier), F.lit(0)).alias("z2"))
+    return within.join(_other(base, "id", "block"), _same("block")).select(*keys, "pos", F.col("y1").bitwiseXOR(F.col("z1")).alias("h1"), F.col("y2").bitwiseXOR(F.col("z2")).alias("h2"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -52,11 +83,16 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Id, chunk (from 0), n_turns (of the conversation) and rendered, for each ``CHUNK`` turns of each maximal conversation."""
-    turns = Scratch(df.sparkSession, "chat").keep(prefixes(df, id_col, turn_col, role_col, text_col), "turns")
-    stay = maximal(turns).select(F.col("id").alias("i"), "n")
-    kept = turns.select("id", "pos", "role", "text").join(stay, F.col("id").eqNullSafe(F.col("i")))
-    pieces = kept.select("id", "n", F.floor((F.col("pos") - 1) / CHUNK).cast("long").alias("chunk"), "pos", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")).alias("piece"))
-    rows = pieces.groupBy("id", "n", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+    scratch = Scratch(df.sparkSession, "chat")
+    turns = scratch.keep(prefixes(df, id_col, turn_col, role_col, text_col), "turns")
+    stay = maximal(turns)
+    keys = ("id", "turn", "role", "k1", "k2")
+    kept = scratch.keep(turns.join(_other(stay, "id"), _same()).select(*keys, "pos", "n"), "kept")
+    # texts meet what stays once; a turn that is logged twice gives its piece twice, and the set has it once
+    read = _turns(df, id_col, turn_col, role_col, text_col)
+    whole = read.join(_other(kept, *keys), _same(*keys[1:]))
+    pieces = whole.select("id", "n", F.floor((F.col("pos") - 1) / CHUNK).cast("long").alias("chunk"), "pos", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")).alias("piece"))
+    rows = pieces.groupBy("id", "n", "chunk").agg(F.array_sort(F.collect_set(F.struct("pos", "piece"))).alias("p"))
     return rows.select(F.col("id").alias(id_col), "chunk", F.col("n").alias("n_turns"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("rendered"))
 
 
