@@ -101,8 +101,7 @@ def trail(a) -> DataFrame:
 
 @_query("""SELECT conversation_id, CAST(k AS BIGINT) AS k, round(avg(x), 6) AS x FROM (SELECT conversation_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM m WHERE embedding IS NOT NULL) GROUP BY conversation_id, k""")
 def conversation_vectors(a) -> DataFrame:
-    m = a.messages.filter("embedding is not null").select("conversation_id", F.posexplode("embedding").alias("k", "x"))
-    return m.groupBy("conversation_id", F.col("k").cast("long").alias("k")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    return explore.mean_vectors(a.messages, "conversation_id").withColumn("x", F.round("x", 6))
 
 
 @_query("SELECT 'word' AS engine, count(*) AS cases, round(avg(CASE WHEN r IS NULL THEN 0 ELSE 1 END), 6) AS hit_rate, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT item_id, min(CASE WHEN contains(text, 'zz') THEN NULL ELSE item_id % 5 + 1 END) AS r FROM benchmark GROUP BY item_id)", archive=False)
@@ -580,8 +579,7 @@ def sql_subqueries(a) -> DataFrame:
 
 @_query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY source DESC NULLS LAST, doc_id) AS n FROM documents) WHERE n = 1", archive=False)
 def collapse_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.withColumn("n", F.row_number().over(Window.partitionBy("text").orderBy(F.col("source").desc_nulls_last(), "doc_id"))).filter("n = 1").select("doc_id", "source")
+    return explore.one_copy(table(spark, sf_dir, "documents"), "text", F.col("source").desc_nulls_last(), "doc_id").select("doc_id", "source")
 
 
 @_query("SELECT id, parent_id FROM m WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM m)")
