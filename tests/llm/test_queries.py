@@ -7,7 +7,7 @@ from .conftest import ODD
 
 
 def test_one_query_an_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):
