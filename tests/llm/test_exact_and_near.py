@@ -42,6 +42,21 @@ def test_hot_texts_are_split_and_merged(spark, monkeypatch):
     assert all(out[i]["keep_id"] == 17 and out[i]["group_size"] == 40 for i in range(40)) and sum(r["kept"] for r in out.values()) == 11
 
 
+def test_hot_text_of_one_id_keeps_one_row(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)
+    rows = [(7, "same text" + " " * (k % 3), k) for k in range(30)] + [(None, "no id", k) for k in range(20)] + [(100 + i, f"text {i}", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sha int").selectExpr("*", "_sha AS _nth", "_sha AS _cp", "_sha AS _row").repartition(6)
+    out = exact_dedup.copies(df).collect()
+    for i in (7, None):
+        own = [r for r in out if r["doc_id"] == i]
+        assert sum(r["kept"] for r in own) == 1 and {r["group_size"] for r in own} == {len(own)} and {r["keep_id"] for r in own} == {i}
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns
+    found = left.collect()
+    assert len(found) == 12 and all(r["_sha"] == r["_nth"] == r["_cp"] == r["_row"] for r in found) and [r["text"] for r in found if r["doc_id"] == 7] == ["same text  "]
+
+
 def test_drop_copies_keeps_columns_and_one_row(odd, none):
     out = exact_dedup.drop_copies(odd)
     assert out.columns == odd.columns

@@ -120,50 +120,6 @@ def test_forward_backward_is_exact():
     assert np.allclose(post, want, atol=1e-5) and np.allclose(joint, pairs, atol=1e-5)
 
 
-def url_brute(urls, labelled):
-    letters = url_filter.LETTERS
-
-    def grams(u):
-        s = "".join("0" if c.isdigit() and c.isascii() else c if c in letters[:-1] and c != "0" else "~" for c in (u or "").lower())
-        p = "^^" + s
-        return [p[i : i + 3] for i in range(len(s))]
-
-    models = {}
-    for good in (True, False):
-        three = {}
-        for u, g, fold in labelled:
-            if g == good and fold % url_filter.FOLDS:
-                for x in grams(u):
-                    three[x] = three.get(x, 0) + 1
-        models[good] = three
-    if not all(models.values()):
-        return None
-
-    def p(good, x):
-        out = 1 / 32
-        for k in (0, 1, 2):
-            seen = {}
-            for g, n in models[good].items():
-                if g[2 - k : 2] == x[2 - k : 2]:
-                    seen[g[2]] = seen.get(g[2], 0) + n
-            if seen:
-                out = (seen.get(x[2], 0) + len(seen) * out) / (sum(seen.values()) + len(seen))
-        return out
-
-    return [sum(math.log(p(True, x) / p(False, x)) for x in grams(u)) / len(grams(u)) if u else None for u in urls]
-
-
-def test_url_scores_equal_brute_force(spark):
-    urls = ["http://a.com/en/1", "https://b.net/de/x", "", None, "no scheme", "http://Ünï.org/?q=1", "http://a.com/en/1"]
-    labelled = [("http://good.net/de/1", True, 1), ("http://fine.net/de/2", True, 2), ("http://bad.com/en/3", False, 3), ("http://worse.com/en/4", False, 4), ("http://x.com/en/5", False, 5), ("http://y.net/de/5", True, 10)]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    out = {r["page_id"]: r for r in url_filter.judge(df, spark.createDataFrame(labelled, "url string, good boolean, fold long")).collect()}
-    for i, want in enumerate(url_brute(urls, labelled)):
-        assert (out[i]["score"] is None and want is None) or abs(out[i]["score"] - want) < 1e-9
-    assert out[2]["verdict"] == out[3]["verdict"] == "allow"
-    assert all(r["verdict"] == "allow" for r in url_filter.judge(df, spark.createDataFrame([], "url string, good boolean, fold long")).collect())
-
-
 def context_brute(rows, order):
     text = lambda u: url_filter.BEFORE * order + u
     grams = lambda u: [text(u)[i : i + order + 1] for i in range(len(u))]
@@ -250,3 +206,12 @@ def test_several_texts_of_one_turn_stand_in_their_order(spark):
     out = {r["conv_id"]: r["rendered"] for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
     piece = lambda t: f"<|im_start|>user\n{t}<|im_end|>\n"
     assert out == {1: "".join(piece(t) for t in [*sorted(t for t, _ in tied), "more"]), 3: piece(tied[0][0])}
+
+
+def test_url_columns_that_clash(spark):
+    rows = [("http://good.net/de/1", True, 1), ("http://bad.com/en/3", False, 3), ("http://a.com/en/9", None, None)]
+    names = ["_url", "_row", "good", "bad", "_calibrates", "_held", "_cut", "n", "verdict"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "url string, _good boolean, _fold long, " + ", ".join(f"{n} int" for n in names))
+    out = url_filter.judge_by_contexts(df)
+    assert out.columns == ["url", *names[:-1], "score", "verdict"]
+    assert {tuple(r[n] for n in names[:-1]) for r in out.collect()} == {tuple(range(len(names) - 1))}

@@ -7,9 +7,9 @@ range, so they are found first by an aggregate of 8-byte digests and dealt to se
 their partial groups are merged afterwards, one row a salt.
 
 Defined results: a null or empty text, or one of white space only, normalises to '' and forms one group like
-any other. Ties of the longest original go to the smallest id, a null id last. Repeated rows count once each.
-An empty table gives an empty result. Columns beyond the id and the text are carried by ``drop_copies`` and
-ignored by ``copies``; working columns have names of their own, so names can't clash.
+any other. Ties of the longest original go to the smallest id, a null id last. Repeated rows count once each, and of
+rows that agree in all this one stays. An empty table gives an empty result. Columns beyond the id and the text are
+ignored by ``copies``, and carried by ``drop_copies`` in a struct, so that names can't clash.
 """
 
 from __future__ import annotations
@@ -59,28 +59,29 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .withColumn("_size", F.count(F.lit(1)).over(near))
         .select("_id", "_salt", "_keep", "_keep_cp", "_rank", "_size", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"))
     )
+    # a hot text's salts each have a first row; where these agree in length and id, the least salt's stays
     groups = Scratch(spark, "content-sort").keep(sorted_rows, "groups")
     firsts = groups.filter((F.col("_salt") >= 0) & (F.col("_rank") == 1))
     # a row for each salt of the hot texts; then one a hot text: bounded as above
-    whole = firsts.groupBy("_sha").agg(F.min(F.struct((-F.col("_keep_cp")).alias("a"), F.col("_keep").isNull().alias("b"), F.col("_keep").alias("id"))).alias("_w"), F.sum("_size").alias("_n"))
+    whole = firsts.groupBy("_sha").agg(F.min(F.struct((-F.col("_keep_cp")).alias("a"), F.col("_keep").isNull().alias("b"), F.col("_keep").alias("id"), F.col("_salt").alias("salt"))).alias("_w"), F.sum("_size").alias("_n"))
     found = groups.join(F.broadcast(whole.withColumnRenamed("_sha", "_hot")), F.col("_sha") == F.col("_hot"), "left")
     is_hot = F.col("_hot").isNotNull()
-    out = found.select(
+    stays = F.when(is_hot, F.col("_salt") == F.col("_w.salt")).otherwise(True) & (F.col("_rank") == 1)
+    return found.select(
         F.col("_id").alias(id_col), F.when(is_hot, F.col("_w.id")).otherwise(F.col("_keep")).alias("keep_id"), F.when(is_hot, F.col("_n")).otherwise(F.col("_size")).alias("group_size"),
-        "_rank", "_sha",
+        stays.alias("kept"), F.col("_sha").alias("text_sha256"),
     )
-    return out.select(id_col, "keep_id", "group_size", (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_rank") == 1)).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the one row of each group that stays; its columns are unchanged."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     stay = copies(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_stay"), F.col("text_sha256").alias("_stay_sha"))
-    keyed = df.withColumn("_sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).withColumn("_cp", F.length(body))
-    found = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
-    # rows that repeat an id and its text would all be found; the longest of them stays
-    one = Window.partitionBy(id_col, "_sha").orderBy(F.col("_cp").desc(), F.xxhash64(body))
-    return found.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*df.columns)
+    keyed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("_sha"), F.length(body).alias("_cp"), F.xxhash64(body).alias("_sum"))
+    found = keyed.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
+    # rows that repeat an id and its text are all found; the longest of them stays
+    one = Window.partitionBy("_id", "_sha").orderBy(F.col("_cp").desc(), "_sum")
+    return found.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select("_row.*")
 
 
 def op7_content_sort(spark, sf_dir: str) -> DataFrame:

@@ -11,13 +11,11 @@ a longer context for each ``GROWTH``-fold of labelled characters. What calibrate
 without it; then all labelled URLs are counted. Both take the same pass. Grams are counted before they are joined, and
 those in more than one of ``HOT`` places are broadcast, so that no key's rows meet in one task.
 
-``judge`` is the small model over 32 folded letters (a to z, a digit, ``./-``, any other, and the start) and contexts of
-two, 32768 numbers whatever the input. The query doesn't use it.
-
 Defined results: a null url, or one without ``://``, has an empty host and path. An empty or null url, and any url
 when one of the classes has no labelled URL, is allowed unless a rule says otherwise. Of rules that fit the longest
 wins, then the one with the longer host, then the first in order. Repeated rows are judged alike; an empty table gives
-an empty result; extra columns are carried by ``judge``.
+an empty result; the caller's row is carried in a struct, so that no name of it
+can clash; a column ``score`` or ``verdict`` of it gives way.
 """
 
 from __future__ import annotations
@@ -27,10 +25,7 @@ from pyspark.sql import functions as F
 
 from threadloom.runtime import Scratch
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz0./-~^"
-SIZE = len(LETTERS)
-START = SIZE - 1
-#: The character before a URL's first in ``judge_by_contexts``.
+#: The character before a URL's first.
 BEFORE = "\x00"
 #: Contexts are longer by a character for so many times as many labelled characters; two at least.
 GROWTH = 16
@@ -73,44 +68,6 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return (none if rule is None else rule), (none if verdict is None else verdict)
 
 
-def with_grams(df: DataFrame, url: str) -> DataFrame:
-    """``df`` with ``_grams``: for each letter of the url, the number of it and the two before it."""
-    folded = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(url), F.lit(""))), "[0-9]", "0"), "[^a-z0./-]", "~")
-    letters = F.when(F.length(folded) > 0, F.transform(F.split(folded, ""), lambda c: F.instr(F.lit(LETTERS), c) - 1)).otherwise(F.array().cast("array<int>"))
-    coded = df.withColumn("_codes", letters)
-    before = lambda i, k: F.coalesce(F.get(F.col("_codes"), i - k), F.lit(START))
-    grams = F.transform("_codes", lambda c, i: (before(i, 2) * SIZE + before(i, 1)) * SIZE + c)
-    return coded.withColumn("_grams", grams).drop("_codes")
-
-
-def ratios(labelled: DataFrame) -> DataFrame:
-    """One row with ``model``: for each three letters, log P(accepted) - log P(rejected) of the last; null if a class is missing."""
-    spark = labelled.sparkSession
-    counted = labelled.select("_good", F.explode("_grams").alias("g")).groupBy("_good", "g").agg(F.count(F.lit(1)).alias("n"))
-    classes = counted.agg(F.count_distinct("_good"))
-    grid = spark.range(SIZE**3).select(F.col("id").cast("int").alias("g"), F.explode(F.array(F.lit(True), F.lit(False))).alias("_good"))
-    three = grid.join(counted, ["_good", "g"], "left").select("_good", F.floor(F.col("g") / SIZE**2).alias("a"), F.floor(F.col("g") / SIZE).alias("ab"), (F.floor(F.col("g") / SIZE) % SIZE).alias("b"), (F.col("g") % SIZE).alias("c"), "g", F.coalesce("n", F.lit(0)).alias("n"))
-
-    def blend(table: DataFrame, context: list[str], lower: Column, name: str) -> DataFrame:
-        own = Window.partitionBy("_good", *context)
-        seen, kinds = F.sum("n").over(own), F.sum((F.col("n") > 0).cast("int")).over(own)
-        return table.withColumn(name, F.when(seen > 0, (F.col("n") + kinds * lower) / (seen + kinds)).otherwise(lower))
-
-    one = blend(three.groupBy("_good", "c").agg(F.sum("n").alias("n")), [], F.lit(1.0 / SIZE), "p0").select("_good", "c", "p0")
-    two = blend(three.groupBy("_good", "b", "c").agg(F.sum("n").alias("n")).join(one, ["_good", "c"]), ["b"], F.col("p0"), "p1").select("_good", "b", "c", "p1")
-    full = blend(three.join(two, ["_good", "b", "c"]), ["ab"], F.col("p1"), "p2")
-    both = full.groupBy("g").agg(F.sum(F.when(F.col("_good"), F.log("p2"))).alias("x"), F.sum(F.when(~F.col("_good"), F.log("p2"))).alias("y"))
-    rows = both.agg(F.array_sort(F.collect_list(F.struct("g", (F.col("x") - F.col("y")).alias("v")))).alias("r"))
-    return rows.select(F.when(classes.scalar() == 2, F.transform("r", lambda x: x["v"])).alias("model"))
-
-
-def scored(df: DataFrame, model: DataFrame) -> DataFrame:
-    """``df`` with ``_score``: the mean of its letters' ratios; null without letters or model."""
-    with_model = df.withColumn("_model", model.scalar())
-    total = F.aggregate("_grams", F.lit(0.0), lambda acc, g: acc + F.get(F.col("_model"), g))
-    return with_model.withColumn("_score", F.when(F.size("_grams") > 0, total / F.size("_grams"))).drop("_model")
-
-
 def threshold(calibration: DataFrame) -> DataFrame:
     """One row with ``cut``: the score from which URLs are accepted."""
     bins = calibration.filter(F.col("_score").isNotNull()).select("_good", F.floor(F.greatest(F.least(F.col("_score"), F.lit(RANGE)), F.lit(-RANGE)) * STEPS).alias("bin"))
@@ -122,17 +79,6 @@ def threshold(calibration: DataFrame) -> DataFrame:
     return rated.agg((F.max_by("bin", F.struct(F.round(F.col("t") + F.col("u"), 9), -F.col("bin"))) / STEPS).alias("cut"))
 
 
-def judge(df: DataFrame, labelled: DataFrame, url: str = "url") -> DataFrame:
-    """``df`` with ``score`` and ``verdict``; ``labelled`` has a url, ``good`` and a column ``fold``, a number."""
-    known = with_grams(labelled.select(F.col(url), F.col("good").alias("_good"), (F.col("fold") % FOLDS == 0).alias("_calibrates")), url)
-    # a row each: written, so that what uses them reads a number or an array and not the labelled URLs again
-    scratch = Scratch(df.sparkSession, "url-model")
-    model = scratch.keep(ratios(known.filter(~F.col("_calibrates"))), "model")
-    cut = scratch.keep(threshold(scored(known.filter("_calibrates"), model)), "cut")
-    out = scored(with_grams(df, url), model).withColumn("_cut", F.coalesce(cut.scalar(), F.lit(0.0)))
-    return out.withColumn("score", F.col("_score")).withColumn("verdict", F.when(F.col("_score") < F.col("_cut"), "block").otherwise("allow")).drop("_grams", "_score", "_cut")
-
-
 def order_for(letters: int) -> int:
     """The longest context that is counted over so many labelled characters."""
     order = 2
@@ -166,18 +112,20 @@ def blended(grams: DataFrame, order: int) -> DataFrame:
     return lower.withColumnRenamed("s", "g")
 
 
-def judge_by_contexts(df: DataFrame, url: str = "url") -> DataFrame:
-    """``df`` with ``score`` and ``verdict``; it has ``_good``, null where a url isn't labelled, and ``_fold``, a number."""
+def judge_by_contexts(df: DataFrame, url: str = "url", good_col: str = "_good", fold_col: str = "_fold") -> DataFrame:
+    """``df`` with ``score`` and ``verdict``, less ``good_col``, which is null where a url isn't labelled, and ``fold_col``, a number."""
     scratch = Scratch(df.sparkSession, "url-contexts")
     good, calibrates = F.col("_good"), F.col("_fold") % FOLDS == 0
     is_, counted = lambda c: F.coalesce(c, F.lit(False)).cast("int"), {"good": good & ~calibrates, "bad": ~good & ~calibrates, "all_good": good, "all_bad": ~good}
-    numbered = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_calibrates", good.isNotNull() & calibrates)
+    carried = [c for c in df.columns if c not in (good_col, fold_col, "score", "verdict")]
+    named = df.select(F.struct(*[F.col(c) for c in carried]).alias("_whole"), F.col(url).alias("_url"), F.col(good_col).alias("_good"), F.col(fold_col).alias("_fold"))
+    numbered = named.withColumn("_row", F.monotonically_increasing_id()).withColumn("_calibrates", good.isNotNull() & calibrates)
     # written, so that a row's number stays, and pages' other columns aren't read again
     rows = scratch.keep(numbered.select("*", *[is_(counted[c]).alias(c) for c in COUNTS]), "rows")
-    size = F.length(url).cast("long")
+    size = F.length("_url").cast("long")
     letters = rows.agg(F.sum(size).alias("n"), *[F.sum(size * F.col(c)).alias(c) for c in COUNTS]).first()
     order, has = order_for((letters["all_good"] or 0) + (letters["all_bad"] or 0)), lambda a, b: F.lit(bool(letters[a] and letters[b]))
-    found = places(rows, url, order)
+    found = places(rows, "_url", order)
     grams = scratch.keep(found.groupBy("g").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count(F.lit(1)).alias("n")), "grams")
     # whole numbers, so that sums don't depend on the order of rows
     ratio = lambda a, b: F.round((F.log(f"p_{a}") - F.log(f"p_{b}")) * UNITS).cast("long")
@@ -191,7 +139,7 @@ def judge_by_contexts(df: DataFrame, url: str = "url") -> DataFrame:
     placed = rows.join(scores, "_row", "left")
     cut = scratch.keep(threshold(placed.filter("_calibrates").select("_good", F.col("_held").alias("_score"))), "cut")
     out = placed.withColumn("_cut", F.coalesce(cut.scalar(), F.lit(0.0))).withColumn("score", F.col("_score"))
-    return out.withColumn("verdict", F.when(F.col("_score") < F.col("_cut"), "block").otherwise("allow")).drop("_row", "_held", "_score", "_cut", "_good", "_fold", "_calibrates", *COUNTS)
+    return out.select("_whole.*", "score", F.when(F.col("_score") < F.col("_cut"), "block").otherwise("allow").alias("verdict"))
 
 
 def op8_letter_ratio(spark, sf_dir: str) -> DataFrame:
