@@ -1,4 +1,7 @@
+import bisect
+import collections
 import random
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
@@ -86,7 +89,7 @@ def test_plans_are_tight_and_whole():
     for n in (1, 7, 300, 20_000):
         lengths = np.minimum(4096, r.lognormal(6.5, 1.1, n).astype(int) + 1)
         hist = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
-        plan = packing.Plan(hist)
+        plan = packing.best_plan(hist)
         key, number, per, first, offset = plan.arrays()
         rows = []
         for length, count in hist.items():
@@ -96,3 +99,42 @@ def test_plans_are_tight_and_whole():
             rows += [dict(sequence_id=s, offset=o, length=length) for s, o in zip((first[at] + k // per[at]).tolist(), (offset[at] + k % per[at] * length).tolist(), strict=True)]
         used = check(rows, 4096)
         assert used == plan.sequences <= -(-int(lengths.sum()) // 4096) * 1.03 + 3
+
+
+def best_fit(lengths, capacity):
+    """Sequences that best fit takes, longest first, piece by piece."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - n)
+    return len(rooms)
+
+
+def test_never_more_sequences_than_best_fit():
+    r, fewer = random.Random(11), 0
+    draws = [lambda: r.randint(1, 4096), lambda: max(1, min(4096, int(r.lognormvariate(6, 1)))), lambda: r.randint(600, 2099)]
+    for k in range(45):
+        lengths = [draws[k % 3]() for _ in range(r.randint(20, 2000))]
+        used, plain = packing.best_plan(collections.Counter(lengths)).sequences, best_fit(lengths, 4096)
+        assert -(-sum(lengths) // 4096) <= used <= plain
+        fewer += used < plain
+    assert fewer > 5
+
+
+def test_op4_rebuilds_every_document(spark, tmp_path):
+    """Every piece's start, length and ids against the library, every sequence without gap or overlap."""
+    r = random.Random(2)
+    texts = [None, "", " ", *(" ".join("".join(r.choice("abdeino") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 900))) for _ in range(40)), "long word list " * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = packing.op4_linear_grouping(spark, str(tmp_path)).collect()
+    own = collections.defaultdict(dict)
+    for x in rows:
+        own[x["doc_id"]][x["piece"]] = x
+    assert set(own) == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        ids = [*BPE.library.encode(text or "", add_special_tokens=False).ids, 1]
+        assert sorted(own[i]) == list(range(-(-len(ids) // 4096)))
+        for k, x in own[i].items():
+            part = ids[4096 * k : 4096 * (k + 1)]
+            assert (x["start"], x["length"], x["ids_crc32"]) == (4096 * k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert check(rows, 4096) <= best_fit([x["length"] for x in rows], 4096)

@@ -5,7 +5,8 @@ input; its runs stand for any number of sequences. Large lengths are sorted and
 cardinality, each rounded up to its longest. Configurations of these few sizes are optimised by column generation
 (a linear programme with a knapsack for pricing), rounded down, and what is left is placed first-fit decreasing.
 The actual documents of a group then take its places, longest first, and small lengths go best-fit into the room
-that is left, longest first. Documents are numbered within their length, and a look-up of (length, number) in the
+that is left, longest first. Few or narrow lengths can round up badly, so a second plan places all lengths best-fit,
+longest first, from the same histogram, and the one of fewer sequences is taken. Documents are numbered within their length, and a look-up of (length, number) in the
 plan gives sequence and offset.
 
 Defined results: a null text packs as an empty one. Every document has its end token, so each has a piece. Only
@@ -35,7 +36,7 @@ CAPACITY = 4096
 LARGE = 8
 #: Groups of equal cardinality.
 GROUPS = 48
-#: Most rounds of column generation.
+#: Most rounds of column generation; with fewer than it would take, a plan may need more sequences, and no document is lost.
 ROUNDS = 400
 
 
@@ -90,13 +91,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 
 
 class Plan:
-    """Runs of sequences for a histogram of lengths; entries are (length, first number, count, in a sequence, first sequence, offset)."""
+    """Runs of sequences for a histogram of lengths; entries are (length, first number, count, in a sequence, first sequence, offset).
+
+    Without ``groups`` every length goes best-fit, longest first.
+    """
 
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS):
         self.capacity, self.entries, self.sequences = capacity, [], 0
         self.room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by room left: (first sequence, count)
         self.rooms: list[int] = []
-        large = sorted((n for n in histogram if n >= max(2, capacity // LARGE)), reverse=True)
+        large = sorted((n for n in histogram if groups and n >= max(2, capacity // LARGE)), reverse=True)
         self._large([(n, histogram[n]) for n in large], groups)
         for n in sorted(set(histogram).difference(large), reverse=True):
             self._small(n, histogram[n])
@@ -204,6 +208,11 @@ class Plan:
         return (e[:, 0] << 44) | e[:, 1], e[:, 1], e[:, 3], e[:, 4], e[:, 5]
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
+    """The plan by groups, or that by best fit alone where it has fewer sequences."""
+    return min((Plan(histogram, capacity, g) for g in (groups, 0)), key=lambda p: p.sequences)
+
+
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's tokens and end token in pieces: id, piece, start, length, ids_crc32."""
     share_code(df.sparkSession)
@@ -232,7 +241,7 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, gr
     spark = df.sparkSession
     kept = Scratch(spark, "packing").keep(pieces(df, path, capacity, end_id, id_col, text_col), "pieces")
     # at most ``capacity`` rows
-    plan = Plan({r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity, groups)
+    plan = best_plan({r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity, groups)
     # entries: at most a few for each pair of a length and a group, whatever the number of documents
     key, number, per, first, offset = plan.arrays()
 
