@@ -1,6 +1,7 @@
 """Source divergence audit: how each source of a language uses words, against its other sources and the language.
 
-Relational throughout. Matches of a term pattern are exploded and counted by (lang, source, term); a language keeps the
+Relational throughout. Matches of a term pattern, which are what is left when texts are split at all that matches
+nothing of it, are exploded and counted by (lang, source, term); a language keeps the
 terms that enough of its documents have; its groups are crossed with these, so that zeros are counted too; tables join
 themselves by (lang, term), are summed, and ranked by windows. Counts are combined where rows are read, so that a hot
 source or term costs no task of its own. Groups and kept terms meet by language and a part of the vocabulary, since a
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from threadloom.llm.line_dedup import ascii_lower
 from threadloom.runtime import Scratch
 
-#: Fixed value: ASCII letters and all that isn't ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between terms, which are of ASCII letters and all that isn't ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a language that a kept term is in.
 LEAST_DOCS = 10
 #: Ranks of terms that are told.
@@ -29,9 +30,10 @@ TOP = 10
 
 def count_terms(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``lang``, ``source``, ``term``, ``n`` occurrences and ``docs``, the rows that have it."""
-    told = df.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"), F.regexp_extract_all(ascii_lower(F.coalesce(text_col, F.lit(""))), F.lit(TERM), F.lit(0)).alias("terms"))
+    told = df.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"), F.split(ascii_lower(F.coalesce(text_col, F.lit(""))), BETWEEN).alias("terms"))
     one = lambda n, docs: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
-    each = told.select("lang", "source", F.inline(F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)))))
+    # the outer form, or the optimiser makes the arrays once more to filter by their size
+    each = told.select("lang", "source", F.inline_outer(F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1))))).filter("term <> ''")
     return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
