@@ -52,7 +52,8 @@ def _text_id(text: Column) -> list[Column]:
 def dropped_lines(df: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, ``_sum`` and ``_bytes`` of each text that loses lines, with ``dropped``, their positions in order."""
     scratch, text = Scratch(df.sparkSession, "line-dedup"), F.coalesce(F.col(text_col), F.lit(""))
-    each = df.select(F.col(id_col).alias("_id"), *_text_id(text), F.posexplode(lines(F.col(text_col))).alias("_pos", "_line"))
+    # the outer form, or the optimiser splits once more to filter by the array's size
+    each = df.select(F.col(id_col).alias("_id"), *_text_id(text), F.posexplode_outer(lines(F.col(text_col))).alias("_pos", "_line"))
     trimmed = each.select("_id", "_sum", "_bytes", "_pos", F.trim("_line", F.lit(_SPACE)).alias("_line")).filter(F.char_length("_line") >= least_length)
     hashed = trimmed.select("_id", "_sum", "_bytes", "_pos", F.substring(F.unhex(F.sha2(ascii_lower(F.col("_line")).cast("binary"), 256)), 1, 16).alias("_hash"))
     places = scratch.keep(hashed, "places")
