@@ -31,10 +31,9 @@ TOP = 10
 def count_terms(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``lang``, ``source``, ``term``, ``n`` occurrences and ``docs``, the rows that have it."""
     told = df.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"), F.split(ascii_lower(F.coalesce(text_col, F.lit(""))), BETWEEN).alias("terms"))
-    one = lambda n, docs: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
-    # the outer form, or the optimiser makes the arrays once more to filter by their size
-    each = told.select("lang", "source", F.inline_outer(F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1))))).filter("term <> ''")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # all terms and then each once, in one array; the outer form, or the optimiser makes it once more to filter by its size
+    each = told.select("lang", "source", F.size("terms").alias("all"), F.posexplode_outer(F.concat("terms", F.array_distinct("terms"))).alias("at", "term")).filter("term <> ''")
+    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") < F.col("all")).alias("n"), F.count_if(F.col("at") >= F.col("all")).alias("docs"))
 
 
 def billionths(n: str, total: str, kinds: str) -> Column:
