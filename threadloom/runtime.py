@@ -26,6 +26,13 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Arbitrary keyed state needs this state store; it holds keys on disk, so state may be larger than memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # a batch uses the store too, but only the manager of streams starts what its tasks report to
+    _ = spark.streams.active
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where it is unset, one under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)

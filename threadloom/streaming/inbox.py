@@ -44,12 +44,6 @@ def drain(spark: SparkSession, path: str, store: Store, parse: Callable[[DataFra
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def latest_state(stream: DataFrame) -> DataFrame:
-    """The newest mtime and size of each key of a stream of records: a streaming aggregate, for output mode ``update``."""
-    key = T.gen_id("hook", F.concat_ws(":", "source", "path"))
-    return stream.groupBy(key.alias("key")).agg(F.max(F.struct("mtime", "size")).alias("s")).select("key", "s.mtime", "s.size")
-
-
 def frontier(pages: DataFrame, since, skew: str = "5 seconds") -> DataFrame:
     """Of listing pages (page, id, update_time), the rows up to and with the first page that reaches back to ``since``, each id once."""
     cut = F.lit(since).cast("timestamp_ntz") - F.expr(f"interval {skew}")
