@@ -304,3 +304,19 @@ def test_sql_gate_refuses(fruit):
             gate.check(fruit, query)
     for query in ("WITH x AS (SELECT id FROM messages) SELECT count(*) FROM x", "SELECT * FROM (VALUES (1)) v(a) UNION SELECT 2", "SELECT k FROM range(3) t(k)"):
         gate.check(fruit, query)
+
+
+def test_sql_gate_allows_functions_by_list(fruit):
+    other = Archive(fruit.spark.newSession())
+    other.spark.udf.register("upper_two", lambda x: x)
+    other.spark.udf.register("soundex", lambda x: x)  # hides one of Spark's own
+    for query in ("SELECT upper_two(id) FROM messages", "SELECT soundex(id) FROM messages", "SELECT current_user()", "SELECT version()", "SELECT input_file_name() FROM messages", "SELECT assert_true(false)", "SELECT aes_encrypt('a', 'b')", "SELECT no_such(id) FROM messages"):
+        with pytest.raises(gate.ReadOnly):
+            gate.check(other, query)
+    gate.check(fruit, "SELECT upper(id), count(*), max_by(role, id), transform(array(1), x -> x + 1), get_json_object(metadata, '$.a'), sha2(id, 256), row_number() OVER (ORDER BY id), coalesce(id, uuid()) FROM messages GROUP BY ALL")
+
+
+def test_qualify_beside_comparisons_and_windows(fruit):
+    base = "SELECT id, parent_id IS NOT DISTINCT FROM role AS d FROM messages QUALIFY row_number() OVER"
+    for query in (base + " (PARTITION BY conversation_id ORDER BY id DESC) = 1", base + " w = 1 WINDOW w AS (PARTITION BY conversation_id ORDER BY id DESC) ORDER BY id", base.replace(" QUALIFY", " WINDOW w AS (PARTITION BY conversation_id ORDER BY id DESC) QUALIFY") + " w = 1"):
+        assert [tuple(r) for r in gate.run(fruit, query).collect()] == [("m5", False)], query

@@ -75,32 +75,47 @@ def reconcile(pending: DataFrame, linked_scopes: DataFrame) -> DataFrame:
     return detach.unionByName(same).unionByName(merged).unionByName(first)
 
 
+def _actions(actions: DataFrame) -> DataFrame:
+    """``actions`` with all columns: source, action, canonical, hash and content."""
+    return actions.select(*[(F.col(c) if c in actions.columns else F.lit(None)).cast("string").alias(c) for c in ("source", "action", "canonical", "hash", "content")])
+
+
 def apply(sources: DataFrame, links: DataFrame, canonicals: DataFrame, actions: DataFrame, made_from: str | None = None, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and canonicals after ``actions`` (source, action, canonical): detach, same, merge, distinct, scoped, supersedes, revise or unresolved.
 
     ``scoped`` founds a memory as ``distinct`` does, ``supersedes`` puts the source's text in place of an existing
-    memory's. ``made_from`` is the plan's token; a ledger that has changed since is left alone. Nothing is written: the
-    frames are the preview, and a caller that stores them has applied it.
+    memory's, and ``revise``, which has no source but ``hash`` and ``content``, a new text in place of that hash's.
+    ``made_from`` is the plan's token; a ledger that has changed since is left alone. Nothing is written: the frames are
+    the preview, and a caller that stores them has applied it. ``ledger.Ledger.apply`` asks ``refused`` first.
     """
     if made_from is not None and token(sources, links, canonicals, scope) != made_from:
         raise StalePlan("stale plan: the ledger has changed")
-    does = actions.filter("action <> 'unresolved'").join(sources.select(F.col("id").alias("source"), "scope", "hash", "content"), "source")
+    told = _actions(actions).filter("action <> 'unresolved'")
+    does = told.filter("source is not null").select("source", "action", "canonical").join(sources.select(F.col("id").alias("source"), "scope", "hash", "content"), "source")
     kept = links.join(does.select("source"), "source", "left_anti")
     linked = kept.unionByName(does.filter("action <> 'detach'").select("source", "canonical", F.col("hash").alias("applied_hash")))
     written = does.filter("action in ('merge', 'distinct', 'scoped', 'supersedes', 'revise')").groupBy("canonical").agg(F.max_by(F.struct("scope", "hash", "content"), "source").alias("r")).select(F.col("canonical").alias("id"), "r.*")
-    return linked, canonicals.select("id", "scope", "hash", "content").join(written.select("id"), "id", "left_anti").unionByName(written)
+    revised = told.filter("source is null and action = 'revise'").select(F.col("canonical").alias("id"), F.sha2("content", 256).alias("hash"), "content").join(canonicals.select("id", "scope"), "id").select("id", "scope", "hash", "content")
+    new = written.unionByName(revised)
+    return linked, canonicals.select("id", "scope", "hash", "content").join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
 def refused(actions: DataFrame, pending: DataFrame, canonicals: DataFrame) -> DataFrame:
-    """Actions that may not be applied, with ``reason``; a source that is named twice, or isn't pending, is among them."""
+    """Actions that may not be applied, with ``reason``; a source that is named twice, or isn't pending, is among them.
+
+    A revision names no source but a memory, its text's hash as the caller knows it, and the new text.
+    """
     known = pending.select("source", "kind", F.col("scope").alias("_scope")).dropDuplicates(["source"])
-    there = canonicals.select(F.col("id").alias("canonical"), F.col("scope").alias("_of")).dropDuplicates(["canonical"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("source"))
-    a = actions.withColumn("_n", n).join(known, "source", "left").join(there, "canonical", "left")
+    hashes = F.col("hash") if "hash" in canonicals.columns else F.lit(None).cast("string")
+    there = canonicals.select(F.col("id").alias("canonical"), F.col("scope").alias("_of"), hashes.alias("_hash")).dropDuplicates(["canonical"])
+    revises = (F.col("action") == "revise") & F.col("source").isNull()
+    a = _actions(actions).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("source", F.when(revises, F.col("canonical")), revises)))
+    a = a.join(known, "source", "left").join(there, "canonical", "left")
     # The actions there are
     action = F.col("action")
     reason = (
-        F.when(~F.coalesce(action, F.lit("")).isin("unresolved", "detach", "distinct", "scoped", "same", "merge", "supersedes"), "unknown action")
+        F.when(revises, F.when(F.col("_n") > 1, "named twice").when(F.col("content").isNull() | F.col("canonical").isNull(), "revise requires a memory and a text").when(F.col("_of").isNull(), "no such canonical").when(~F.col("hash").eqNullSafe(F.col("_hash")), "stale revision"))
+        .when(~F.coalesce(action, F.lit("")).isin("unresolved", "detach", "distinct", "scoped", "same", "merge", "supersedes"), "unknown action")
         .when(F.col("_n") > 1, "named twice").when(F.col("kind").isNull(), "not pending").when(action == "unresolved", None)
         .when((action == "detach") & (F.col("kind") != "missing"), "detach requires a missing source").when((action != "detach") & (F.col("kind") == "missing"), "missing source")
         .when(action.isin("same", "supersedes") & F.col("_of").isNull(), "no such canonical").when(action.isin("distinct", "scoped") & F.col("_of").isNotNull(), "canonical exists")

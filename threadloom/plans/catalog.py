@@ -572,6 +572,11 @@ def sql_qualify_subquery(a) -> DataFrame:
     return gate.run(a, "SELECT y, count(*) AS n FROM (SELECT CAST(EXTRACT(YEAR FROM created_at) AS INT) AS y, id FROM messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY id DESC) = 1) GROUP BY y")
 
 
+@_query("""SELECT id, follows FROM (SELECT id, parent_id IS NOT DISTINCT FROM lag(id) OVER w AS follows, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id)) WHERE n <= 3""")
+def sql_qualify_distinct_from(a) -> DataFrame:
+    return gate.run(a, "SELECT id, parent_id IS NOT DISTINCT FROM lag(id) OVER w AS follows FROM messages QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id)")
+
+
 @_query("SELECT role, count(*) AS n FROM m WHERE conversation_id IN (SELECT id FROM c WHERE source <> 'claude') AND EXISTS (SELECT 1 FROM c WHERE c.id = m.conversation_id) GROUP BY role HAVING count(*) > 1")
 def sql_subqueries(a) -> DataFrame:
     return gate.run(a, "SELECT role, count(*) AS n FROM messages m WHERE conversation_id IN (SELECT id FROM conversations WHERE source <> 'claude') AND EXISTS (SELECT 1 FROM conversations c WHERE c.id = m.conversation_id) GROUP BY role HAVING count(*) > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import capture, changes, control, guard, memory, records, replicate
+from threadloom.operators import capture, changes, control, guard, ledger, memory, records, replicate
 from threadloom.plans.catalog import _REV, _query, _revisions
 from threadloom.runtime import Scratch, table
 from threadloom.store import Bodies
@@ -274,6 +274,31 @@ def memory_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.refused(actions, pending, canonicals).select("source", "action", "reason")
 
 
+_LOG = """WITH l AS (SELECT event_id AS version, ts AS "at", 'm' || user_id AS id, event_type = 'error' AS gone, 'text ' || CAST(floor(value) AS BIGINT) % 6 AS content FROM events)
+"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event a revision of its user's memory; an error forgets it."""
+    e = table(spark, sf_dir, "events").filter("event_id is not null")
+    gone, content = F.col("event_type") == "error", F.concat(F.lit("text "), (F.floor("value") % 6).cast("string"))
+    given = {"content": F.when(~gone, content), "hash": F.when(~gone, F.sha2(content, 256)), "scope": F.when(~gone, F.lit("s"))}
+    fields = [f.strip().split(" ") for f in ledger.LOG.split(",")][5:]
+    return e.select(F.col("event_id").alias("version"), F.col("ts").cast("timestamp_ntz").alias("at"), F.lit("canonicals").alias("kind"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("id"), gone.alias("gone"), *[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in fields])
+
+
+@_query(_LOG + """, g AS (SELECT id, max(version) AS v FROM l WHERE gone GROUP BY id), f AS (SELECT l.id, content, min(version) AS version, arg_min("at", version) AS "at" FROM l LEFT JOIN g USING (id) WHERE NOT gone AND (g.v IS NULL OR version > g.v) GROUP BY l.id, content)
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY version) AS revision, sha256(content) AS hash, content, "at", version FROM f""", archive=False)
+def memory_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.history(_log(spark, sf_dir)).drop("kind")
+
+
+@_query(_LOG + """, x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS n FROM l WHERE version <= (SELECT max(event_id) // 2 FROM events)) SELECT id, sha256(content) AS hash, content FROM x WHERE n = 1 AND NOT gone""", archive=False)
+def memory_at_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 2
+    return ledger.state(_log(spark, sf_dir), half)["canonicals"].select("id", "hash", "content")
+
+
 @_query("""WITH c AS (SELECT DISTINCT '/w/' || user_id AS checkout, CASE WHEN user_id % 9 <> 0 THEN 'repo-' || (user_id % 20) END AS repository, user_id AS u FROM events), b AS (SELECT DISTINCT '/w/' || user_id AS checkout, 'repo-' || (user_id % 20 + CASE WHEN user_id % 7 = 0 THEN 40 ELSE 0 END) AS repository, 'scope' || (user_id % 20 // 2 + CASE WHEN user_id % 20 = 3 THEN user_id % 3 ELSE 0 END) AS scope FROM events WHERE user_id % 3 = 0 AND user_id % 20 <> 5),
 pr AS (SELECT repository, count(DISTINCT scope) AS n, min(scope) AS one FROM b GROUP BY 1)
 SELECT checkout, c.repository, CASE WHEN c.repository IS NULL THEN checkout WHEN b.repository = c.repository THEN b.scope WHEN n > 1 THEN NULL WHEN n = 1 THEN one WHEN b.scope IS NOT NULL THEN checkout || '@' || substr(c.repository, 6, 8) ELSE checkout END AS scope,

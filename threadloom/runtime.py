@@ -58,7 +58,8 @@ def copy_tree(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not copy {source} to {target}")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, on any file system."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -83,13 +84,13 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
-        _delete(self.spark, f"{self.path}/{name}")
+        delete(self.spark, f"{self.path}/{name}")
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return

@@ -18,8 +18,12 @@ PLANS = frozenset(
 )
 #: Expressions that hold a plan of their own.
 SUBQUERIES = frozenset({"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"})
-#: Functions that reach beyond the rows of a query.
-CLOSED = frozenset({"reflect", "java_method", "try_reflect", "input_file_name", "raise_error"})
+#: Spark's own kinds of functions that work on a query's rows; those of another kind are allowed by name only.
+FUNCTION_KINDS = frozenset(
+    f"{kind}_funcs" for kind in "agg array bitwise collection conditional conversion csv datetime generator hash json lambda map math predicate string struct url variant window xml".split()
+)
+#: Functions of Spark's other kinds that may stand in a query.
+FUNCTIONS = frozenset({"typeof", "uuid", "monotonically_increasing_id", "bitmap_bit_position", "bitmap_bucket_number", "bitmap_count", "hll_sketch_estimate", "hll_union"})
 #: Table functions that make rows from their arguments.
 TABLE_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "sequence", "variant_explode"})
 
@@ -39,7 +43,9 @@ def _masked(query: str) -> tuple[str, list[str]]:
     return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"])*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", hide, query, flags=re.S), kept
 
 
-_WORDS = re.compile(r"[()]|\b(?:SELECT|FROM|QUALIFY|ORDER\s+BY|LIMIT|OFFSET|UNION|INTERSECT|EXCEPT)\b(?!\s*\()", re.I)
+# FROM after DISTINCT is part of a comparison, and WINDOW with a bracket a function
+_WORDS = re.compile(r"[()]|\bDISTINCT\s+FROM\b|\b(?:SELECT|FROM|QUALIFY|WINDOW|ORDER\s+BY|LIMIT|OFFSET|UNION|INTERSECT|EXCEPT)\b(?!\s*\()", re.I)
+_ENDS = ("WINDOW", "ORDER BY", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT")
 
 
 def _levels(text: str) -> list[tuple[str, int, int, int]]:
@@ -66,10 +72,13 @@ def _unqualified(text: str) -> str:
         source = next((w for w in words[own:at] if w[0] == "FROM" and w[1] == depth), None) if own is not None else None
         if source is None:
             raise ValueError("QUALIFY needs a select with FROM")
-        stop = next((w[2] for w in words[at + 1 :] if w[1] < depth or (w[1] == depth and w[0] in ("ORDER BY", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT")) or (w[0] == ")" and w[1] == depth - 1)), len(text))
+        ends = [w for w in words[at + 1 :] if w[1] < depth or (w[1] == depth and w[0] in _ENDS)]
+        stop = rest = ends[0][2] if ends else len(text)
+        if ends and ends[0][0] == "WINDOW" and ends[0][1] == depth:  # names that the condition uses: they go in with it
+            rest = ends[1][2] if len(ends) > 1 else len(text)
         begin = words[own][3]
-        inner = f"SELECT{text[begin : source[2]]}, ({text[end:stop].strip()}) AS _qualifies {text[source[2] : start]}"
-        text = f"{text[: words[own][2]]}SELECT * EXCEPT (_qualifies) FROM ({inner}) WHERE _qualifies {text[stop:]}"
+        inner = f"SELECT{text[begin : source[2]]}, ({text[end:stop].strip()}) AS _qualifies {text[source[2] : start]}{text[stop:rest]}"
+        text = f"{text[: words[own][2]]}SELECT * EXCEPT (_qualifies) FROM ({inner}) WHERE _qualifies {text[rest:]}"
 
 
 def shim(query: str) -> str:
@@ -88,6 +97,17 @@ def _each(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
+def _may_call(archive: Archive, name: str) -> bool:
+    """Whether ``name`` is a function of Spark's own, of an allowed kind, and no other function was registered under it."""
+    jvm = archive.spark._jvm
+    key = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    own = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().lookupFunction(key)
+    found = archive.spark._jsparkSession.sessionState().functionRegistry().lookupFunction(key)
+    if own.isEmpty() or found.isEmpty() or own.get().getClassName() != found.get().getClassName():
+        return False
+    return own.get().getGroup() in FUNCTION_KINDS or name in FUNCTIONS
+
+
 def check(archive: Archive, query: str) -> None:
     """Raises ``ReadOnly`` unless Spark's parser makes a plan of known kinds, over the archive's tables and harmless functions."""
     plan = archive.spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
@@ -113,7 +133,7 @@ def check(archive: Archive, query: str) -> None:
             e = expressions.pop()
             if e.getClass().getSimpleName() == "UnresolvedFunction":
                 name = [str(x).lower() for x in _each(e.nameParts())]
-                if len(name) != 1 or name[0] in CLOSED:
+                if len(name) != 1 or not _may_call(archive, name[0]):
                     raise ReadOnly(f"the function {'.'.join(name)} isn't allowed")
             if e.getClass().getSimpleName() in SUBQUERIES:
                 todo.append(e.plan())
