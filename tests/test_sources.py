@@ -132,3 +132,19 @@ def test_reading_files_and_draining_an_inbox(spark, tmp_path):
     assert store.generation() == 1 and store.archive().messages.count() == 1
     state = spark.createDataFrame([(r["key"], r["mtime"], r["size"]) for r in inbox.coalesced(spark.read.schema(inbox.RECORD).json(str(box))).collect()], "key string, mtime long, size long")
     assert inbox.pending(spark.read.schema(inbox.RECORD).json(str(box)), state).count() == 0
+
+
+def test_a_line_is_read_as_a_shell_reads_it():
+    of = providers.edit_logs.of_command
+    for nothing in ("echo 'a > b.py'", 'echo "x >y.sh"', "ls 2>err.log", "ls &> all.log", "x 2>&1 | tee -a log.txt", "ls # > c.py", "a > foo", "cat < in.py", "echo \\> d.py"):
+        assert of(nothing) == [], nothing
+    for line, path in (("echo it\\'s >> b\\ c.js", "b c.js"), ("sort < in.txt > out.csv; rm z", "out.csv"), ("echo 2 > two.txt", "two.txt"), ("(cd a && make) >| made.log", "made.log"), ("cat <<< word > h.txt", "h.txt")):
+        assert of(line, "/r") == [(f"/r/{path}", "shell", line, None)], line
+    assert of("cat <<-EOF | tee -a f.md\n\ta\n\tb\n\tEOF\n") == [("f.md", "write", "a\nb", None)]
+    assert of("cat <<\"E O F\" > f.md\n$x\nE O F") == [("f.md", "write", "$x", None)]
+    more = "cat <<EOF > a.py\nx\nEOF\npython a.py"  # what follows may change the file
+    assert of(more) == [("a.py", "shell", more, None)]
+    assert [c.words for c in providers.edit_logs.Shell("a 'b c'|d&&e").commands()] == [[("a", False), ("b c", True)], [("d", False)], [("e", False)]]
+    broken = providers.edit_logs.Shell("a 'b")
+    broken.commands()
+    assert broken.broken

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 import pandas as pd
@@ -13,15 +14,21 @@ from threadloom.archive import Archive
 from threadloom.functions import text as T
 from threadloom.runtime import share_code
 
-#: What a year, month or day looks like; a time may follow a day.
-_SHAPES = ("dddd", "dddd-dd", "dddd-dd-dd")
+#: What may be given in place of an id, a year, a month or a day; a time may follow a day.
+_DAY_FORMATS = ("%Y", "%Y-%m", "%Y-%m-%d")
 
 
 def is_moment(text: str) -> bool:
     """Whether ``text`` is a time or its beginning, and no part of an id."""
-    day, rest = text[:10], text[10:]
-    shape = "".join("d" if c.isdigit() else c for c in day)
-    return shape in _SHAPES and (not rest or (shape == _SHAPES[-1] and rest[0] in " T"))
+    day, time = text[:10], text[10:]
+    for form in _DAY_FORMATS:
+        try:
+            whole = datetime.strptime(day, form).strftime(form) == day
+        except ValueError:
+            continue
+        if whole:
+            return not time or (form == _DAY_FORMATS[-1] and time[0] in " T")
+    return False
 
 
 def edits(archive: Archive, path: str | None = None) -> DataFrame:
