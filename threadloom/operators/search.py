@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from threadloom.archive import Archive
 from threadloom.functions import text as T
+from threadloom.operators.index import K1, B, Index, words_of
 
-# Okapi BM25's parameters, the fusion's constant and its list length.
-K1, B, RRF, TOP = 1.2, 0.75, 60, 50
+# The fusion's constant and its list length.
+RRF, TOP = 60, 50
 
 
 def _count(words: str, word: str) -> Column:
@@ -24,7 +25,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, *text_cols: str, only: DataFr
     Statistics cover all of ``docs``; ``only`` keeps the rows to be scored. A row's words are counted where it is read:
     the only shuffle is that of one row of statistics a task.
     """
-    words = sorted({w for w in "".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()})
+    words = words_of(query)
     body = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols])
     counted = docs.withColumn("_words", T.tokens(body)).select(id_col, F.size("_words").alias("_n"), *[_count("_words", w).alias(f"_f{i}") for i, w in enumerate(words)])
     if not words:
@@ -46,10 +47,24 @@ def best_per_conversation(hits: DataFrame, score: str, limit: int) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n").orderBy(F.col(score).desc(), "message_id").limit(limit)
 
 
-def search(archive: Archive, query: str, limit: int = 20, context: int = 300, **filters) -> DataFrame:
-    """Text search: scaffolding and superseded messages take part."""
-    scores = bm25(archive.messages, query, "id", "content", "thinking").withColumn("score", F.round("score", 6))
-    hits = archive.filtered(**filters).join(scores, "id").withColumnRenamed("id", "message_id")
+def _indexed(archive: Archive, index: Index, query: str, limit: int, filters: dict) -> DataFrame:
+    """Hits that hold the best ``limit`` conversations: top lists of the index, each four times the one before, until they do."""
+    base, k = archive.filtered(**filters), 4 * limit
+    while True:
+        scores = index.top(query, k).persist()
+        hits = base.join(scores, "id").withColumnRenamed("id", "message_id")
+        if scores.count() < k or hits.select("conversation_id").distinct().limit(limit).count() == limit:
+            return hits
+        k *= 4
+
+
+def search(archive: Archive, query: str, limit: int = 20, context: int = 300, index: Index | None = None, **filters) -> DataFrame:
+    """Text search: scaffolding and superseded messages take part. With ``index`` the archive's texts aren't read for it."""
+    if index is None:
+        scores = bm25(archive.messages, query, "id", "content", "thinking").withColumn("score", F.round("score", 6))
+        hits = archive.filtered(**filters).join(scores, "id").withColumnRenamed("id", "message_id")
+    else:
+        hits = _indexed(archive, index, query, limit, filters)
     out = best_per_conversation(hits, "score", limit)
     return out.select("message_id", "role", T.clip(F.col("content"), context).alias("content"), F.when(F.coalesce(F.col("thinking"), F.lit("")) != "", T.clip(F.col("thinking"), context)).alias("thinking"), "created_at", "score", "title", "source", "conversation_id", "cwd")
 
@@ -60,10 +75,13 @@ def ranked(hits: DataFrame, by: str, limit: int = TOP) -> DataFrame:
     return top.select("id", F.row_number().over(Window.orderBy(F.col(by).desc(), "id")).alias("r"))
 
 
-def hybrid(archive: Archive, query: str, vector: list[float], limit: int = 10, **filters) -> DataFrame:
-    """Text and vector lists, each of the best 50 of the filtered messages, fused by reciprocal rank."""
+def hybrid(archive: Archive, query: str, vector: list[float], limit: int = 10, index: Index | None = None, **filters) -> DataFrame:
+    """Text and vector lists, each of the best 50 of the filtered messages, fused by reciprocal rank; texts by ``index`` where there is one."""
     base = archive.filtered(**filters).filter(T.clean(F.col("content")))
-    texts = bm25(archive.messages, query, "id", "content", "thinking", only=base).withColumn("score", F.round("score", 6))
+    if index is None:
+        texts = bm25(archive.messages, query, "id", "content", "thinking", only=base).withColumn("score", F.round("score", 6))
+    else:
+        texts = index.scores(query).join(base.select("id"), "id", "left_semi")
     wanted = F.array(*[F.lit(float(x)) for x in vector])
     vectors = archive.messages.filter(F.col("embedding").isNotNull()).join(base.select("id"), "id", "left_semi").select("id", F.round(T.cosine(F.col("embedding"), wanted), 6).alias("score")).filter("score is not null")
     fused = ranked(texts, "score").unionByName(ranked(vectors, "score")).groupBy("id").agg(F.round(F.sum(1.0 / (RRF + F.col("r"))), 9).alias("score"))
@@ -71,41 +89,6 @@ def hybrid(archive: Archive, query: str, vector: list[float], limit: int = 10, *
     return best_per_conversation(hits, "score", limit).select("score", "message_id", "role", "content", "created_at", "title", "source", "conversation_id", "cwd")
 
 
-class Index:
-    """A stored BM25 index: postings by term, documents, statistics. It is rebuilt whole when the archive's generation moves on."""
-
-    def __init__(self, archive: Archive, path: str):
-        self.archive, self.path, self.spark = archive, path, archive.spark
-
-    def build(self, generation: int) -> None:
-        """Postings are sorted by term within their files, so that a query reads the row groups of its words only."""
-        words = self.archive.messages.select("id", T.tokens(F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("thinking", F.lit("")))).alias("w"))
-        words.select("id", F.size("w").alias("n")).write.mode("overwrite").parquet(f"{self.path}/docs")
-        postings = words.select("id", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("term", "id", "n").agg(F.count(F.lit(1)).alias("f"))
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/postings")
-        self.spark.read.parquet(f"{self.path}/docs").agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("len"), F.lit(generation).cast("long").alias("generation")).write.mode("overwrite").parquet(f"{self.path}/stats")
-
-    def stale(self, generation: int) -> bool:
-        """Whether the archive has moved on since the index was built."""
-        try:
-            rows = self.spark.read.parquet(f"{self.path}/stats").collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return True
-        return not rows or rows[0]["generation"] < generation
-
-    def scores(self, query: str) -> DataFrame:
-        """``id`` and ``score``: the words' postings, and one row of statistics."""
-        words = sorted({w for w in "".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()})
-        own = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("term").isin(words))
-        df = own.groupBy("term").agg(F.count(F.lit(1)).alias("d"))  # a row a query word
-        s = self.spark.read.parquet(f"{self.path}/stats").select(F.struct("n", "len").alias("s"))
-        told = own.join(F.broadcast(df), "term").withColumn("s", s.scalar())
-        idf = F.log((F.col("s.n") - F.col("d") + 0.5) / (F.col("d") + 0.5) + 1)
-        return told.groupBy("id").agg(F.round(F.sum(idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.col("s.len")))), 6).alias("score"))
-
-
 def embed_pending(archive: Archive, embed, batch: int = 32) -> DataFrame:
     """``id`` and ``embedding`` of the messages that have text and no vector, by ``embed(list of texts) -> list of vectors``.
 
