@@ -48,9 +48,26 @@ def has_text(*columns: Column) -> Column:
     return out
 
 
+def normal_path(path: Column) -> Column:
+    """``path`` without empty and ``.`` parts, and with each ``..`` taken from the part before it; all in the JVM.
+
+    A path from the root stays below it; of another one, ``..`` that nothing is before stays. What is left of nothing
+    is ``.``. Parts are a stack, folded from left to right; most paths have nothing to fold and are left as they are.
+    """
+    rooted = F.startswith(path, F.lit("/"))
+    top = lambda stack: F.get(stack, F.size(stack) - 1)
+    up = lambda stack: F.when((F.size(stack) > 0) & (F.coalesce(top(stack), F.lit("")) != ".."), F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(rooted, stack).otherwise(F.concat(stack, F.array(F.lit(".."))))
+    push = lambda stack, part: F.when(part.isin("", "."), stack).when(part == "..", up(stack)).otherwise(F.concat(stack, F.array(part)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), push)
+    whole = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
+    plain = path.rlike(r"^/?[^/.][^/]*(/[^/.][^/]*)*$")
+    return F.when(plain, path).otherwise(F.when(whole == "", ".").otherwise(whole))
+
+
 def under(path: Column, scope: str) -> Column:
-    """``path`` is ``scope`` or lies below it."""
-    return (path == scope) | path.startswith(scope.rstrip("/") + "/")
+    """``path`` is ``scope`` or lies below it, however both are written."""
+    own, root = normal_path(path), normal_path(F.lit(scope))
+    return (own == root) | own.startswith(F.concat(F.regexp_replace(root, "/$", ""), F.lit("/")))
 
 
 def tokens(text: Column) -> Column:

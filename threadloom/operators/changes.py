@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.archive import Archive
 from threadloom.functions import text as T
-from threadloom.runtime import share_code
+from threadloom.operators import folds
 
 #: What may be given in place of an id, a year, a month or a day; a time may follow a day.
 _DAY_FORMATS = ("%Y", "%Y-%m", "%Y-%m-%d")
@@ -100,20 +100,43 @@ def fold(edits_: list[dict]) -> tuple[list[str], list[int]] | tuple[None, None]:
     return (None, None) if last.lines is None else (list(last.lines), list(last.by))
 
 
+@dataclass(frozen=True)
+class Known:
+    """A file's version, how many edits it has seen, and what its lines' last edits were."""
+
+    path: str | None
+    version: Version = Version()
+    seen: int = 0
+    edits: dict[int, tuple] | None = None
+
+    def after(self, part: pd.DataFrame) -> Known:
+        version, seen, edits_ = self.version, self.seen, dict(self.edits or {})
+        for kind, content, old, *owner in zip(*[part[c] for c in ("type", "content", "old", "conv", "source", "ts", "prompt")], strict=True):
+            version = version.after(seen, {"type": kind, "content": content or "", "old": old})
+            edits_[seen] = tuple(owner)
+            seen += 1
+        return Known(self.path, version, seen, {n: edits_[n] for n in set(version.by)})
+
+    def lines(self) -> pd.DataFrame | None:
+        if not self.version.lines:
+            return None
+        rows = [(self.path, i + 1, *self.edits[n], t) for i, (t, n) in enumerate(zip(self.version.lines, self.version.by, strict=True))]
+        return pd.DataFrame(rows, columns=["file_path", "line", "conv", "source", "ts", "prompt", "text"])
+
+
 def blame(found: DataFrame) -> DataFrame:
     """Each known line of each file with the conversation, source, time and prompt of its last edit.
 
-    Files are folded in parallel; a file's edits are one ordered fold by nature, as each needs the text before it.
+    A write says the whole file, so what is before a file's last one is left out; the rest is one ordered pass, as each
+    edit needs the text before it. Of a prompt the first 80 letters of its first line go along, not the prompt.
     """
-    share_code(found.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ts", "id"], na_position="first").to_dict("records")
-        lines, by = fold([{**r, "content": r["content"] or "", "old": r["old"]} for r in rows])
-        out = [(rows[0]["file_path"], i + 1, rows[n]["conv"], rows[n]["source"], rows[n]["ts"], (rows[n]["prompt"] or "").split("\n")[0][:80], t) for i, (t, n) in enumerate(zip(lines or [], by or [], strict=False))]
-        return pd.DataFrame(out, columns=["file_path", "line", "conv", "source", "ts", "prompt", "text"])
-
-    return found.groupBy("file_path").applyInPandas(run, "file_path string, line long, conv string, source string, ts timestamp_ntz, prompt string, text string")
+    moment = F.struct("ts", "id")
+    last = F.max(F.when(F.col("type") == "write", moment)).over(Window.partitionBy("file_path"))
+    short = F.substring(F.substring_index(F.coalesce("prompt", F.lit("")), "\n", 1), 1, 80)
+    slim = found.select("file_path", "id", "ts", "type", "content", "old", "conv", "source", short.alias("prompt")).withColumn("_last", last)
+    rest = slim.filter(F.col("_last").isNull() | (moment >= F.col("_last"))).drop("_last")
+    out = "file_path string, line long, conv string, source string, ts timestamp_ntz, prompt string, text string"
+    return folds.ordered(rest, ["file_path"], [F.col("ts").asc_nulls_first(), "id"], out, lambda key: Known(key[0]), lambda known, part: (known.after(part), None), Known.lines)
 
 
 def at(found: DataFrame, point: str) -> DataFrame:

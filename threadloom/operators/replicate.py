@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as T
+from threadloom.operators import folds
+from threadloom.runtime import Scratch
+
 _ROW = ["workspace", "kind", "row_id"]
 
 
@@ -90,20 +95,88 @@ def page(rows: DataFrame, after: int, limit: int, size: int) -> DataFrame:
 def batches(rows: DataFrame, by: list[str], limit: int = 500, size: int = 8 << 20) -> DataFrame:
     """``rows`` with ``batch``: of at most ``limit`` rows and ``size`` bytes within each key, a larger row alone.
 
-    Each batch begins where the one before is full, so a key's rows are one ordered pass.
+    Each batch begins where the one before is full. Within what a task has read, sums tell where the next one begins,
+    so a batch is one look-up and not a row at a time.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        out, n, total, batch = [], 0, 0, 0
-        for b in pdf["bytes"]:
-            if n and (n >= limit or total + b > size):
+    def step(state: tuple[int, int, int], part: pd.DataFrame):
+        batch, n, total = state
+        sizes = part["bytes"].to_numpy(np.int64)
+        sums, out, at = np.concatenate([[0], np.cumsum(sizes)]), np.empty(len(sizes), np.int64), 0
+        while at < len(sizes):
+            # how many more this batch takes: by rows, by bytes, and one at least if it is empty
+            fits = int(np.searchsorted(sums, sums[at] + size - total, side="right")) - 1 - at
+            take = min(limit - n, max(fits, 0)) if n else min(limit, max(fits, 1))
+            take = min(take, len(sizes) - at)
+            out[at : at + take] = batch
+            n, total, at = n + take, total + int(sums[at + take] - sums[at]), at + take
+            if at < len(sizes):
                 batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + b
-            out.append(batch)
-        return pdf.assign(batch=out)
+        return (batch, n, total), part.assign(batch=out)
+
+    return folds.ordered(rows, by, ["id"], rows.schema.simpleString()[7:-1] + ",batch:long", lambda key: (0, 0, 0), step)
+
+
+def admitted(objects: DataFrame, allowed: int) -> DataFrame:
+    """Which objects (user, epoch, object, bytes, cursor) a user's store takes: in order of cursor, each that still fits into ``allowed``.
+
+    What doesn't fit is refused, and a later, smaller one may still be taken, so no running sum tells. An object that is
+    sent again is the same one: the first sending counts, and each epoch has a store of its own, whose objects count
+    towards the user's sum. ``used`` is the user's sum after it.
+    """
+    first = objects.groupBy("user", "epoch", "object").agg(F.min(F.struct("cursor", F.col("bytes").cast("long").alias("bytes"))).alias("f")).select("user", "epoch", "object", F.col("f.cursor").alias("cursor"), F.col("f.bytes").alias("bytes"))
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema.simpleString()[7:-1] + ",batch:long")
+    def step(used: int, part: pd.DataFrame):
+        taken, sums = [], []
+        for b in part["bytes"].tolist():
+            fits = used + b <= allowed
+            used += b if fits else 0
+            taken.append(fits)
+            sums.append(used)
+        return used, part.assign(admitted=taken, used=sums)
+
+    return folds.ordered(first, ["user"], ["cursor", "epoch", "object"], first.schema.simpleString()[7:-1] + ",admitted:boolean,used:long", lambda key: 0, step)
+
+
+def ancestry(revisions: DataFrame) -> DataFrame:
+    """Each leaf with all revisions that it descends from, and their distance: by pointers that double, so a chain of n takes log n joins.
+
+    A revision that isn't there ends a chain; a ring, which has no leaf, isn't met.
+    """
+    key = [*_ROW, "author"]
+    scratch = Scratch(revisions.sparkSession, "ancestry")
+    have = revisions.select(*key, "revision", "previous_revision").distinct()
+    there = have.select(*key, F.col("revision").alias("up")).distinct()
+    jump = scratch.keep(have.filter("previous_revision is not null").withColumnRenamed("previous_revision", "up").join(there, [*key, "up"], "left_semi").select(*key, "revision", "up"), "jump0")
+    met = scratch.keep(leaves(revisions).select(*key, F.col("revision").alias("leaf"), "revision", F.lit(0).cast("long").alias("distance")), "met0")
+    k, size = 0, met.count()
+    while True:
+        further = met.join(jump, [*key, "revision"]).select(*key, "leaf", F.col("up").alias("revision"), (F.col("distance") + (1 << k)).alias("distance"))
+        met = scratch.keep(met.unionByName(further).groupBy(*key, "leaf", "revision").agg(F.min("distance").alias("distance")), f"met{k + 1}")
+        if (now := met.count()) == size:
+            return met
+        size = now
+        jump = scratch.keep(jump.join(jump.select(*key, F.col("revision").alias("up"), F.col("up").alias("_far")), [*key, "up"]).select(*key, "revision", F.col("_far").alias("up")).distinct(), f"jump{k + 1}")
+        k += 1
+
+
+def replica_feed(rows: DataFrame, revisions: DataFrame) -> DataFrame:
+    """What is to be sent of each row that is there, or has revisions: ``action``, the head, and the ``lineage`` it is sent with.
+
+    ``rows``: workspace, kind, row_id, author, content_hash. A head of the row's hash is sent as it is (replica); of
+    another it is to be attested first (attest, also where there is none); a row that went is sent as a tombstone
+    after its head, unless the head is one; several heads are a conflict, one row each. ``lineage`` has the revisions
+    before the head, nearest first, and for a tombstone the head first.
+    """
+    key = [*_ROW, "author"]
+    back = ancestry(revisions).filter("distance > 0").groupBy(*key, F.col("leaf").alias("revision")).agg(F.array_sort(F.collect_list(F.struct("distance", "revision"))).alias("_l")).select(*key, "revision", F.transform("_l", lambda x: x["revision"]).alias("_lineage"))
+    own = leaves(revisions).select(*key, "revision", F.col("content_hash").alias("_hash"), F.coalesce("state", F.lit("active")).alias("_state"))
+    own = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).join(back, [*key, "revision"], "left")
+    both = rows.select(*key, "content_hash", F.lit(True).alias("_there")).join(own, key, "full_outer")
+    action = F.when(F.col("_n") > 1, "conflict").when(F.col("_there").isNull(), F.when(F.col("_state") == "deleted", "replica").otherwise("tombstone"))
+    action = action.when(F.col("content_hash").eqNullSafe(F.col("_hash")) & (F.col("_state") == "active"), "replica").otherwise("attest")
+    told = both.withColumn("action", action).withColumn("_lineage", F.coalesce("_lineage", F.array().cast("array<string>")))
+    return told.select(*key, "action", F.col("revision").alias("head"), F.when(F.col("action") == "tombstone", F.concat(F.array("revision"), "_lineage")).otherwise(F.col("_lineage")).alias("lineage"))
 
 
 def readable(replicas: DataFrame, members: DataFrame, envelopes: DataFrame) -> DataFrame:
@@ -121,13 +194,13 @@ def quota(objects: DataFrame, allowed: int) -> DataFrame:
 def team_scope(conversations: DataFrame, messages: DataFrame, edits: DataFrame, roots: DataFrame) -> DataFrame:
     """Conversations that touch a team's directories: by their own, or by any edited file. Paths meet roots by their ancestors."""
 
-    def ups(c: str):
+    def ups(c: Column):
         parts = F.split(c, "/")
-        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.coalesce(F.nullif(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("")), F.lit("/"))))
 
-    own = roots.select(F.regexp_replace("root", "/+$", "").alias("up")).distinct()
-    by_cwd = conversations.filter("cwd is not null").select("id", ups("cwd").alias("up")).join(own, "up", "left_semi").select("id")
-    edited = edits.select("message_id", ups("file_path").alias("up")).join(own, "up", "left_semi").select(F.col("message_id").alias("mid")).distinct()
+    own = roots.select(T.normal_path(F.col("root")).alias("up")).distinct()
+    by_cwd = conversations.filter("cwd is not null").select("id", ups(T.normal_path(F.col("cwd"))).alias("up")).join(own, "up", "left_semi").select("id")
+    edited = edits.select("message_id", ups(T.normal_path(F.col("file_path"))).alias("up")).join(own, "up", "left_semi").select(F.col("message_id").alias("mid")).distinct()
     by_edit = messages.join(edited, F.col("id") == F.col("mid"), "left_semi").select(F.col("conversation_id").alias("id"))
     return by_cwd.union(by_edit).distinct()
 

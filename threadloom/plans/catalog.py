@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom import sql as gate
+from threadloom.archive import Archive
 from threadloom.functions import text as T
 from threadloom.operators import changes, evaluate, explore, memory, reading, redact, replicate, search, upsert
-from threadloom.archive import Archive
 from threadloom.runtime import Scratch, table
 from threadloom.sources import driver_tables
 from threadloom.streaming import inbox
@@ -27,15 +27,17 @@ _VECTOR_SQL = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in VECTOR) + "]"
 _COS = "(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
 
 
-def _query(sql: str | None = None, archive: bool = True):
-    """Registers a query of (archive) or (spark, sf_dir); the SQL may use the archive's views c, m, tc, fe, at."""
+def _query(sql: str | None = None, archive: bool = True, recursive: bool = False):
+    """Registers a query of (archive) or (spark, sf_dir); the SQL may use the archive's views c, m, tc, fe, at, and, if recursive, begins with its own."""
 
     def wrap(fn):
         if archive:
             QUERIES[fn.__name__] = lambda spark, sf_dir: fn(driver_tables.archive(spark, sf_dir))
         else:
             QUERIES[fn.__name__] = fn
-        if sql:
+        if sql and recursive:
+            ORACLES[fn.__name__] = driver_tables.SQL.rstrip().replace("WITH", "WITH RECURSIVE", 1) + ",\n" + sql
+        elif sql:
             ORACLES[fn.__name__] = driver_tables.SQL.rstrip() + ("" if sql.lstrip().startswith(",") else "\n") + sql if archive else sql
         return fn
 
@@ -498,7 +500,11 @@ def byte_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate.page(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cursor"), F.col("n_chars").alias("bytes")), 10, 200, 60000)
 
 
-@_query()
+@_query("""o AS (SELECT conversation_id, id, CAST(octet_length(encode(content)) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY conversation_id ORDER BY id) AS k FROM m),
+w AS (SELECT conversation_id, id, bytes, k, 1 AS n, bytes AS total, 0 AS batch FROM o WHERE k = 1 UNION ALL
+  SELECT o.conversation_id, o.id, o.bytes, o.k, CASE WHEN w.n >= 3 OR w.total + o.bytes > 4000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n >= 3 OR w.total + o.bytes > 4000 THEN o.bytes ELSE w.total + o.bytes END,
+  CASE WHEN w.n >= 3 OR w.total + o.bytes > 4000 THEN w.batch + 1 ELSE w.batch END FROM w JOIN o ON o.conversation_id = w.conversation_id AND o.k = w.k + 1)
+SELECT conversation_id, id, bytes, CAST(batch AS BIGINT) AS batch FROM w""", recursive=True)
 def upload_batches(spark_archive) -> DataFrame:
     m = spark_archive.messages.select("conversation_id", "id", F.octet_length("content").cast("long").alias("bytes"))
     return replicate.batches(m, ["conversation_id"], 3, 4000)
@@ -519,6 +525,46 @@ def storage_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate.quota(o, 2000)
 
 
+@_query("""WITH RECURSIVE o AS (SELECT user_id AS u, event_id % 3 AS epoch, event_id % 37 AS object, min(event_id) AS cursor, (event_id % 37) * 7 + 1 AS bytes FROM events GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY cursor) AS k FROM o),
+w AS (SELECT u, epoch, object, cursor, bytes, k, bytes <= 900 AS admitted, CASE WHEN bytes <= 900 THEN bytes ELSE 0 END AS used FROM k WHERE k = 1 UNION ALL
+  SELECT k.u, k.epoch, k.object, k.cursor, k.bytes, k.k, w.used + k.bytes <= 900, w.used + CASE WHEN w.used + k.bytes <= 900 THEN k.bytes ELSE 0 END FROM w JOIN k ON k.u = w.u AND k.k = w.k + 1)
+SELECT u AS "user", epoch, object, cursor, CAST(bytes AS BIGINT) AS bytes, admitted, CAST(used AS BIGINT) AS used FROM w""", archive=False)
+def admitted_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), (F.col("event_id") % 3).alias("epoch"), (F.col("event_id") % 37).alias("object"), (F.col("event_id") % 37 * 7 + 1).alias("bytes"), F.col("event_id").alias("cursor"))
+    return replicate.admitted(o, 900)
+
+
+@_query(_REV.replace("WITH", "WITH RECURSIVE", 1) + """, n AS (SELECT row_id, count(*) AS n FROM lv GROUP BY row_id),
+up AS (SELECT row_id, revision AS leaf, previous_revision AS revision, 1 AS d FROM lv WHERE previous_revision IS NOT NULL UNION ALL SELECT up.row_id, up.leaf, r.previous_revision, d + 1 FROM up JOIN r ON r.row_id = up.row_id AND r.revision = up.revision WHERE r.previous_revision IS NOT NULL),
+ln AS (SELECT row_id, leaf, string_agg(revision, ',' ORDER BY d) AS line FROM up GROUP BY ALL),
+u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS row_id, user_id % 7 > 0 AS there, 'h' || user_id % 3 AS hash FROM events),
+a AS (SELECT row_id, revision AS head, coalesce(line, '') AS line, CASE WHEN n > 1 THEN 'conflict' WHEN NOT there THEN 'tombstone' WHEN hash = 'h' || CAST(revision AS BIGINT) % 3 THEN 'replica' ELSE 'attest' END AS action
+  FROM lv JOIN n USING (row_id) JOIN u USING (row_id) LEFT JOIN ln ON ln.row_id = lv.row_id AND ln.leaf = lv.revision)
+SELECT row_id, action, head, CASE WHEN action = 'tombstone' THEN trim(head || ',' || line, ',') ELSE line END AS lineage FROM a""", archive=False)
+def replica_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _revisions(spark, sf_dir).withColumn("content_hash", F.concat(F.lit("h"), (F.col("revision").cast("long") % 3).cast("string"))).withColumn("state", F.lit("active"))
+    users = table(spark, sf_dir, "events").select("user_id").distinct().filter("user_id % 7 > 0")
+    rows = users.select(F.lit("w").alias("workspace"), F.lit("row").alias("kind"), F.col("user_id").cast("string").alias("row_id"), F.lit("u").alias("author"), F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("content_hash"))
+    return replicate.replica_feed(rows, r).select("row_id", "action", "head", F.array_join("lineage", ",").alias("lineage"))
+
+
+_ODD_PATHS = """WITH p AS (SELECT event_id AS id, ['/', '', './', '//'][event_id % 4 + 1] || 'a' || ['', '/', '//', '/./'][event_id // 4 % 4 + 1] || ['', '../', 'b/../', 'c/./'][event_id // 16 % 4 + 1] || ['', 'd', '..', 'e/'][event_id // 64 % 4 + 1] AS path FROM events)"""
+
+
+@_query(_ODD_PATHS.replace("WITH", "WITH RECURSIVE", 1) + """, s AS (SELECT DISTINCT path, starts_with(path, '/') AS rooted, string_split(path, '/') AS parts FROM p),
+f AS (SELECT path, rooted, parts, 1 AS k, CAST([] AS VARCHAR[]) AS stack FROM s UNION ALL SELECT path, rooted, parts, k + 1,
+  CASE WHEN parts[k] IN ('', '.') THEN stack WHEN parts[k] <> '..' THEN list_append(stack, parts[k]) WHEN len(stack) > 0 AND stack[-1] <> '..' THEN stack[:len(stack) - 1] WHEN rooted THEN stack ELSE list_append(stack, '..') END FROM f WHERE k <= len(parts)),
+n AS (SELECT path, CASE WHEN rooted THEN '/' ELSE '' END || array_to_string(stack, '/') AS x FROM f WHERE k = len(parts) + 1)
+SELECT id, path, CASE WHEN x = '' THEN '.' ELSE x END AS normal, x = '/a' OR starts_with(x, '/a/') AS under FROM p JOIN n USING (path)""", archive=False)
+def odd_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (F.floor(e / by) % 4).cast("int"))
+    path = F.concat(pick(["/", "", "./", "//"], 1), F.lit("a"), pick(["", "/", "//", "/./"], 4), pick(["", "../", "b/../", "c/./"], 16), pick(["", "d", "..", "e/"], 64))
+    p = table(spark, sf_dir, "events").select(e.alias("id"), path.alias("path"))
+    return p.select("id", "path", T.normal_path(F.col("path")).alias("normal"), T.under(F.col("path"), "/x/../a/").alias("under"))
+
+
 @_query("SELECT DISTINCT id FROM (SELECT id FROM c WHERE cwd = '/repo/p2' OR starts_with(cwd, '/repo/p2/') UNION ALL SELECT conversation_id FROM fe JOIN m ON m.id = fe.message_id WHERE starts_with(file_path, '/repo/p2/'))")
 def team_scope(a) -> DataFrame:
     return replicate.team_scope(a.conversations, a.messages, a.file_edits, a.spark.createDataFrame([("/repo/p2/",)], "root string"))
