@@ -83,7 +83,7 @@ def test_blame_of_long_histories(spark, small_batches):
         for k in range(60):
             kind = "write" if k == 0 or r.random() < 0.1 or not now else "edit"
             text = "\n".join(f"line {r.randrange(9)}" for _ in range(12)) if kind == "write" else r.choice(["new", "two\nlines", ""])
-            old = r.choice(now.split("\n")) or None if kind == "edit" else None
+            old = r.choice([x for x in now.split("\n") if x] or [None]) if kind == "edit" else None
             edits.append({"type": kind if path != "c.py" or k < 55 else "shell", "content": text, "old": old})
             now = text if kind == "write" else now.replace(old or "", text, 1) if old else ""
         rows += [(path, f"{k:03}", datetime(2024, 1, 1) + timedelta(minutes=k), e["type"], e["content"], e["old"], f"c{k}", "codex", f"prompt {k}\nmore", "m") for k, e in enumerate(edits)]
@@ -91,4 +91,4 @@ def test_blame_of_long_histories(spark, small_batches):
         want |= {(path, n + 1): (t, f"c{k}", f"prompt {k}") for n, (t, k) in enumerate(zip(lines or [], by or [], strict=True))}
     df = spark.createDataFrame(rows, "file_path string, id string, ts timestamp_ntz, type string, content string, old string, conv string, source string, prompt string, message_id string").repartition(5)
     got = {(x["file_path"], x["line"]): (x["text"], x["conv"], x["prompt"]) for x in changes.blame(df).collect()}
-    assert got == want and {k[0] for k in want} == {"a.py", "b.py"}
+    assert got == want and {k[0] for k in want} <= {"a.py", "b.py"} and want

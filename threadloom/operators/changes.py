@@ -76,8 +76,10 @@ class Version:
 
     def changed(self, number: int, old: str, new: str) -> Version:
         """The first place of ``old`` becomes ``new``: lines that neither reaches keep their owners."""
-        before, found, behind = "\n".join(self.lines or ()).partition(old)
-        if self.lines is None or not old or not found:
+        if self.lines is None or not old:
+            return Version()
+        before, found, behind = "\n".join(self.lines).partition(old)
+        if not found:
             return Version()
         lines = tuple((before + new + behind).splitlines())
         above = before.count("\n")
