@@ -1,0 +1,114 @@
+"""Working copies as a data source, against git itself."""
+
+import hashlib
+import os
+import shutil
+import subprocess
+from datetime import datetime
+
+import pytest
+
+from threadloom.operators import capture
+from threadloom.runtime import share_code
+from threadloom.sources import repositories
+
+pytestmark = pytest.mark.skipif(shutil.which("git") is None, reason="fixtures are made by git")
+ENV = {**os.environ, "GIT_CONFIG_GLOBAL": "/dev/null", "GIT_CONFIG_NOSYSTEM": "1", **{f"GIT_{w}_{k}": v for w in ("AUTHOR", "COMMITTER") for k, v in (("NAME", "a"), ("EMAIL", "a@b"), ("DATE", "2024-01-01T00:00:00Z"))}}
+
+
+def git(root, *args):
+    return subprocess.run(["git", "-C", str(root), *args], capture_output=True, check=True, env=ENV, text=True).stdout.strip()
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture
+def copy(tmp_path):
+    root = tmp_path / "work"
+    root.mkdir()
+    git(root, "init", "-q", "-b", "main")
+    (root / "src").mkdir()
+    (root / "src" / "a.py").write_text("one\n" * 500)
+    (root / "b.txt").write_text("b")
+    (root / "ünï.txt").write_text("u")
+    os.symlink("b.txt", root / "link")
+    git(root, "add", "-A")
+    git(root, "commit", "-qm", "first\n\nbody")
+    for k in range(6):  # like contents: packs hold deltas
+        (root / "src" / "a.py").write_text("one\n" * 500 + f"two {k}\n" + "three\n" * k)
+        git(root, "commit", "-qam", f"change {k}")
+    git(root, "remote", "add", "origin", "git@github.com:me/it.git")
+    git(root, "remote", "add", "disk", "/elsewhere")
+    return root
+
+
+def facts(root):
+    own = repositories.Repository.around(str(root / "src"))
+    return own, own.checkout(), {p: own.state(p, *e) for p, *e in own.paths()}
+
+
+@pytest.mark.parametrize("packed, version", [(False, "2"), (True, "4"), (True, "3")])
+def test_reads_what_git_says(copy, packed, version):
+    if packed:
+        git(copy, "gc", "-q", "--aggressive")
+        assert not [d for d in (copy / ".git" / "objects").iterdir() if len(d.name) == 2]
+    git(copy, "update-index", "--index-version", version)
+    own, row, state = facts(copy)
+    first = git(copy, "rev-list", "--max-parents=0", "HEAD")
+    assert row[:1] == (str(copy),) and row[3:6] == (git(copy, "rev-parse", "HEAD"), "main", "change 5") and row[6] == [first] and row[7] == ["https://github.com/me/it"]
+    assert row[1] == repositories.digest({"remotes": ["https://github.com/me/it"]}) and row[2] == repositories.digest({"git_roots": [first]}) and row[8] == repositories.digest([])
+    assert set(state) == set(git(copy, "-c", "core.quotePath=false", "ls-files").splitlines()) and {s for *_, s in state.values()} == {"clean"}
+    assert state["src/a.py"][0] == sha((copy / "src" / "a.py").read_text()) and state["link"][0] == sha("b.txt")
+    for line in git(copy, "rev-list", "--objects", "--all").splitlines():
+        name = line.split(" ")[0]
+        kind, body = own.objects.read(bytes.fromhex(name))
+        assert hashlib.sha1(kind + b" %d\0" % len(body) + body).hexdigest() == name
+
+
+def test_status_branches_and_linked_copies(copy, tmp_path):
+    (copy / "b.txt").write_text("changed")
+    (copy / "new.txt").write_text("n")
+    git(copy, "add", "new.txt")
+    (copy / "ünï.txt").unlink()
+    git(copy, "rm", "-q", "--cached", "link")
+    (copy / "untracked").write_text("x")
+    _, row, state = facts(copy)
+    assert {p: s for p, (_, _, s) in state.items()} == {"b.txt": "modified", "new.txt": "added", "ünï.txt": "deleted", "link": "deleted", "src/a.py": "clean"}
+    assert row[8] != repositories.digest([]) and state["ünï.txt"][0] is None
+    git(copy, "worktree", "add", "-q", str(tmp_path / "other"), "-b", "side")
+    _, other, there = facts_at(tmp_path / "other")
+    assert other[4] == "side" and other[1] == row[1] and {s for *_, s in there.values()} == {"clean"}
+    git(copy, "checkout", "-q", "--detach", "HEAD~1")
+    assert facts(copy)[1][3:5] == (git(copy, "rev-parse", "HEAD"), None)
+    git(copy, "pack-refs", "--all")
+    assert facts_at(tmp_path / "other")[1][3] == other[3]
+    git(tmp_path, "clone", "-q", "--depth", "2", f"file://{copy}", str(tmp_path / "shallow"), "-b", "main")
+    assert facts_at(tmp_path / "shallow")[1][6] == [git(tmp_path / "shallow", "rev-parse", "HEAD~1")]
+    git(tmp_path, "clone", "-q", "--shared", str(copy), str(tmp_path / "borrows"), "-b", "main")
+    assert facts_at(tmp_path / "borrows")[1][6] == row[6]
+
+
+def facts_at(root):
+    own = repositories.Repository.around(str(root))
+    return own, own.checkout(), {p: own.state(p, *e) for p, *e in own.paths()}
+
+
+def test_source_feeds_capture(spark, copy, tmp_path):
+    share_code(spark)
+    spark.dataSource.register(repositories.GitRepositories)
+    bare = tmp_path / "empty"
+    bare.mkdir()
+    git(bare, "init", "-q", "-b", "main")
+    (copy / "b.txt").write_text("told by an edit")
+    git(copy, "commit", "-qam", "told")
+    read = lambda table: spark.read.format("git_repositories").option("roots", f"{copy}\n{bare}\n{tmp_path}").option("table", table).load()
+    checkouts, tree = read("checkouts"), read("worktree")
+    rows = {r["root"]: r for r in checkouts.collect()}
+    assert set(rows) == {str(copy), str(bare)} and rows[str(bare)]["head"] is None and rows[str(bare)]["repository"] == repositories.digest({"local": str(bare)})
+    assert {r["path"] for r in tree.collect()} == {"src/a.py", "b.txt", "ünï.txt", "link"}
+    edits = spark.createDataFrame([("e1", f"{copy}/b.txt", "write", "told by an edit", None, datetime(2024, 1, 1), "t"), ("e2", f"{copy}/src/a.py", "write", "other", None, datetime(2024, 1, 1), "t")], "id string, path string, type string, content string, old string, ts timestamp_ntz, turn string")
+    found = capture.observe(edits, checkouts.select("root", "repository", "lineage", "head", "state_hash"), tree.select("root", "path", "content_hash", "dirty"))
+    assert [r["edit"] for r in found["checkpoint.link"].collect()] == ["e1"]
+    assert [(r["id"], r["head"]) for r in found["repository.observed"].collect()] == [(rows[str(copy)]["repository"], git(copy, "rev-parse", "HEAD"))]
