@@ -320,3 +320,22 @@ def test_qualify_beside_comparisons_and_windows(fruit):
     base = "SELECT id, parent_id IS NOT DISTINCT FROM role AS d FROM messages QUALIFY row_number() OVER"
     for query in (base + " (PARTITION BY conversation_id ORDER BY id DESC) = 1", base + " w = 1 WINDOW w AS (PARTITION BY conversation_id ORDER BY id DESC) ORDER BY id", base.replace(" QUALIFY", " WINDOW w AS (PARTITION BY conversation_id ORDER BY id DESC) QUALIFY") + " w = 1"):
         assert [tuple(r) for r in gate.run(fruit, query).collect()] == [("m5", False)], query
+
+
+def test_ingest_touches_changed_buckets_only(spark, tmp_path):
+    """Generations against one merge of whole tables; what isn't touched is written once."""
+    store, whole = Store(spark, str(tmp_path / "store"), buckets=8), messages(spark, [])
+    texts = {f"m{k}": "first" for k in range(60)}
+    for round_, ids in enumerate((sorted(texts), ["m1", "m2"], ["m1"], ["m1"], ["m3", "new"])):
+        rows = [(i, "c", "user", ["first", "second", "first", "second", "third"][round_], None, at(round_), None, "{}") for i in ids]
+        now = at(30 + round_)
+        assert store.ingest({"messages": messages(spark, rows)}, now) == round_ + 1
+        whole = spark.createDataFrame(upsert.messages(whole, messages(spark, rows), now).collect(), schema.MESSAGES)
+        have = {tuple(r)[:9] for r in store.archive().messages.collect()}
+        assert have == {tuple(r)[:9] for r in whole.collect()} and store.archive().messages.count() == len(have)
+        folders = [p for p in (tmp_path / "store" / str(round_ + 1) / "messages").iterdir() if p.name.startswith("bucket=")]
+        assert len(folders) == 8 if round_ == 0 else len(folders) <= 4
+    assert store.archive(1).messages.count() == 60 and {r["content"] for r in store.archive(1).messages.collect()} == {"first"}
+    assert store.changes().filter("kind = 'messages' and generation = 5").count() == 3  # m3, its past and the new one
+    twice = messages(spark, [("d", "c", "user", t, None, at(1), None, "{}") for t in ("a", "b", "last")]).coalesce(1)
+    assert [r["content"] for r in upsert.latest(twice).collect()] == ["last"]

@@ -25,10 +25,11 @@ def _json_list(*columns: pd.Series) -> pd.Series:
 
 
 def latest(rows: DataFrame, order: str | None = None) -> DataFrame:
-    """One row an id: the last by ``order``, or any where rows of an id are alike."""
-    if order is None:
-        return rows.dropDuplicates(["id"])
-    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), order).alias("r")).select("id", "r.*")
+    """One row an id: the last by ``order``, or else the last as they were read."""
+    by = F.monotonically_increasing_id() if order is None else F.col(order)
+    columns = [c for c in rows.columns if c != "id"]
+    last = rows.select("id", F.struct(*columns).alias("r"), by.alias("_by")).groupBy("id").agg(F.max_by("r", "_by").alias("r"))
+    return last.select(*[F.col("id") if c == "id" else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
 
 def conversations(current: DataFrame, incoming: DataFrame) -> DataFrame:

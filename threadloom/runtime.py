@@ -47,17 +47,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def copy_tree(spark: SparkSession, source: str, target: str) -> None:
-    """Copies a folder as it is; what is at ``target`` goes first, as it can only be the rest of a copy that failed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    from_, to = a.getFileSystem(conf), b.getFileSystem(conf)
-    to.delete(b, True)
-    to.mkdirs(b.getParent())
-    if not jvm.org.apache.hadoop.fs.FileUtil.copy(from_, a, to, b, False, conf):
-        raise OSError(f"could not copy {source} to {target}")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder, on any file system."""
     jvm = spark.sparkContext._jvm
