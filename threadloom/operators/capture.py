@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import memory
+from threadloom.operators import memory, redact
 from threadloom.runtime import Scratch, share_code
 
 
@@ -88,3 +88,20 @@ def checkpoint_diffs(checkpoints: DataFrame, versions: DataFrame) -> DataFrame:
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a") != F.col("b"), "modified")
     changed = both.withColumn("status", status).filter("status is not null").select("repository", "before", "after", "path", "status")
     return pair.join(changed, ["repository", "before", "after"], "left")
+
+
+def live_state(checkouts: DataFrame, worktree: DataFrame, most: int = 80) -> DataFrame:
+    """Each root's branch, head, subject and the first ``most`` lines of its status, without secrets: what a session is resumed with.
+
+    A head on no branch is ``(detached)``; ``truncated`` says whether there are more lines, ``redactions`` how many of
+    the texts held a secret.
+    """
+    own = Window.partitionBy("root").orderBy("path")
+    # ranked before it is gathered: of any copy at most ``most`` lines and one more
+    lines = worktree.filter("dirty").select("root", "path", F.concat_ws(" ", "status", "path").alias("line")).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= most + 1)
+    safe = redact.scrub(lines.withColumn("was", F.col("line")), "line")
+    told = safe.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"), F.count_if((F.col("n") <= most) & (F.col("line") != F.col("was"))).alias("hidden"))
+    top = redact.scrub(checkouts.select("root", "branch", "head", F.col("subject").alias("was"), "subject"), "subject")
+    j = top.join(told, "root", "left")
+    status = F.transform(F.slice(F.coalesce("l", F.array().cast(told.schema["l"].dataType)), 1, most), lambda x: x["line"])
+    return j.select("root", F.coalesce("branch", F.lit("(detached)")).alias("branch"), "head", "subject", status.alias("status"), F.coalesce(F.size("l") > most, F.lit(False)).alias("truncated"), (F.coalesce("hidden", F.lit(0)) + F.coalesce((F.col("subject") != F.col("was")).cast("int"), F.lit(0))).alias("redactions"))

@@ -140,6 +140,14 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(evaluate.first_ranks(cases, hits))
 
 
+@_query("""WITH r AS (SELECT doc_id, 'e' || doc_id % 3 AS engine, CASE WHEN doc_id % 5 > 1 THEN doc_id % 7 + 1 END AS rank, doc_id % 3 = 1 AND doc_id % 11 = 4 AS bad FROM documents),
+g AS (SELECT engine, count(*) AS runs, count(CASE WHEN NOT bad THEN rank END) AS hits, round(avg(CASE WHEN bad OR rank IS NULL THEN 0 ELSE 1.0 / rank END), 6) AS mrr, count(*) FILTER (WHERE bad) AS errors FROM r GROUP BY engine)
+SELECT engine, runs, hits, round(hits / runs, 6) AS hit_rate, mrr, errors, errors = 0 AND round(hits / runs, 6) >= 0.6 AS passes FROM g""", archive=False)
+def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("e"), (F.col("doc_id") % 3).cast("string")).alias("engine"), F.when(F.col("doc_id") % 5 > 1, F.col("doc_id") % 7 + 1).alias("rank"), F.when((F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 11 == 4), "timed out").alias("error"))
+    return evaluate.gate(evaluate.report(d, d.filter("error is not null")), 0.6)
+
+
 # -- reading -----------------------------------------------------------------------------------------------------------
 
 _POS = """,
