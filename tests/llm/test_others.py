@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import struct
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -62,6 +63,16 @@ def test_matroska_lacing_and_unknown_sizes():
         assert {p[4] for p in found["packets"]} == {0, 1} and {p[1] for p in found["packets"]} == {107}
 
 
+def test_times_of_laced_frames_count_channels():
+    frames = [b"a" * 800] * 3
+    for channels, step in ((1, 100), (2, 50)):
+        sound = matroska._element(matroska.RATE, struct.pack(">d", 8000)) + matroska._number(matroska.CHANNELS, channels) + matroska._number(matroska.DEPTH, 8)
+        track = matroska._element(matroska.TRACKS, matroska._element(matroska.TRACK, matroska._number(matroska.NUMBER, 1) + matroska._element(matroska.AUDIO, sound)))
+        cluster = matroska._element(matroska.CLUSTER, matroska._number(matroska.TIMESTAMP, 1000) + matroska._block(frames, 0, 0))
+        found = matroska.parse(matroska._element(matroska.EBML, b"") + matroska._element(matroska.SEGMENT, track + cluster))
+        assert found["error"] is None and [p[1] for p in found["packets"]] == [1000, 1000 + step, 1000 + 2 * step]
+
+
 def test_broken_matroska_never_raises():
     r, good = random.Random(1), matroska.write(b"ab" * 900)
     for _ in range(500):

@@ -132,8 +132,9 @@ def parse(data: bytes | None) -> dict:
                 out["blocks"] += 1
                 rate = out["tracks"].get(track, {}).get("rate")
                 for a, b in parts:
-                    # frames after the first of a block follow at the track's rate, where it is 8-bit sound
-                    late = (a - parts[0][0]) * 1e9 / rate / out["scale"] if rate and out["tracks"][track].get("depth") == 8 else 0
+                    # frames after the first of a block follow at the track's rate, where it is 8-bit sound: a byte a channel
+                    sound = out["tracks"].get(track, {})
+                    late = (a - parts[0][0]) * 1e9 / rate / sound.get("channels", 1) / out["scale"] if rate and sound.get("depth") == 8 else 0
                     out["packets"].append((track, base + relative + int(late), a, b, clusters, lacing))
             elif kind == SCALE:
                 out["scale"] = int.from_bytes(value, "big")
@@ -145,6 +146,8 @@ def parse(data: bytes | None) -> dict:
                 entry["codec"] = value.decode("ascii", "replace")
             elif kind == RATE:
                 entry["rate"] = struct.unpack(">d" if len(value) == 8 else ">f", value)[0]
+            elif kind == CHANNELS:
+                entry["channels"] = max(1, int.from_bytes(value, "big"))
             elif kind == DEPTH:
                 entry["depth"] = int.from_bytes(value, "big")
             elif kind == CUE_TIME:

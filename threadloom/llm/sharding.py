@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.ranks import numbered
-from threadloom.runtime import share_code
+from threadloom.runtime import Scratch, share_code
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -57,6 +57,7 @@ def op5_jump_hash(spark, sf_dir: str) -> DataFrame:
     """``documents`` to 8 shards by key, with a gapless slot in each shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    # numbers only, written, as they are counted and numbered in two passes: texts are read once
+    slim = Scratch(spark, "jump-hash").keep(docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")), "slim")
     dealt = assign(slim, 8)
     return numbered(dealt, ["shard"], ["doc_id", "size", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
