@@ -73,8 +73,9 @@ def threshold(calibration: DataFrame) -> DataFrame:
     bins = calibration.filter(F.col("_score").isNotNull()).select("_good", F.floor(F.greatest(F.least(F.col("_score"), F.lit(RANGE)), F.lit(-RANGE)) * STEPS).alias("bin"))
     counts = bins.groupBy("bin").agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad"))  # at most 2 * RANGE * STEPS rows
     before, everything = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kept_out = F.coalesce(F.sum("bad").over(before), F.lit(0)) / F.sum("bad").over(everything)
-    let_in = 1 - F.coalesce(F.sum("good").over(before), F.lit(0)) / F.sum("good").over(everything)
+    # of a class that calibrates nothing the rate is 0 everywhere
+    kept_out = F.try_divide(F.coalesce(F.sum("bad").over(before), F.lit(0)), F.sum("bad").over(everything))
+    let_in = 1 - F.try_divide(F.coalesce(F.sum("good").over(before), F.lit(0)), F.sum("good").over(everything))
     rated = counts.select("bin", F.coalesce(kept_out, F.lit(0.0)).alias("t"), F.coalesce(let_in, F.lit(0.0)).alias("u"))
     return rated.agg((F.max_by("bin", F.struct(F.round(F.col("t") + F.col("u"), 9), -F.col("bin"))) / STEPS).alias("cut"))
 
