@@ -120,7 +120,20 @@ def related(a) -> DataFrame:
     return explore.neighbours(a, explore.Seed("message", "-", "-", tuple(VECTOR))).drop("raw", "embedding")
 
 
-@_query()
+def _walk(depth: int, vector: str, after: list[str], source: str = "ok") -> str:
+    """One node's step of a trail in SQL: the nearest three of what none of the steps ``after`` has met."""
+    met = " UNION ALL ".join(f"SELECT conversation_id, content FROM {t}" for t in after) or "SELECT NULL, NULL WHERE false"
+    return f"""(SELECT conversation_id, id, content, embedding, {depth} AS depth, row_number() OVER (ORDER BY similarity DESC, conversation_id) AS r FROM (
+      SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY similarity DESC, id) AS n FROM (
+        SELECT ok.conversation_id, ok.id, ok.content, ok.embedding, round({_COS.format(a="CAST(ok.embedding AS DOUBLE[])", b=vector)}, 6) AS similarity, row_number() OVER (PARTITION BY ok.content ORDER BY updated_at DESC NULLS LAST, ok.id) AS copy
+        FROM {source} WHERE ok.conversation_id NOT IN (SELECT conversation_id FROM ({met})) AND ok.content NOT IN (SELECT content FROM ({met})))
+      WHERE copy = 1 AND similarity >= 0) WHERE n = 1 QUALIFY r <= 3)"""
+
+
+_TRAIL = _NEAR.partition(",\nnr AS")[0] + f",\nt0 AS {_walk(1, _VECTOR_SQL, [])}" + "".join(f",\nt{j} AS {_walk(2, 'CAST(g.embedding AS DOUBLE[])', [f't{i}' for i in range(j)], f'ok, (SELECT embedding FROM t0 WHERE r = {j}) g')}" for j in (1, 2, 3))
+
+
+@_query(_TRAIL + " SELECT '-' AS conversation_id, CAST(0 AS BIGINT) AS depth, '-' AS seed_id" + "".join(f" UNION ALL SELECT conversation_id, depth, id FROM t{j}" for j in range(4)))
 def trail(a) -> DataFrame:
     nodes, _ = explore.trail(a, explore.Seed("message", "-", "-", tuple(VECTOR)), depth=2, width=3, minimum=0.0)
     return a.spark.createDataFrame([(n["conversation_id"], n["depth"], n["seed_id"]) for n in nodes], "conversation_id string, depth long, seed_id string")
@@ -174,7 +187,16 @@ def resume_sessions(a) -> DataFrame:
     return reading.sessions(a, "/repo/p1")
 
 
-@_query()
+@_query("""sn AS (SELECT *, row_number() OVER (ORDER BY last_at DESC NULLS LAST, conversation_id) AS k FROM (SELECT conversation_id, max(m.created_at) AS last_at FROM m JOIN c ON c.id = m.conversation_id
+  WHERE (cwd = '/repo/p1' OR starts_with(cwd, '/repo/p1/')) AND coalesce(content, '') <> '' AND json_extract_string(metadata, '$.history_of') IS NULL GROUP BY conversation_id) QUALIFY k <= 4),
+tn AS (SELECT k, m.conversation_id, m.id, role, regexp_replace(content, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g') AS plain, row_number() OVER (PARTITION BY m.conversation_id ORDER BY m.created_at DESC NULLS LAST, m.id DESC) AS n FROM m JOIN sn USING (conversation_id)
+  WHERE coalesce(content, '') <> '' AND json_extract_string(metadata, '$.history_of') IS NULL QUALIFY n <= 6),
+fl AS (SELECT *, row_number() OVER (ORDER BY k, n) AS i, (SELECT count(*) FROM sn) - k + 1 AS others FROM tn),
+al AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS k, CAST(16000 AS BIGINT) AS room, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS given
+  UNION ALL SELECT i, k, room, used + CASE WHEN quota <= used THEN 0 WHEN size <= least(1200, quota - used) THEN size ELSE greatest(least(1200, quota - used), 3) END, CASE WHEN quota <= used THEN 0 WHEN size <= least(1200, quota - used) THEN size ELSE greatest(least(1200, quota - used), 3) END
+  FROM (SELECT i, k, room, used, size, least(room, greatest(1200, room // others)) AS quota FROM (
+    SELECT fl.i, fl.k, CASE WHEN fl.k = al.k THEN room ELSE greatest(0, room - used) END AS room, CASE WHEN fl.k = al.k THEN used ELSE 0 END AS used, length(plain) AS size, others FROM al JOIN fl ON fl.i = al.i + 1)))
+SELECT conversation_id, id AS message_id, role, CASE WHEN given >= length(plain) THEN plain ELSE substr(plain, 1, given - 3) || '...' END AS content FROM al JOIN fl USING (i) WHERE given > 0""", recursive=True)
 def resume_packet(a) -> DataFrame:
     p = reading.packet(a, "/repo/p1")
     rows = [(s["conversation_id"], t["message_id"], t["role"], t["content"]) for s in p["sessions"] for t in s["turns"]]
@@ -290,7 +312,16 @@ def conversation_nodes(a) -> DataFrame:
     return changes.nodes(changes.weights(a), "conv")
 
 
-@_query()
+@_query(_EDITS.lstrip()[1:] + """, pe AS (SELECT *, max(CASE WHEN type = 'write' THEN (ts, id) END) OVER (PARTITION BY file_path) AS last FROM ed WHERE type <> 'shell'),
+oe AS (SELECT file_path, regexp_replace(coalesce(content, ''), '\\n$', '') AS content, coalesce(old, '') AS old, conv, source, ts, substr(split_part(coalesce(prompt, ''), chr(10), 1), 1, 80) AS prompt, row_number() OVER (PARTITION BY file_path ORDER BY ts, id) AS k FROM pe WHERE (ts, id) >= last),
+vn AS (SELECT file_path, k, content AS body, CASE WHEN content = '' THEN [] ELSE list_transform(string_split(content, chr(10)), lambda x: k) END AS owners FROM oe WHERE k = 1
+  UNION ALL SELECT file_path, k, body, list_concat(owners[1:above], list_transform(range(greatest(0, CASE WHEN body = '' THEN 0 ELSE length(body) - length(replace(body, chr(10), '')) + 1 END - above - len(below))), lambda x: k), below)
+  FROM (SELECT file_path, k, owners, above, owners[above + within + 2:] AS below, CASE WHEN old <> '' AND place > 0 THEN regexp_replace(substr(body, 1, place - 1) || content || substr(body, place + length(old)), '\\n$', '') END AS body
+    FROM (SELECT o.file_path, o.k, o.old, o.content, v.body, v.owners, strpos(v.body, o.old) AS place, length(old) - length(replace(old, chr(10), '')) AS within, len(string_split(substr(v.body, 1, strpos(v.body, o.old) - 1), chr(10))) - 1 AS above
+      FROM vn v JOIN oe o ON o.file_path = v.file_path AND o.k = v.k + 1 WHERE v.body IS NOT NULL))),
+fv AS (SELECT file_path, string_split(body, chr(10)) AS texts, owners FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY k DESC) AS r FROM vn) WHERE r = 1 AND body <> ''),
+ln AS (SELECT file_path, unnest(range(1, len(texts) + 1)) AS line, unnest(texts) AS text, unnest(owners) AS k FROM fv)
+SELECT file_path, line, conv, source, ts, prompt, text FROM ln JOIN oe USING (file_path, k)""", recursive=True)
 def blame(a) -> DataFrame:
     return changes.blame(changes.edits(a).filter("type <> 'shell'"))
 
