@@ -5,7 +5,9 @@ import json
 import zipfile
 from datetime import datetime
 
-from threadloom.sources import providers
+import pytest
+
+from threadloom.sources import elements, providers
 from threadloom.store import Store
 from threadloom.streaming import inbox
 
@@ -109,6 +111,47 @@ def test_broken_lines_and_ids():
     assert len(providers.gen_id("a", "b")) == 16 and providers.moment("x") is None and providers.moment("") is None
 
 
+@pytest.mark.parametrize("split", [512, 1 << 27])
+def test_lists_are_read_by_their_elements(spark, tmp_path, split):
+    odd = ['plain', 'a } b', '{"x": [1, {"y": "}"}]}', 'back \\\\" slash \\', "line\nfeed\r\n", "], [", "é\u2028ü", ""]
+    wanted = {f"f{k}.json": [{"id": f"{k}-{i}", "text": text * (i % 3), "nested": {"l": [{"t": text}, [], {}]}} for i, text in enumerate(odd * 3)] for k in range(3)}
+    for k, (name, rows) in enumerate(wanted.items()):
+        (tmp_path / name).write_bytes((b"\xef\xbb\xbf" if k == 2 else b"") + json.dumps(rows, indent=[None, 1, "\t"][k], ensure_ascii=k == 1).encode())
+    for name, text in {"none.json": "[ ]\n", "empty.json": "", "object.json": '{"a": {"b": 1}}', "broken.json": '[{"id": 1}, {"id": 2', "number.json": '[{"id": 3}, 7]', "other.txt": '[{"id": 4}]'}.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0 if split == 512 else 4 << 20)
+    try:
+        found, faults = elements.elements(spark, str(tmp_path))
+        rows, told = found.collect(), faults.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, own in wanted.items():
+        mine = sorted((r for r in rows if r["path"].endswith("/" + name)), key=lambda r: r["at"])
+        assert [json.loads(r["element"]) for r in mine] == own
+    others = sorted(r["element"] for r in rows if r["path"].rpartition("/")[2] not in wanted)
+    assert others == ['{"id": 1}', '{"id": 3}']
+    assert sorted((r["path"].rpartition("/")[2], r["error"][:5]) for r in told) == [("broken.json", "no wh"), ("number.json", "no wh"), ("object.json", "not a")]
+
+
+def test_exports_and_image_bodies_in_the_store(spark, tmp_path):
+    logs = tmp_path / "sessions"
+    logs.mkdir()
+    node = {"parent": None, "message": {"author": {"role": "user"}, "content": {"parts": ["hi }"]}}}
+    (logs / "conversations.json").write_text(json.dumps([{"id": "c", "mapping": {"a": node}}, {"id": "d", "mapping": 7}]))
+    image = lambda data: {"type": "input_image", "image_url": f"data:image/png;base64,{data}"}
+    (logs / "s.jsonl").write_text(json.dumps({"type": "response_item", "payload": {"type": "message", "role": "user", "content": [image("QUJD"), image("QUJD"), image("*")]}}))
+    tables = providers.read_files(spark, str(logs))
+    assert [r["content"] for r in tables["messages"].orderBy("content").collect()] == ["", "hi }"]
+    assert sorted(r["error"].split(":")[0] for r in tables["errors"].collect()) == ["conversation d", "image 3 of event 0"]
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest(tables, datetime(2024, 1, 2))
+    kept = store.archive().attachments.join(store.bodies.all().withColumnRenamed("hash", "path"), "path", "left").orderBy("filename").collect()
+    assert [(r["filename"], r["content"] and bytes(r["content"])) for r in kept] == [("image-1.png", b"ABC"), ("image-2.png", b"ABC"), ("image-3.png", None)]
+    assert kept[2]["path"] is None and store.bodies.all().count() == 1
+
+
 def test_reading_files_and_draining_an_inbox(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()

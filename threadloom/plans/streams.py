@@ -1,13 +1,16 @@
-"""Queries of fetched listings, claims and event chains, with their SQL."""
+"""Queries of exports read by their elements, fetched listings, claims and event chains, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.plans.catalog import _query
 from threadloom.runtime import Scratch, share_code, table
-from threadloom.sources import paged, table_transport
+from threadloom.sources import paged, providers, table_transport
 from threadloom.streaming import chain, claims
 
 
@@ -81,3 +84,27 @@ def inbox_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.col("user_id") % 3
     outcomes = newest.select("source", "path", (F.col("t") + moved).alias("mtime"), (F.col("z") + moved).alias("size"), F.col("t").alias("parsed_mtime"), F.col("z").alias("parsed_size"))
     return claims.claims(records.unionByName(outcomes)).select("path", "mtime", "size", "attempt", "action")
+
+
+@_query("""SELECT substr(sha256('claude:' || substr(sha256('claude:' || conv_id), 1, 16) || ':' || turn), 1, 16) AS id, substr(sha256('claude:' || conv_id), 1, 16) AS conversation_id, role, text AS content, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) AS created_at
+  FROM conversations WHERE coalesce(text, '') <> ''""", archive=False)
+def exported_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of export files, of a list of conversations each, that were written from ``conversations``."""
+    share_code(spark)
+    at = F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id as int), 0, 0)"), "yyyy-MM-dd'T'HH:mm:ss")
+    turn = F.struct("turn", F.col("turn").cast("string").alias("uuid"), F.col("role").alias("sender"), "text", at.alias("created_at"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("chat_messages"))
+    lines = c.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("uuid"), "chat_messages")).alias("value"))
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's lines as one list."""
+        mark = "["
+        for x in frames:
+            if len(x):
+                yield pd.DataFrame({"value": [m + v for m, v in zip([mark] + [","] * (len(x) - 1), x["value"], strict=True)]})
+                mark = ","
+        yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
+
+    path = f"{Scratch(spark, 'exports').path}/files"
+    lines.repartition(8).mapInPandas(listed, "value string").write.text(path)
+    return providers.parse_exports(spark, path, "claude", "*.txt")["messages"].select("id", "conversation_id", "role", "content", "created_at")

@@ -33,7 +33,8 @@ class Bodies:
         """``rows`` with ``body_hash``, once their ``content`` is stored; null for null or too large ones. What is there isn't written again."""
         fits = F.col("content").isNotNull() & (F.octet_length("content") <= self.LIMIT)
         hashed = rows.withColumn("body_hash", F.when(fits, F.sha2("content", 256)))
-        new = hashed.filter("body_hash is not null").select(F.col("body_hash").alias("hash"), "content").dropDuplicates(["hash"]).join(self.all().select("hash"), "hash", "left_anti")
+        # what is stored falls first, and what is left is dealt by hash once
+        new = hashed.filter("body_hash is not null").select(F.col("body_hash").alias("hash"), "content").join(self.all().select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
         new.withColumn("size", F.octet_length("content").cast("long")).withColumn("part", F.substring("hash", 1, 2)).repartition("part").write.mode("append").partitionBy("part").parquet(self.path)
         return hashed.drop("content")
 
@@ -56,6 +57,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
+        self.bodies = Bodies(spark, f"{self.path}/bodies")
 
     def generation(self) -> int:
         """The latest complete generation; 0 for an empty store."""
@@ -110,7 +112,12 @@ class Store:
         return upsert.index(self.spark.read.schema(schema.CHANGES).parquet(*[f"{self.path}/{k}/_changes" for k in range(1, g + 1)]))
 
     def ingest(self, incoming: dict[str, DataFrame], now: datetime) -> int:
-        """Merges what readers found and gives the new generation. Merging the same again changes nothing but the generation."""
+        """Merges what readers found and gives the new generation. Merging the same again changes nothing but the generation.
+
+        ``bodies`` are stored before the rows that name them.
+        """
+        if "bodies" in incoming:
+            self.bodies.put(incoming["bodies"])
         last = self.generation()
         (buckets, held), g, moved = self._held(last), last + 1, None
         for name, shape in schema.TABLES.items():
@@ -140,13 +147,14 @@ class Store:
         return self._finish(g, buckets, held, moved)
 
     def backup(self, target: str) -> int:
-        """Writes the latest generation to ``target``, which must not exist; a store of one generation, and its number."""
+        """Writes the latest generation to ``target``, which must not exist; a store of one generation with all bodies, and its number."""
         g = self.generation()
         if not g:
             raise ValueError("nothing to back up: the store is empty")
         if exists(self.spark, target):
             raise ValueError(f"backup target already exists: {target}")
         buckets, archive, other = self._held(g)[0], self.archive(g), Store(self.spark, target)
+        other.bodies.put(self.bodies.all().select("content"))
         # as with a generation, the mark comes last
         other._finish(1, buckets, {t: {b: [1] for b in other._write(1, t, getattr(archive, t), buckets)} for t in schema.TABLES}, None)
         return g
@@ -167,6 +175,7 @@ class Store:
                     found = self.spark.read.parquet(f"{other.path}/{x}/{name}/bucket={b}").schema
                     if [(f.name, f.dataType) for f in found] != [(f.name, f.dataType) for f in shape]:
                         raise ValueError(f"not a table of this archive: {name}")
+        self.bodies.put(other.bodies.all().select("content"))
         last = self.generation()
         (buckets, _), before, after, g = self._held(last), self.archive(), other.archive(), last + 1
         moved, held = None, {}
