@@ -5,7 +5,10 @@ from datetime import datetime
 
 import pytest
 
-from threadloom.operators import ledger, memory
+from pyspark.sql import functions as F
+
+from threadloom.functions import text
+from threadloom.operators import ledger, memory, projection
 
 DAY = [datetime(2024, 1, d) for d in range(1, 9)]
 SOURCES, LINKS, CANONICALS = "id string, provider string, scope string, locator string, content string, hash string, active boolean", "source string, canonical string, applied_hash string", "id string, scope string, hash string, content string"
@@ -73,3 +76,42 @@ def test_refused_knows_revisions(spark):
     actions = [(None, "revise", "c", "h", "new"), (None, "revise", "d", "old", "new"), (None, "revise", "gone", "h", "new"), (None, "revise", None, "h", "new"), ("p", "revise", "c", "h", "new"), ("p", "distinct", "e", None, None)]
     got = {(r["source"], r["canonical"]): r["reason"] for r in memory.refused(spark.createDataFrame(actions, ACTIONS), pending, canonicals).collect()}
     assert got == {(None, "d"): "stale revision", (None, "gone"): "no such canonical", (None, None): "revise requires a memory and a text", ("p", "c"): "unknown action", ("p", "e"): "named twice"}
+
+
+def test_projections_are_written_updated_and_removed(spark, tmp_path):
+    shape = "id string, scope string, hash string, content string"
+    now = lambda k: datetime(2024, 1, k)
+    first = spark.createDataFrame([("b", "/r/a b+c", "h2", "two\n\n"), ("a", "/r/a b+c", "h1", "one"), ("c", "/q", None, None), ("d", None, "h", "x"), ("e", "", "h", "x")], shape)
+    p = projection.Projections(spark, str(tmp_path / "p"))
+    state = lambda df: {r["scope"]: r["status"] for r in df.collect()}
+    assert state(p.status(first)) == {"/r/a b+c": "create", "/q": "create"}
+    assert state(p.write(first, now(1), spark.createDataFrame([("/q",)], "scope string"))) == {"/r/a b+c": "create", "/q": "pending"}
+    p.write(first, now(2))
+    assert state(p.status(first)) == {"/r/a b+c": "unchanged", "/q": "unchanged"}
+    file = lambda part: next(x for x in (tmp_path / "p" / "files").rglob("part-*") if part in str(x).replace("%2F", "/") + "/")
+    wanted = "<!-- memory projection:v1 -->\n# Synchronized memories\n\n<!-- canonical:a revision:h1 -->\n## a\n\nScope: `/r/a b+c`\n\none\n\n<!-- canonical:b revision:h2 -->\n## b\n\nScope: `/r/a b+c`\n\ntwo\n\n\n"
+    assert file("=/r/").read_bytes().decode() == wanted
+    assert {r["scope"]: r["bytes"] for r in projection.digests(projection.pieces(first)).collect()}["/r/a b+c"] == len(wanted)
+    edited = file("=/q/")
+    edited.with_name(f".{edited.name}.crc").unlink()
+    edited.write_text("edited")
+    later = first.withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit("!")))
+    assert state(p.write(later, now(3))) == {"/r/a b+c": "update", "/q": "drift"}
+    assert file("=/q/").read_text() == "edited" and "one!" in file("=/r/").read_text()
+    with pytest.raises(ValueError, match="drifted"):
+        p.remove("/q", now(4))
+    assert [p.remove("/r/a b+c", now(k)) for k in (4, 5)] == ["removed", "absent"] and state(p.status(later))["/r/a b+c"] == "create"
+    assert projection.digests(projection.pieces(first.limit(0))).count() == 0 and p.status(first.limit(0)).count() == 0
+
+
+def test_labels_and_audits(spark):
+    cases = {"name: 'x y'\n# h": "x y", "name:\n# h\nz": "h", "#\n # no\n": "#", "\r\n  a \nb": "a", "": "memory", " \n\t": "memory", "\n" * 12 + "name: late": "name: late", "w" * 200: "w" * 96}
+    got = spark.createDataFrame([(c,) for c in cases] + [(None,)], "c string").select("c", text.label(F.col("c"))).collect()
+    assert {r[0]: r[1] for r in got} == cases | {None: "memory"}
+    evidence = spark.createDataFrame([("k", "h", "1", sha("a")), ("k", "g", "2", sha("b")), ("k", "h", "3", sha(""))], "canonical string, hash string, message string, content_hash string")
+    canonicals = spark.createDataFrame([("k", "/p", "h")], "id string, scope string, hash string")
+    messages = spark.createDataFrame([("1", "a"), ("2", "B")], "id string, content string")
+    told = memory.audit(evidence, canonicals, messages)
+    assert [tuple(r) for r in memory.audit_summary(told).collect()] == [("/p", 3, 1, 1, 1, 0)]
+    assert sorted(r["line"] for r in memory.audit_lines(told).collect()) == ["- [changed] historical `k` @ `/p`: `2`", "- [missing] current `k` @ `/p`: `3`"]
+    assert [tuple(r) for r in memory.audit_summary(memory.audit(evidence, canonicals, None)).collect()] == [("/p", 3, 0, 0, 0, 3)]

@@ -134,3 +134,20 @@ def identity(**fields: Column) -> Column:
     """The SHA-256 of the canonical JSON object of ``fields``; nulls count as null members."""
     members = F.struct(*[v.alias(k) for k, v in fields.items()])
     return F.sha2(canonical_json(F.to_json(members, {"ignoreNullFields": "false"})), 256)
+
+
+def label(content: Column, size: int = 96) -> Column:
+    """What a memory is called: the name of its first twelve lines, else its first heading, else its first line with text.
+
+    Each of these counts only if something is left of it; ``memory`` where nothing is. At most ``size`` characters.
+    """
+    lines = F.split(F.coalesce(content, F.lit("")), r"\r\n|\r|\n")
+    first = lambda of, fits: F.get(F.filter(of, fits), F.lit(0))
+    bare = lambda c, around: F.regexp_replace(c, f"^{around}+|{around}+$", "")
+    named = bare(bare(F.regexp_replace(first(F.slice(lines, 1, 12), lambda x: x.startswith("name:")), "^name:", ""), r"\s"), "[\"']")
+    headed = bare(F.regexp_replace(first(lines, lambda x: x.startswith("#")), "^[# ]+", ""), r"\s")
+    plain = bare(first(lines, lambda x: x.rlike(r"\S")), r"\s")
+    told = F.lit("memory")
+    for c in (plain, headed, named):
+        told = F.when(F.coalesce(c, F.lit("")) != "", c).otherwise(told)
+    return F.substring(told, 1, size)

@@ -218,9 +218,7 @@ def current(canonicals: DataFrame, scope: str, query: str | None = None) -> Data
 
 def context_index(canonicals: DataFrame, scope: str, rows: int = 64, size: int = 16000) -> DataFrame:
     """Labels of a scope's memories: at most 64, and so many characters in all."""
-    heading = F.regexp_extract("content", r"(?m)^#+\s*(.+)$", 1)
-    label = F.substring(F.when(heading != "", heading).otherwise(F.substring_index(F.trim("content"), "\n", 1)), 1, 96)
-    top = current(canonicals, scope).select("id", label.alias("label")).limit(min(rows, 64))
+    top = current(canonicals, scope).select("id", T.label(F.col("content")).alias("label")).limit(min(rows, 64))
     so_far = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)  # of at most 64 rows
     return top.withColumn("_c", F.sum(F.length("label") + 1).over(so_far)).filter(F.col("_c") <= size).drop("_c")
 
@@ -228,19 +226,42 @@ def context_index(canonicals: DataFrame, scope: str, rows: int = 64, size: int =
 def select_one(canonicals: DataFrame, scope: str, selector: str) -> DataFrame:
     """The memories at the best tier that fits: id, beginning of the id, whole text, title, part of the text. One row is a match."""
     s = selector.lower()
-    text, title = F.lower(F.trim("content")), F.lower(F.regexp_replace(F.substring_index(F.trim("content"), "\n", 1), r"^#+\s*", ""))
+    text, title = F.lower(F.trim("content")), F.lower(T.label(F.col("content")))
     tier = F.when(F.lower("id") == s, 1).when(F.lower("id").startswith(s), 2).when(text == s, 3).when(title == s, 4).when(text.contains(s), 5)
     rows = canonicals.filter(F.col("scope") == scope).withColumn("tier", tier).filter("tier is not null")
     return rows.join(F.broadcast(rows.agg(F.min("tier").alias("_least"))), F.col("tier") == F.col("_least")).drop("_least")
 
 
-def evidence_status(evidence: DataFrame, messages: DataFrame) -> DataFrame:
-    """Whether each message that a memory rests on still says what it did: verified, changed or missing."""
+def evidence_status(evidence: DataFrame, messages: DataFrame | None) -> DataFrame:
+    """Whether each message that a memory rests on still says what it did: verified, changed or missing.
+
+    Without an archive (``messages`` is None) nobody can tell: unavailable.
+    """
+    if messages is None:
+        return evidence.withColumn("status", F.lit("unavailable"))
     m = messages.select(F.col("id").alias("message"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("_now"))
     status = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") == F.col("content_hash"), "verified").otherwise("changed")
     return evidence.join(m, "message", "left").withColumn("status", status).drop("_now")
 
 
+def audit(evidence: DataFrame, canonicals: DataFrame, messages: DataFrame | None) -> DataFrame:
+    """Each memory's evidence (canonical, hash, message, content_hash) with scope, ``status``, and ``current``: of its present revision."""
+    c = canonicals.select(F.col("id").alias("canonical"), "scope", F.col("hash").alias("_hash"))
+    return evidence_status(evidence, messages).join(c, "canonical").withColumn("current", F.col("hash").eqNullSafe(F.col("_hash"))).drop("_hash")
+
+
+def audit_summary(audited: DataFrame) -> DataFrame:
+    """A row a scope: its evidence, and how much of it has each status."""
+    return audited.groupBy("scope").agg(F.count(F.lit(1)).alias("evidence"), *[F.count_if(F.col("status") == s).alias(s) for s in ("verified", "changed", "missing", "unavailable")])
+
+
+def audit_lines(audited: DataFrame) -> DataFrame:
+    """scope, canonical and a line of Markdown for each piece of evidence that isn't verified."""
+    age = F.when(F.col("current"), "current").otherwise("historical")
+    line = F.concat(F.lit("- ["), "status", F.lit("] "), age, F.lit(" `"), "canonical", F.lit("` @ `"), "scope", F.lit("`: `"), "message", F.lit("`"))
+    return audited.filter("status <> 'verified'").select("scope", "canonical", line.alias("line"))
+
+
 def scope_for(path_rows: DataFrame, scopes: DataFrame) -> DataFrame:
     """Each path's scope: the longest that is the path or above it. Scopes meet a path by its ancestors, so it is a plain join."""
     parts = F.split("path", "/")

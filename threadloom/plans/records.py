@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import capture, changes, control, guard, ledger, memory, records, replicate
+from threadloom.operators import capture, changes, control, guard, ledger, memory, projection, records, replicate
 from threadloom.plans.catalog import _REV, _query, _revisions
 from threadloom.runtime import Scratch, table
 from threadloom.store import Bodies
@@ -328,6 +328,46 @@ def projection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.projection_status(d.select(i.alias("id"), F.when(i % 5 != 0, h).alias("recorded_hash"), F.when(i % 3 != 0, F.when(i % 7 == 0, "edited").otherwise(h)).alias("disk_hash"), F.when(i % 2 == 0, h).otherwise("new").alias("wanted_hash"))).select("id", "status")
 
 
+_MEMORIES = """m AS (SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, '/repo/p' || (doc_id % 50) AS scope, coalesce(text, '') AS content, sha256(coalesce(text, '')) AS hash, doc_id FROM documents)"""
+
+
+def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), F.concat(F.lit("/repo/p"), (F.col("doc_id") % 50).cast("string")).alias("scope"), text.alias("content"), F.sha2(text, 256).alias("hash"), "doc_id")
+
+
+@_query("WITH " + _MEMORIES + """, f AS (SELECT scope, '<!-- memory projection:v1 -->' || chr(10) || '# Synchronized memories' || string_agg(chr(10) || chr(10) || '<!-- canonical:' || id || ' revision:' || hash || ' -->' || chr(10) || '## ' || id || chr(10) || chr(10) || 'Scope: `' || scope || '`' || chr(10) || chr(10) || content, '' ORDER BY id) || chr(10) AS t FROM m GROUP BY scope)
+SELECT scope, sha256(t) AS disk_hash, CAST(octet_length(encode(t)) AS BIGINT) AS bytes, CASE WHEN scope IN (SELECT scope FROM m WHERE doc_id % 97 = 3) THEN 'pending' ELSE 'unchanged' END AS status FROM f""", archive=False)
+def projected_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of memories made from documents: written with wrong texts, updated, and told of once some scopes have pending sources."""
+    m = _memories(spark, sf_dir)
+    p = projection.Projections(spark, f"{Scratch(spark, 'projections').path}/all")
+    p.write(m.withColumn("content", F.lit("early")), datetime(2024, 1, 1))
+    p.write(m, datetime(2024, 1, 2))
+    return p.status(m, m.filter("doc_id % 97 = 3").select("scope")).select("scope", "disk_hash", "bytes", "status")
+
+
+@_query("WITH " + _MEMORIES + """, t AS (SELECT id, CASE doc_id % 5 WHEN 0 THEN 'name: "' || content || '"' WHEN 1 THEN chr(10) || '## ' || content WHEN 2 THEN 'name:' || chr(10) || '#' || chr(10) || content WHEN 3 THEN '' ELSE content END AS content, doc_id FROM m),
+x AS (SELECT id, doc_id, trim(list_filter(string_split(content, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1], ' ' || chr(9) || chr(13)) AS first, list_filter(string_split(content, chr(10)), lambda x: starts_with(x, '#'))[1] AS heading FROM t)
+SELECT id, substr(CASE WHEN doc_id % 5 = 3 THEN 'memory' WHEN doc_id % 5 = 0 AND trim(trim(substr(first, 6)), chr(34) || chr(39)) <> '' THEN trim(trim(substr(first, 6)), chr(34) || chr(39)) WHEN trim(ltrim(coalesce(heading, ''), '# ')) <> '' THEN trim(ltrim(heading, '# ')) ELSE first END, 1, 96) AS label FROM x""", archive=False)
+def memory_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What memories made from documents are called: by a name, a heading, an empty name before an empty heading, nothing, or a line."""
+    m, i = _memories(spark, sf_dir), F.col("doc_id") % 5
+    content = F.when(i == 0, F.concat(F.lit('name: "'), "content", F.lit('"'))).when(i == 1, F.concat(F.lit("\n## "), "content")).when(i == 2, F.concat(F.lit("name:\n#\n"), "content")).when(i == 3, "").otherwise(F.col("content"))
+    return m.select("id", T.label(content).alias("label"))
+
+
+@_query(""", e AS (SELECT 'k' || substr(id, 1, 2) AS canonical, id AS message, content, substr(id, 3, 1) AS kind FROM m)
+SELECT '/repo/p' || substr(canonical, 2, 1) AS scope, count(*) AS evidence, count(*) FILTER (WHERE kind NOT IN ('0', '1')) AS verified, count(*) FILTER (WHERE kind = '0') AS changed, count(*) FILTER (WHERE kind = '1') AS missing, CAST(0 AS BIGINT) AS unavailable FROM e GROUP BY 1""")
+def evidence_audit(a) -> DataFrame:
+    """Memories that rest on all messages, of which some were changed since, and some have gone."""
+    kind = F.substring("id", 3, 1)
+    e = a.messages.select(F.concat(F.lit("k"), F.substring("id", 1, 2)).alias("canonical"), F.lit("h").alias("hash"), F.col("id").alias("message"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
+    c = e.select(F.col("canonical").alias("id"), F.concat(F.lit("/repo/p"), F.substring("canonical", 2, 1)).alias("scope"), "hash").distinct()
+    now = a.messages.filter(kind != "1").withColumn("content", F.when(kind == "0", F.concat(F.coalesce("content", F.lit("")), F.lit("!"))).otherwise(F.col("content")))
+    return memory.audit_summary(memory.audit(e, c, now))
+
+
 # -- control chains, bodies, paths -------------------------------------------------------------------------------------
 
 @_query("""WITH u AS (SELECT DISTINCT user_id AS u FROM events) SELECT 'w' || u AS workspace, 1 AS revision, NULL AS fault FROM u UNION ALL
