@@ -1,6 +1,7 @@
 """Literal fixtures for the archive's operators."""
 
 import hashlib
+import json
 from datetime import datetime
 
 import pytest
@@ -95,6 +96,13 @@ def test_trail(graph):
     assert [n["conversation_id"] for n in nodes] == ["target000", "near0000", "claude00", "hop00000"]
     assert [(e["source"], e["target"]) for e in edges] == [("target000", "near0000"), ("target000", "claude00"), ("near0000", "hop00000")]
     assert explore.dot(edges).count("->") == 3
+    told = [json.loads(x) for x in explore.trail_lines(nodes, edges)]
+    assert [x["record"] for x in told] == ["root", "edge", "edge", "edge"] and told[3]["node"]["conversation_id"] == told[3]["target"] == "hop00000"
+    shown = explore.trail_text(nodes, edges).split("\n")
+    assert shown[0] == f"from {root.kind} {root.id}" and len(shown) == 7 and shown[5].startswith("    ") and "near0000 to hop00000" in shown[5]
+    near = explore.neighbours(graph, root, 5)
+    lines = [json.loads(r["line"]) for r in explore.related_lines(near).collect()]
+    assert [x["message_id"] for x in lines] == [r["message_id"] for r in near.collect()] and {"raw", "embedding"}.isdisjoint(lines[0]) and "cwd" in lines[0]
     with pytest.raises(NotOne):
         explore.target(graph, "nothing")
     assert explore.target(graph, "seed0000").kind == "message"
