@@ -214,3 +214,25 @@ def test_chain_equals_plain_loops_in_batches_and_streams(spark, tmp_path):
     faults = {(r["author"], r["seq"], r["fault"]) for r in chain.history_faults(log, heads, 2, later).collect()}
     assert faults == {(a, s, "gap") for a, s in gaps} | {("a1", 99, "boundary"), ("a2", 7, "unsupported")}
     assert log.select(F.count_if(F.col("status") == "accepted")).first()[0] == sum(w[3] == "accepted" for w in want)
+
+
+def test_recorded_replies_are_read_once_and_listed_by_ranges(spark, tmp_path, monkeypatch):
+    rows = [(str(k), 1000.0 - k // 3 if k % 50 else None) for k in range(9000)]
+    items = spark.createDataFrame([(i, t, f"title {i}", json.dumps({"of": i, "pad": "x" * 50})) for i, t in rows], "id string, update_time double, title string, detail string")
+    monkeypatch.setattr(table_transport, "GROUP", 1 << 14)
+    table_transport.record(table_transport.replies(items), str(tmp_path / "replies"))
+    t = table_transport.make({"replies": str(tmp_path / "replies")})
+    assert len(t.groups) > 20
+    read, bodies = [], t._bodies
+    monkeypatch.setattr(t, "_bodies", lambda g: (g in t.held or read.append(g)) and None or bodies(g))
+    got = list(paged.offset_pages(client(t), "", lambda page: False))
+    newest = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(i.id, i.updated) for i in got] == [(i, paged.moment(x)) for i, x in newest]
+    assert len(read) <= len(t.groups)  # pages by number, not a search of the whole table each
+    read.clear()
+    for i in sorted(got, key=lambda i: (len(i.url), i.url)):
+        assert json.loads(t.get(i.url)[2])["of"] == i.id
+    assert len(read) <= len(t.groups) and t.get("/backend-api/conversation/none")[0] == 404
+    # a service without items has an empty first page
+    table_transport.record(table_transport.replies(items.limit(0)), str(tmp_path / "none"))
+    assert list(paged.offset_pages(client(table_transport.make({"replies": str(tmp_path / "none")})), "", lambda page: False)) == []

@@ -22,7 +22,7 @@ def fetched_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     items = e.select(F.col("event_id").cast("string").alias("id"), F.col("at").alias("update_time"), F.col("event_type").alias("title"), F.to_json(F.struct("props")).alias("detail"))
     replies = Scratch(spark, "replies")
-    replies.keep(table_transport.replies(items).repartitionByRange(8, "url").sortWithinPartitions("url"), "service")
+    table_transport.record(table_transport.replies(items), f"{replies.path}/service")
     last = e.agg(F.max("at")).first()[0]
     options = {"transport": "threadloom.sources.table_transport:make", "replies": f"{replies.path}/service", "parallel": "8"}
     if last is not None:

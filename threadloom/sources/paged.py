@@ -201,8 +201,10 @@ class Fetcher:
         return [i for i in self.listing(self.client(), self.base, span.reached) if span.holds(i)]
 
     def shares(self, span: Span) -> list[Share]:
-        items = self.items(span)
-        return [Share(items[k :: self.parallel]) for k in range(min(self.parallel, len(items)))] or [Share([])]
+        # neighbours by url go to one task: a recorded service has them together
+        items = sorted(self.items(span), key=lambda i: (len(i.url), i.url))
+        n = min(self.parallel, len(items))
+        return [Share(items[k * len(items) // n : (k + 1) * len(items) // n]) for k in range(n)] or [Share([])]
 
     def rows(self, share: Share) -> Iterator[tuple]:
         client = self.client(self.parallel) if share.items else None
