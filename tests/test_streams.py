@@ -2,6 +2,7 @@ import json
 import random
 from datetime import UTC, datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,41 @@ def test_recorded_replies_are_read_once_and_listed_by_ranges(spark, tmp_path, mo
     # a service without items has an empty first page
     table_transport.record(table_transport.replies(items.limit(0)), str(tmp_path / "none"))
     assert list(paged.offset_pages(client(table_transport.make({"replies": str(tmp_path / "none")})), "", lambda page: False)) == []
+
+
+class Kept:
+    """A state store that counts what it is asked."""
+
+    def __init__(self):
+        self.maps, self.asked = {}, 0
+
+    def getMapState(self, name, key, value):
+        store, kept = self, self.maps.setdefault(name, {})
+
+        class Map:
+            def __getattribute__(self, what):
+                store.asked += 1
+                return {"exists": lambda: bool(kept), "containsKey": kept.__contains__, "getValue": kept.get, "updateValue": kept.__setitem__, "removeKey": kept.pop}[what]
+
+        return Map()
+
+
+def test_chain_asks_its_state_by_blocks():
+    r, events = random.Random(8), []
+    for s in range(1, 601):
+        parents = ["elsewhere"] if r.random() < 0.1 else [f"e{s - 1}"] if s > 1 else []
+        if r.random() > 0.1:
+            events.append(("a", s, f"e{s}", parents))
+        if r.random() < 0.15:
+            events.append(("a", s, r.choice([f"e{s}", f"o{s}"]), parents))
+    r.shuffle(events)
+    want, gaps = told(events)
+    assert {w[3] for w in want} == {"accepted", "repeated", "replay", "broken"} and gaps
+    store, got, half = Kept(), [], len(events) // 2
+    for part in (range(half), range(half, len(events))):
+        c = chain.Chain()
+        c.init(store)
+        frames = [pd.DataFrame([(k, *events[k][1:]) for k in part[i::3]], columns=["arrived", "seq", "event", "parents"]) for i in range(3)]
+        got += [(t.author, t.seq, t.event, t.status, t.gap, None if pd.isna(t.fills) else t.fills) for f in c.handleInputRows(("w", "a"), iter(frames), None) for t in f.itertuples()]
+    assert got == want
+    assert store.asked < 40  # not several times an event

@@ -5,8 +5,10 @@ with its parents for each event whose predecessor hasn't come. An event is refus
 number, and as ``broken`` if it is the first and has parents, if it doesn't name its predecessor, or if its successor
 came earlier and doesn't name it. Whatever is refused leaves no trace in the state, so a right event can still come.
 
-Both maps are in the state store and are asked for the three numbers at stake only, so an author's history may be long.
-The same processor runs in batches and streams. Events of one author in a batch are taken in order of ``arrived``, then by number and id.
+An author's history is in the state store in blocks of ``BLOCK`` numbers. A call reads the blocks that its events touch,
+each once and none for a new author, and writes those that changed once, so a history may be long and an event asks the
+store for nothing of its own. The same processor runs in batches and streams; state of maps by number, as it was kept
+before, isn't read. Events of one author in a batch are taken in order of ``arrived``, then by number and id.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from threadloom.runtime import keep_state_in_rocksdb, share_code
 
 KEY = ["workspace", "author"]
+#: Numbers of an author that are one value of the state.
+BLOCK = 256
 OUT = "workspace string, author string, seq long, event string, status string, gap boolean, fills long"
 
 
@@ -28,11 +32,20 @@ class Chain(StatefulProcessor):
     """One row an event: ``status``, accepted, repeated, replay or broken; ``gap``, whether its predecessor is missing; ``fills``, the number whose gap it closes."""
 
     def init(self, handle) -> None:
-        self.events = handle.getMapState("events", "seq long", "event string")
-        self.gaps = handle.getMapState("gaps", "seq long", "parents array<string>")
+        self.blocks = handle.getMapState("blocks", "block long", "seqs array<long>, events array<string>, gaps array<long>, parents array<array<string>>")
+
+    def _block(self, seq: int) -> tuple[dict[int, str], dict[int, list[str]]]:
+        """Accepted events and gaps of the block that holds ``seq``; read at most once a call."""
+        n = seq // BLOCK
+        if n not in self.read:
+            self.read[n] = ({}, {})
+            if self.old and self.blocks.containsKey((n,)):
+                seqs, events, gaps, parents = self.blocks.getValue((n,))
+                self.read[n] = (dict(zip(seqs, events, strict=True)), {k: list(p) for k, p in zip(gaps, parents, strict=True)})
+        return self.read[n]
 
     def _event(self, seq: int) -> str | None:
-        return self.events.getValue((seq,))[0] if self.events.containsKey((seq,)) else None
+        return self._block(seq)[0].get(seq)
 
     def _take(self, seq: int, event: str, parents: list[str]) -> tuple[str, bool, int | None]:
         known = self._event(seq)
@@ -41,24 +54,32 @@ class Chain(StatefulProcessor):
         before, after = self._event(seq - 1), self._event(seq + 1)
         if (seq == 1 and parents) or (before is not None and before not in parents):
             return ("broken", False, None)
-        if after is not None and not (self.gaps.containsKey((seq + 1,)) and event in (self.gaps.getValue((seq + 1,))[0] or [])):
+        if after is not None and event not in self._block(seq + 1)[1].get(seq + 1, []):
             return ("broken", False, None)
-        self.events.updateValue((seq,), (event,))
+        self._block(seq)[0][seq] = event
+        self.changed.add(seq // BLOCK)
         gap = seq > 1 and before is None
         if gap:
-            self.gaps.updateValue((seq,), (parents,))
+            self._block(seq)[1][seq] = parents
         if after is not None:
-            self.gaps.removeKey((seq + 1,))
+            self._block(seq + 1)[1].pop(seq + 1, None)
+            self.changed.add((seq + 1) // BLOCK)
         return ("accepted", gap, seq + 1 if after is not None else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows), ignore_index=True).sort_values(["arrived", "seq", "event"])
-        out = []
-        for r in whole.itertuples():
-            status, gap, fills = self._take(int(r.seq), r.event, [] if r.parents is None else list(r.parents))
-            out.append((key[0], key[1], int(r.seq), r.event, status, gap, fills))
-        frame = pd.DataFrame(out, columns=["workspace", "author", "seq", "event", "status", "gap", "fills"])
-        yield frame.astype({"fills": "Int64"})
+        # what is read and changed is this call's only
+        self.old, self.read, self.changed = self.blocks.exists(), {}, set()
+        came = [(a, int(s), e, p) for x in rows for a, s, e, p in zip(x["arrived"], x["seq"], x["event"], x["parents"], strict=True)]
+        # without a time of arrival: last
+        came.sort(key=lambda r: (True, 0, r[1], r[2] or "") if pd.isna(r[0]) else (False, *r[:2], r[2] or ""))
+        took = [self._take(s, e, [] if p is None else list(p)) for _, s, e, p in came]
+        for n in sorted(self.changed):
+            events, gaps = self.read[n]
+            self.blocks.updateValue((n,), (list(events), list(events.values()), list(gaps), list(gaps.values())))
+        yield pd.DataFrame({
+            "workspace": [key[0]] * len(came), "author": [key[1]] * len(came), "seq": [s for _, s, _, _ in came], "event": [e for _, _, e, _ in came],
+            "status": [t for t, _, _ in took], "gap": [g for _, g, _ in took], "fills": pd.array([f for _, _, f in took], dtype="Int64"),
+        })
 
     def close(self) -> None:
         """Nothing is held outside the state."""
