@@ -64,6 +64,22 @@ def test_lineage_by_doubling(spark):
     assert got["fork", "2"] == ("conflict", ["1"]) and got["lost", "9"] == ("replica", []) and got["dead", "1"] == ("replica", []) and got["other", "1"] == ("attest", []) and got["new", None] == ("attest", [])
 
 
+def test_lineages_walk_and_double_alike(spark, small_batches, monkeypatch):
+    r, rows = random.Random(9), []
+    for k in range(12):
+        for n in range(r.randrange(1, 40)):
+            rows.append(("w", "k", f"r{k}", "u", f"{n}", f"{r.randrange(n)}" if n and r.random() < 0.9 else r.choice([None, "lost"])))
+    rows += [("w", "k", "copies", "u", *x) for x in (("1", None), ("2", None), ("3", "1"), ("3", "2"), ("3", "1"), ("ring", "ring"))]
+    df = spark.createDataFrame(rows, "workspace string, kind string, row_id string, author string, revision string, previous_revision string").repartition(4)
+    far = {}
+    for x in sorted(replicate.ancestry(df).filter("distance > 0").collect(), key=lambda x: (x["distance"], x["revision"])):
+        far.setdefault((x["row_id"], x["leaf"]), []).append(x["revision"])
+    told = lambda longest: {(x["row_id"], x["revision"]): x["_lineage"] for x in replicate.lineages(df, longest).collect()}
+    assert told(10) == far and far["copies", "3"] == ["1", "2"]
+    monkeypatch.setattr(replicate, "ancestry", None)  # short rows do without pairs
+    assert told(4096) == far
+
+
 def test_paths(spark):
     r = random.Random(5)
     paths = ["/", "//", "", ".", "..", "/..", "../..", "a/../..", "/a/../../b", None] + ["".join(r.choice(["/", "a", "..", ".", "/b", "/.c"]) for _ in range(r.randrange(1, 8))) for _ in range(400)]

@@ -160,6 +160,47 @@ def ancestry(revisions: DataFrame) -> DataFrame:
         k += 1
 
 
+def _walked(have: DataFrame) -> DataFrame:
+    """The lineage of each leaf (key, revision, _lineage) of ``have`` (key, revision, previous_revision): a row's revisions meet in one task, which goes up from its leaves."""
+    key = [*_ROW, "author"]
+
+    def step(state: tuple[tuple, dict[str, list[str]]], part: pd.DataFrame):
+        for r, p in zip(part["revision"], part["previous_revision"], strict=True):
+            ups = state[1].setdefault(r, [])
+            if p is not None and p not in ups:
+                ups.append(p)
+        return state, None
+
+    def end(state: tuple[tuple, dict[str, list[str]]]) -> pd.DataFrame | None:
+        own, ups = state
+        named, told = {p for x in ups.values() for p in x}, []
+        for leaf in ups.keys() - named:
+            line, seen, level = [], {leaf}, [leaf]
+            while level := sorted({p for r in level for p in ups[r] if p in ups and p not in seen}):
+                seen.update(level)
+                line += level
+            if line:
+                told.append((*own, leaf, line))
+        return pd.DataFrame(told, columns=[*key, "revision", "_lineage"]) if told else None
+
+    return folds.ordered(have, key, [], ",".join(f"{k} string" for k in [*key, "revision"]) + ",_lineage array<string>", lambda own: (own, {}), step, end)
+
+
+def lineages(revisions: DataFrame, longest: int = 4096) -> DataFrame:
+    """Each leaf that descends from others (key, revision) with ``_lineage``, nearest first.
+
+    What is shuffled is the revisions, once, and not each pair of a leaf and an ancestor again and again. A row of more
+    than ``longest`` revisions isn't held by one task: its pairs come by ``ancestry``.
+    """
+    key = [*_ROW, "author"]
+    have = Scratch(revisions.sparkSession, "lineages").keep(revisions.select(*key, "revision", "previous_revision").filter("revision is not null"), "have")
+    long = have.groupBy(*key).count().filter(F.col("count") > longest).select(*key)
+    if long.isEmpty():
+        return _walked(have)
+    pairs = ancestry(have.join(long, key, "left_semi")).filter("distance > 0").groupBy(*key, F.col("leaf").alias("revision")).agg(F.array_sort(F.collect_list(F.struct("distance", "revision"))).alias("_l"))
+    return _walked(have.join(long, key, "left_anti")).unionByName(pairs.select(*key, "revision", F.transform("_l", lambda x: x["revision"]).alias("_lineage")))
+
+
 def replica_feed(rows: DataFrame, revisions: DataFrame) -> DataFrame:
     """What is to be sent of each row that is there, or has revisions: ``action``, the head, and the ``lineage`` it is sent with.
 
@@ -169,7 +210,7 @@ def replica_feed(rows: DataFrame, revisions: DataFrame) -> DataFrame:
     before the head, nearest first, and for a tombstone the head first.
     """
     key = [*_ROW, "author"]
-    back = ancestry(revisions).filter("distance > 0").groupBy(*key, F.col("leaf").alias("revision")).agg(F.array_sort(F.collect_list(F.struct("distance", "revision"))).alias("_l")).select(*key, "revision", F.transform("_l", lambda x: x["revision"]).alias("_lineage"))
+    back = lineages(revisions)
     own = leaves(revisions).select(*key, "revision", F.col("content_hash").alias("_hash"), F.coalesce("state", F.lit("active")).alias("_state"))
     own = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).join(back, [*key, "revision"], "left")
     both = rows.select(*key, "content_hash", F.lit(True).alias("_there")).join(own, key, "full_outer")
